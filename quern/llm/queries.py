@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprint, html, langid, mixing, repetition, tokencount
+from quern.llm import bpe, fingerprint, html, langid, mixing, repetition, tokencount, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(docs).drop("text")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfiles.read_ids(spark, tokenfiles.write_ids(docs, tokenizer_path("byte_bpe_50k.json")))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
+        "op6_token_files": op6_token_files,
         "op7_html_text": op7_html_text,
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
