@@ -21,7 +21,10 @@ BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 9216
 
 _PIECES = rf"[^\n]{{{PARAGRAPH_CHARS},}}?[.!?](?=\s|$)|[^\n]+"
 PARTS = ("c0", "c1", "c2")
-_PLACES = F.array(*[F.lit(i) for i in range(PART)])
+
+
+def _places() -> Column:
+    return F.array(*[F.lit(i) for i in range(PART)])
 
 
 def _let(value: Column, use) -> Column:
@@ -45,7 +48,8 @@ def _cell(n: Column, key: Column, chk: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), chk.alias("chk"))
 
 
-_ZERO = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _zero() -> Column:
+    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
 def _put(cell: Column, e: Column) -> Column:
@@ -58,7 +62,7 @@ def _into(part: str, cell: Column, place: Column, entries: Column) -> Column:
 
 
 def _cells(part: str, entries: Column) -> Column:
-    return F.transform(_PLACES, lambda i: _into(part, _ZERO, i, entries))
+    return F.transform(_places(), lambda i: _into(part, _zero(), i, entries))
 
 
 def _add(part: str, cells: Column, entries: Column) -> Column:
