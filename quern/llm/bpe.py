@@ -133,8 +133,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     return out.select(*[F.col(f"`{c}`") for c in tokens.columns if c != "decoded"], F.col("_decoded").alias("decoded"))
 
 
-def digest(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding every whole text in one pass.
+def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 (and ids if asked for) of encoding and decoding every whole text in one pass.
 
     ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded
     bytes; a null text counts as empty. Existing columns of these names give way.
@@ -150,9 +150,10 @@ def digest(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
             for t in texts:
                 ids = encoder.encode(t) if t else []
                 joined = " ".join(map(names.__getitem__, ids)).encode()
-                out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(joined).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()})
+                out.append({"ids": ids, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(joined).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()})
             return out
 
         return run
 
-    return fields(docs.withColumn("_bpe", per_text(setup, _DIGEST, text, as_bytes=False)), "_bpe", ["n_tokens", "ids_sha256", "decoded_sha256"])
+    result = pa.struct([*_DIGEST, ("ids", pa.list_(pa.int32()))]) if with_ids else _DIGEST
+    return fields(docs.withColumn("_bpe", per_text(setup, result, text, as_bytes=False)), "_bpe", [f.name for f in result])

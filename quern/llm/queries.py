@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprint, html, langid, mixing, neardup, repetition, tokencount, tokenfiles
+from quern.llm import bpe, fingerprint, html, langid, mixing, neardup, repetition, suffixes, tokencount, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = tokencount.count_tokens(docs, tokenizer_path("word_bpe_49k.json"))
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op2_language_id": op2_language_id,
+        "op3_repeated_passages": op3_repeated_passages,
         "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
