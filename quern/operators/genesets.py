@@ -14,7 +14,7 @@ from quern.operators.norm import zscore
 from quern.operators.ranks import benjamini_hochberg, rank
 
 
-def rank_sum_scores(df: DataFrame, sample: str, member: str, value: str, sets: dict[str, Column], least_common: int = 1, least_values: int = 1) -> DataFrame:
+def rank_sum_scores(df: DataFrame, sample: str, member: str, value: str, sets: dict[str, Column], least_common: int = 0, least_values: int = 1) -> DataFrame:
     """sample and one score a set: (rank sum - n_s (N + 1) / 2) / (n_s (N - n_s) / 2), from -1 to 1.
 
     0 where a set is empty or has everything; null where a sample has too few values or
