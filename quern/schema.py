@@ -96,7 +96,8 @@ def drop_constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str], digits: int = 6) -> dict[str, str]:
     """column -> an earlier column of the same rounded values in every row."""
-    row = df.agg(*[F.sum(F.xxhash64(F.monotonically_increasing_id(), F.round(f"`{c}`", digits)).cast("decimal(38,0)")).alias(c) for c in columns]).first()
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    row = numbered.agg(*[F.sum(F.xxhash64("_row", F.round(f"`{c}`", digits)).cast("decimal(38,0)")).alias(c) for c in columns]).first()
     first: dict[object, str] = {}
     return {c: first[row[c]] for c in columns if first.setdefault(row[c], c) != c}
 

@@ -75,7 +75,7 @@ def series_metadata(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where("line like '!%'")
     f = F.split("line", "\t")
     tidy = F.transform(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    return rows.select("i", F.ltrim(F.lit("!"), f[0]).alias("key"), tidy.alias("values")).groupBy("key").agg(F.max_by("values", "i").alias("values"))
+    return rows.select("i", F.ltrim(f[0], F.lit("!")).alias("key"), tidy.alias("values")).groupBy("key").agg(F.max_by("values", "i").alias("values"))
 
 
 def annotation(spark: SparkSession, path: str, probe: Sequence[str], gene: Sequence[str], sep: str = "\t", comment: str = "#") -> DataFrame:
