@@ -124,7 +124,7 @@ def quartile_strata(t: Tables):
     return stats.quartile_strata(t.orders, "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "stratum")
 
 
-@query("WITH e AS (SELECT hour(ts) AS h, value FROM events), b AS (SELECT avg(value) AS b FROM e WHERE h = 0) SELECT h, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS sem, avg(value) - any_value(b) AS change FROM e, b WHERE h <> 0 GROUP BY 1", "mean sem change")
+@query("WITH e AS (SELECT hour(ts)::INT AS h, value FROM events), b AS (SELECT avg(value) AS b FROM e WHERE h = 0) SELECT h, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS sem, avg(value) - any_value(b) AS change FROM e, b WHERE h <> 0 GROUP BY 1", "mean sem change")
 def time_course(t: Tables):
     return stats.time_course(t.events.select(F.hour("ts").alias("h"), "value"), "h", "value", F.col("h") == 0)
 
@@ -373,7 +373,7 @@ def p_values(t: Tables):
     return w.withColumn("normal", dist.normal_two_sided("t"))
 
 
-@query(f"WITH s AS ({LIST}) SELECT count(*) AS genes, sum(s) AS total FROM s", "total")
+@query(f"WITH s AS ({LIST}) SELECT count(*) AS genes, sum(round(s * 100)::BIGINT)::BIGINT AS cents FROM s")
 def list_totals(t: Tables):
     scores = t.lineitem.groupBy("l_partkey").agg(F.bround(F.sum("l_extendedprice"), 2).alias("s"))
-    return scores.agg(F.count("*").alias("genes"), F.sum("s").alias("total"))
+    return scores.agg(F.count("*").alias("genes"), F.sum(F.round(F.col("s") * 100).cast("long")).alias("cents"))

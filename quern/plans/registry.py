@@ -30,12 +30,16 @@ class Query:
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
         out = self.run(Tables(spark, folder))
-        return out.withColumns({c: F.round(F.col(c), DIGITS) + F.lit(0.0) for c in self.doubles}) if self.doubles else out
+        return out.withColumns({c: F.round(F.col(c), d) + F.lit(0.0) for c, d in self.rounded()}) if self.doubles else out
+
+    def rounded(self) -> list[tuple[str, int]]:
+        """Columns and digits; name:2 stands for two digits, as large sums need."""
+        return [(c.split(":")[0], int(c.split(":")[1]) if ":" in c else DIGITS) for c in self.doubles]
 
     def oracle(self) -> str | None:
         if not self.sql or not self.doubles:
             return self.sql
-        rounded = ", ".join(f"round({c}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in self.doubles)
+        rounded = ", ".join(f"round({c}, {d}) + 0.0::DOUBLE AS {c}" for c, d in self.rounded())
         return f"SELECT * REPLACE ({rounded}) FROM ({self.sql}) AS _q"
 
 

@@ -9,7 +9,7 @@ from quern.operators import collapse, genesets, intervals, joins, norm, ranks, s
 from quern.plans.registry import Tables, query
 from quern.schema import quality_report, resolve_columns
 
-YEARLY = "SELECT year(l_shipdate) AS sample, l_partkey AS gene, round_even(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2"
+YEARLY = "SELECT year(l_shipdate)::INT AS sample, l_partkey AS gene, round_even(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2"
 
 
 def yearly(t: Tables):
@@ -45,13 +45,13 @@ def coactivation_index(t: Tables):
 
 for how, f in {"max": "max", "median": "median", "mean": "avg", "sum": "sum"}.items():
 
-    @query(f"SELECT p_brand, year(l_shipdate) AS y, {f}(l_extendedprice) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", "value", f"collapse_{how}")
+    @query(f"SELECT p_brand, year(l_shipdate)::INT AS y, {f}(l_extendedprice) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", "value:2", f"collapse_{how}")
     def _collapse(t: Tables, how=how):
         rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", F.year("l_shipdate").alias("y"), F.col("l_extendedprice").alias("value"))
         return collapse.collapse(rows, ["p_brand", "y"], "value", how)
 
 
-@query(f"WITH e AS (SELECT e.*, p_brand FROM ({YEARLY}) e JOIN part ON gene = p_partkey), m AS (SELECT p_brand, gene, row_number() OVER (PARTITION BY p_brand ORDER BY round(avg(value), 6) DESC, gene) AS i FROM e GROUP BY 1, 2) SELECT e.p_brand, e.gene, e.sample, e.value FROM e JOIN m USING (p_brand, gene) WHERE i = 1", "value")
+@query(f"WITH e AS (SELECT e.*, p_brand FROM ({YEARLY}) e JOIN part ON gene = p_partkey), m AS (SELECT p_brand, gene, row_number() OVER (PARTITION BY p_brand ORDER BY round(avg(value), 6) DESC, gene) AS i FROM e GROUP BY 1, 2) SELECT e.p_brand, e.gene, e.sample, e.value FROM e JOIN m USING (p_brand, gene) WHERE i = 1", "value:2")
 def collapse_best_mean(t: Tables):
     e = yearly(t).join(t.part.select(F.col("p_partkey").alias("gene"), "p_brand"), "gene")
     return collapse.collapse_to_best(e, "gene", "p_brand", "sample", "value").select("p_brand", "gene", "sample", "value")
@@ -88,7 +88,7 @@ def inner_join(t: Tables):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON c_custkey = o_custkey", "total")
+@query("SELECT c_custkey, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON c_custkey = o_custkey", "total:2")
 def left_enrich(t: Tables):
     o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     return t.customer.select("c_custkey").join(o, "c_custkey", "left").na.fill(0, ["n"]).na.fill(0.0, ["total"])
@@ -248,7 +248,7 @@ def distribution_profile(t: Tables):
     return collapse.distribution_profile(t.events, ["event_type"], "value")
 
 
-@query("WITH r AS (SELECT year(l_shipdate) AS y, l_returnflag AS kind, l_orderkey AS cell, l_partkey AS gene, l_quantity AS v FROM lineitem), c AS (SELECT y, kind FROM r GROUP BY 1, 2 HAVING count(DISTINCT cell) >= 3), g AS (SELECT y, kind, gene, sum(v) AS total FROM r JOIN c USING (y, kind) GROUP BY 1, 2, 3) SELECT *, ln(1 + total * 1e6 / sum(total) OVER (PARTITION BY y, kind)) AS log_cpm FROM g", "total log_cpm")
+@query("WITH r AS (SELECT year(l_shipdate)::INT AS y, l_returnflag AS kind, l_orderkey AS cell, l_partkey AS gene, l_quantity AS v FROM lineitem), c AS (SELECT y, kind FROM r GROUP BY 1, 2 HAVING count(DISTINCT cell) >= 3), g AS (SELECT y, kind, gene, sum(v) AS total FROM r JOIN c USING (y, kind) GROUP BY 1, 2, 3) SELECT *, ln(1 + total * 1e6 / sum(total) OVER (PARTITION BY y, kind)) AS log_cpm FROM g", "total log_cpm")
 def pseudobulk_cpm_log(t: Tables):
     r = t.lineitem.select(F.year("l_shipdate").alias("y"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("v"))
     return collapse.pseudobulk(r, "y", "kind", "cell", "gene", "v")
@@ -271,7 +271,7 @@ def top50_per_group(t: Tables):
     return topk.top_per_group(t.lineitem, ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 50).select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
-for method, f in {"average": "rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_orderdate) - 1) / 2.0::DOUBLE", "min": "rank() OVER w", "dense": "dense_rank() OVER w", "ordinal": "row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)"}.items():
+for method, f in {"average": "rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_orderdate) - 1) / 2.0::DOUBLE", "min": "(rank() OVER w)::INT", "dense": "(dense_rank() OVER w)::INT", "ordinal": "(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey))::INT"}.items():
 
     @query(f"SELECT o_orderkey, {f} AS r FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)", "r" if method == "average" else "", f"{method}_rank")
     def _rank(t: Tables, method=method):
@@ -318,12 +318,12 @@ for nm, f, run in (
     ("batch_centre", "value - avg(value) OVER (PARTITION BY gene, sample % 2) + avg(value) OVER (PARTITION BY gene)", lambda e: norm.batch_centre(e.withColumn("_b", F.col("sample") % 2), "value", "gene", "_b", name="v")),
 ):
 
-    @query(f"SELECT sample, gene, {f} AS v FROM ({YEARLY}) WINDOW w AS (PARTITION BY sample)", "v", nm)
+    @query(f"SELECT sample, gene, {f} AS v FROM ({YEARLY}) WINDOW w AS (PARTITION BY sample)", "v:3" if nm == "batch_centre" else "v", nm)
     def _norm(t: Tables, run=run):
         return run(yearly(t)).select("sample", "gene", "v")
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS i FROM ({YEARLY})), m AS (SELECT i, avg(value) AS v FROM r GROUP BY 1) SELECT sample, gene, v FROM r JOIN m USING (i)", "v")
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS i FROM ({YEARLY})), m AS (SELECT i, avg(value) AS v FROM r GROUP BY 1) SELECT sample, gene, v FROM r JOIN m USING (i)", "v:3")
 def quantile_norm(t: Tables):
     return norm.quantile_normalise(yearly(t), "value", "sample", "gene", "v").select("sample", "gene", "v")
 
