@@ -12,9 +12,9 @@ PARAGRAPH_CHARS = 120
 PART = 8
 #: Rounds of peeling; tables of this size are empty or stuck before.
 ROUNDS = 10
-#: Digests on either side that share a table of the first sketch.
+#: Digests on either side of which the difference is peeled from one table at first.
 LOAD = 4
-#: After a failure the sketch is made so many times larger, and again.
+#: After a failure the sketch is made larger: its tables, in turn.
 RETRIES = (1, 4, 16, 64)
 #: Buckets of the id range for each shuffle partition, and the most buckets.
 BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 9216
@@ -69,15 +69,19 @@ def _add(part: str, cells: Column, entries: Column) -> Column:
     return F.transform(cells, lambda c, i: _into(part, c, i, entries))
 
 
-def sketch(keys: Column, tables: Column) -> Column:
-    """array<table>: digests dealt over tables (a power of two) by their low bits; a table has the parts c0, c1, c2."""
-    entries = F.transform(keys, lambda k: _entry(k, F.lit(1)))
+def entries(keys: Column) -> Column:
+    return F.transform(keys, lambda k: _entry(k, F.lit(1)))
 
-    def table(own: Column) -> Column:
-        return F.struct(*[_cells(part, own).alias(part) for part in PARTS])
 
+def table(own: Column) -> Column:
+    """One table of entries: the parts c0, c1, c2."""
+    return F.struct(*[_cells(part, own).alias(part) for part in PARTS])
+
+
+def sketch(own: Column, tables: Column) -> Column:
+    """array<table>: entries dealt over tables (a power of two) by high bits of the digest."""
     numbers = F.sequence(F.lit(0).cast("long"), tables - 1)
-    return _let(entries, lambda all_: F.transform(numbers, lambda t: _let(F.filter(all_, lambda e: e["key"].bitwiseAND(tables - 1) == t), table)))
+    return F.transform(numbers, lambda t: _let(F.filter(own, lambda e: F.shiftrightunsigned(e["key"], 50).bitwiseAND(tables - 1) == t), table))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -113,15 +117,25 @@ def difference(a: Column, b: Column, tables: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """The digests in which two digest lists differ, by sketches with about LOAD digests a table.
+    """The digests in which two digest lists differ.
 
-    A failure is tried again with a larger sketch; if the largest is stuck too, the lists decide.
+    Digests are dealt into groups of about LOAD on either side by their low bits. A group's
+    difference is peeled from one table; where that gets stuck, from a sketch so many times
+    larger, again and again; if the largest is stuck too, the lists decide.
     """
     larger = F.greatest(F.size(a), F.size(b), F.lit(1))
-    base = F.pow(F.lit(2.0), F.ceil(F.log2(larger / F.lit(float(LOAD))))).cast("long")
-    only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
-    attempts = F.aggregate(F.array(*[F.lit(r).cast("long") for r in RETRIES]), F.lit(None).cast("array<struct<key:bigint,n:int>>"), lambda found, times: F.when(found.isNotNull(), found).otherwise(difference(a, b, F.greatest(base, F.lit(1).cast("long")) * times)))
-    return F.coalesce(attempts, F.concat(only(a, b, 1), only(b, a, -1)))
+    groups = F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(larger / F.lit(float(LOAD))))).cast("long"), F.lit(1).cast("long"))
+    only = lambda x, y, n: F.transform(F.array_except(F.transform(x, lambda e: e["key"]), F.transform(y, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
+
+    def of_group(both: Column) -> Column:
+        attempts = F.aggregate(F.array(*[F.lit(r).cast("long") for r in RETRIES]), F.lit(None).cast("array<struct<key:bigint,n:int>>"), lambda found, times: F.when(found.isNotNull(), found).otherwise(difference(both["a"], both["b"], times)))
+        return F.coalesce(attempts, F.concat(only(both["a"], both["b"], 1), only(both["b"], both["a"], -1)))
+
+    def dealt(lists: Column) -> Column:
+        own = lambda side, g: F.filter(lists[side], lambda e: e["key"].bitwiseAND(lists["groups"] - 1) == g)
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), lists["groups"] - 1), lambda g: _let(F.struct(own("a", g).alias("a"), own("b", g).alias("b")), of_group)))
+
+    return _let(F.struct(entries(a).alias("a"), entries(b).alias("b"), groups.alias("groups")), dealt)
 
 
 def likenesses(pairs: Column) -> Column:
@@ -138,8 +152,7 @@ def fingerprints_of(lists: Column) -> Column:
     """Each digest list's sketch of one table as text: number of digests, then count, key and check of each cell, in hexadecimal."""
 
     def one(keys: Column) -> Column:
-        table = sketch(keys, F.lit(1).cast("long"))[0]
-        cells = F.transform(_let(table, lambda t: F.concat(*[t[p] for p in PARTS])), lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
+        cells = F.transform(_let(_let(entries(keys), table), lambda t: F.concat(*[t[p] for p in PARTS])), lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
         return F.concat_ws(":", F.size(keys).cast("string"), F.array_join(cells, ":"))
 
     return F.transform(lists, one)
