@@ -134,3 +134,28 @@ def stouffer_evidence(df: DataFrame, key: str, z: str, direction: str, weight: s
 def run_average(scores: DataFrame, key: Sequence[str], score: str) -> DataFrame:
     """key, mean, sd, n over the runs."""
     return scores.groupBy(*key).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.count(score).alias("n"))
+
+
+def bootstrap_ranks(scores: DataFrame, model: str, member: str, score: str, k: float = 60.0, replicates: int = 100, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """member, rrf, low, high: reciprocal-rank sums over models drawn with replacement, percentile interval.
+
+    Each replicate draws as many models as there are, by seeded hashes; ranks are taken once.
+    """
+    ranked = rank(scores.where(F.col(score).isNotNull()), score, [model], "ordinal", True, [member], "_r").select(model, member, (1.0 / (k + F.col("_r"))).alias("_v"))
+    models = ranked.select(model).distinct().withColumn("_i", F.row_number().over(W.orderBy(model)) - 1)
+    n = models.count()
+    draws = scores.sparkSession.range(replicates * max(1, n)).select((F.col("id") % replicates).alias("_rep"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n))).cast("int").alias("_i"))
+    times = draws.join(F.broadcast(models), "_i").groupBy("_rep", model).agg(F.count("*").alias("_times"))
+    sums = ranked.join(F.broadcast(times), model).groupBy(member, "_rep").agg(F.sum(F.col("_v") * F.col("_times")).alias("_s"))
+    edge = (1 - level) / 2
+    whole = ranked.groupBy(member).agg(F.sum("_v").alias("rrf"))
+    return whole.join(sums.groupBy(member).agg(F.percentile("_s", edge).alias("low"), F.percentile("_s", 1 - edge).alias("high")), member)
+
+
+def pair_scores(left: DataFrame, right: DataFrame, groups: list[str], vector: str, left_id: str, right_id: str, top: int) -> DataFrame:
+    """left_id, right_id, score, rank: the top partners of each left row by dot product, within equal groups (an equi join)."""
+    from quern.functions.scalar import dot
+
+    r = right.select(*groups, right_id, F.col(vector).alias("_w"))
+    both = left.select(*groups, left_id, F.col(vector).alias("_v")).join(r, groups).select(left_id, right_id, dot("_v", "_w").alias("score"))
+    return both.withColumn("rank", F.dense_rank().over(W.partitionBy(left_id).orderBy(F.desc("score")))).where(F.col("rank") <= top)

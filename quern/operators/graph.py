@@ -261,3 +261,38 @@ def typed_graph(**tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = ends.withColumn("id", F.dense_rank().over(W.partitionBy("kind").orderBy("name")) - 1)
     side = lambda x, e: nodes.select(F.col("kind").alias(f"kind_{x}"), F.col("name").alias(x), F.col("id").alias(e))
     return nodes, rows.join(side("a", "src"), ["kind_a", "a"]).join(side("b", "dst"), ["kind_b", "b"]).select("kind_a", "src", "etype", "kind_b", "dst", "w")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, limit: int = 6) -> DataFrame:
+    """node, betweenness: how much of the shortest paths from the sources (column node) within limit passes a node.
+
+    Path counts go outwards hop by hop, dependencies come back the same way; both are joins.
+    All nodes as sources give twice the usual value of an undirected graph.
+    """
+    e = closure(edges).select("src", "dst")
+    levels = [_cut(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("paths", F.lit(1.0)))]
+    seen = levels[0].select("source", "node")
+    for _ in range(limit):
+        step = levels[-1].join(e, levels[-1].node == e.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = _cut(step.join(seen, ["source", "node"], "left_anti"))
+        if front.limit(1).count() == 0:
+            break
+        levels.append(front)
+        seen = seen.union(front.select("source", "node"))
+    total = None
+    below = levels[-1].withColumn("depends", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        back = below.select("source", F.col("node").alias("dst"), ((1 + F.col("depends")) / F.col("paths")).alias("_share")).join(e, "dst")
+        given = back.groupBy("source", F.col("src").alias("node")).agg(F.sum("_share").alias("_s"))
+        below = _cut(level.join(given, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("_s", F.lit(0.0))).alias("depends")))
+        total = below if total is None else total.union(below)
+    if total is None:
+        return sources.select("node").distinct().withColumn("betweenness", F.lit(0.0))
+    return total.where("node <> source").groupBy("node").agg(F.sum("depends").alias("betweenness"))
+
+
+def cross_module(correlations: DataFrame, modules: DataFrame, a: str, b: str, r: str, member: str, module: str, least: float) -> DataFrame:
+    """a, b, r, a_module, b_module of correlations above least in size between members of two modules."""
+    side = lambda end, tag: modules.select(F.col(member).alias(end), F.col(module).alias(f"{tag}_module"))
+    strong = correlations.where(F.abs(r) > least).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(r).alias("r"))
+    return strong.join(side("a", "a"), "a").join(side("b", "b"), "b").where("a_module <> b_module")

@@ -188,3 +188,44 @@ def test_empty_tables(spark):
     assert graph.components(e).count() == 0 and graph.triangles(e).count() == 0 and graph.pagerank(e, 2).count() == 0
     assert ranks.benjamini_hochberg(frame(spark, [], "p double"), "p").count() == 0
     assert stats.random_effects(frame(spark, [], "d double, v double"), [], "d", "v").count() == 0
+
+
+def test_betweenness(spark):
+    path = frame(spark, [("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    nodes = frame(spark, [(n,) for n in "abcd"], "node string")
+    got = {r.node: r.betweenness for r in graph.betweenness(path, nodes).collect()}
+    assert got == {"a": 0.0, "b": 4.0, "c": 4.0, "d": 0.0} or {k: v for k, v in got.items() if v} == {"b": 4.0, "c": 4.0}
+    square = frame(spark, [(0, 1), (1, 2), (2, 3), (3, 0)], "src int, dst int")
+    got = {r.node: r.betweenness for r in graph.betweenness(square, frame(spark, [(i,) for i in range(4)], "node int")).collect()}
+    assert all(v == pytest.approx(1.0) for v in got.values())
+
+
+def test_learning(spark):
+    import numpy as np
+
+    from quern.operators import learning
+
+    rng = random.Random(2)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), float(i % 2)) for i in range(300)]
+    rows = [(i, a + 2 * y, b, y) for i, a, b, y in rows]
+    d = frame(spark, rows, "k int, a double, b double, y double")
+    p = learning.platt_scale(d, "a", "y").agg(F.avg(F.when(F.col("y") == 1, F.col("calibrated"))), F.avg(F.when(F.col("y") == 0, F.col("calibrated")))).first()
+    assert p[0] > 0.6 > 0.4 > p[1]
+    s = {r.feature: r.frequency for r in learning.stability_selection(d, ["a", "b"], "y", 0.05, "k", draws=4).collect()}
+    assert s["a"] == 1.0
+    assert all(r.vif == pytest.approx(1, abs=0.2) for r in learning.variance_inflation(d, ["a", "b"]).collect())
+    a, x = np.array([[1.0, 0.2], [0.1, 1.0], [0.5, 0.4]]), np.array([0.7, 0.3])
+    assert learning.non_negative_fit(a, a @ x) == pytest.approx(x)
+    assert learning.non_negative_fit(a, -np.ones(3)) == pytest.approx([0, 0])
+    sig = frame(spark, [("g1", "t", 1.0), ("g2", "t", 0.1), ("g1", "b", 0.2), ("g2", "b", 1.0)], "g string, kind string, w double")
+    mix = frame(spark, [("s", "g1", 0.7 + 0.06), ("s", "g2", 0.07 + 0.3)], "s string, g string, v double")
+    got = {r.kind: r.fraction for r in learning.deconvolve(mix, sig, "s", "g", "v", "kind", "w").collect()}
+    assert got == pytest.approx({"t": 0.7, "b": 0.3})
+    v = frame(spark, [(i, [float(i), 2.0 * i, 0.0]) for i in range(5)], "i int, v array<double>")
+    assert len(learning.pca(v, "v", 1).first().components) == 1
+
+
+def test_bootstrap_ranks(spark):
+    s = frame(spark, [(m, x, float(v)) for m, vs in {"a": (3, 2, 1), "b": (3, 1, 2), "c": (2, 3, 1)}.items() for x, v in zip("xyz", vs, strict=True)], "model string, m string, s double")
+    for r in fusion.bootstrap_ranks(s, "model", "m", "s", replicates=50).collect():
+        assert r.low <= r.rrf <= r.high
