@@ -185,11 +185,12 @@ def beside_next(docs: DataFrame, values: list[str], doc_id: str = "doc_id", tie:
     own = F.struct(F.col("_b").cast("int").alias("b"), F.lit(False).alias("extra"))
     first = F.get(first_id, F.col("_b")).eqNullSafe(F.col(f"`{doc_id}`"))
     places = F.when(first, F.array(own, F.struct(F.get(previous, F.col("_b")).cast("int").alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(own))
-    rows = placed.withColumn("_place", F.explode(places))
-    order = W.partitionBy("_place.b").orderBy("_place.extra", F.col(f"`{doc_id}`").desc_nulls_last(), F.md5(F.col(f"`{tie}`").cast("binary")))
-    for v in values:
-        rows = rows.withColumn(f"next_{v}", F.lead(f"`{v}`").over(order))
-    return rows.where(~F.col("_place.extra")).drop("_b", "_place")
+    # plain columns: each window over an expression would deal out the texts anew
+    rows = placed.withColumn("_tie", F.md5(F.col(f"`{tie}`").cast("binary"))).withColumn("_place", F.explode(places))
+    rows = rows.select(*docs.columns, "_tie", F.col("_place.b").alias("_range"), F.col("_place.extra").alias("_extra"))
+    order = W.partitionBy("_range").orderBy("_extra", F.col(f"`{doc_id}`").desc_nulls_last(), "_tie")
+    rows = rows.withColumn("_next", F.lead(F.struct(*values)).over(order)).where(~F.col("_extra"))
+    return rows.select(*docs.columns, *[F.col(f"_next.{v}").alias(f"next_{v}") for v in values])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
