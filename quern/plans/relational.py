@@ -45,9 +45,9 @@ def coactivation_index(t: Tables):
 
 for how, f in {"max": "max", "median": "median", "mean": "avg", "sum": "sum"}.items():
 
-    @query(f"SELECT p_brand, year(l_shipdate)::INT AS y, {f}(l_extendedprice) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", "value:2", f"collapse_{how}")
+    @query(f"SELECT p_brand, year(l_shipdate)::INT AS y, {f}(round(l_extendedprice * 100)::BIGINT)::DOUBLE AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2", "value:5", f"collapse_{how}")
     def _collapse(t: Tables, how=how):
-        rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", F.year("l_shipdate").alias("y"), F.col("l_extendedprice").alias("value"))
+        rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", F.year("l_shipdate").alias("y"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"))
         return collapse.collapse(rows, ["p_brand", "y"], "value", how)
 
 
@@ -318,12 +318,12 @@ for nm, f, run in (
     ("batch_centre", "value - avg(value) OVER (PARTITION BY gene, sample % 2) + avg(value) OVER (PARTITION BY gene)", lambda e: norm.batch_centre(e.withColumn("_b", F.col("sample") % 2), "value", "gene", "_b", name="v")),
 ):
 
-    @query(f"SELECT sample, gene, {f} AS v FROM ({YEARLY}) WINDOW w AS (PARTITION BY sample)", "v:3" if nm == "batch_centre" else "v", nm)
+    @query(f"SELECT sample, gene, {f} AS v FROM ({YEARLY}) WINDOW w AS (PARTITION BY sample)", "v:5" if nm == "batch_centre" else "v", nm)
     def _norm(t: Tables, run=run):
         return run(yearly(t)).select("sample", "gene", "v")
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS i FROM ({YEARLY})), m AS (SELECT i, avg(value) AS v FROM r GROUP BY 1) SELECT sample, gene, v FROM r JOIN m USING (i)", "v:3")
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, gene) AS i FROM ({YEARLY})), m AS (SELECT i, avg(value) AS v FROM r GROUP BY 1) SELECT sample, gene, v FROM r JOIN m USING (i)", "v:5")
 def quantile_norm(t: Tables):
     return norm.quantile_normalise(yearly(t), "value", "sample", "gene", "v").select("sample", "gene", "v")
 
