@@ -22,12 +22,14 @@ from quern.llm.repetition import _K, _SEPARATOR, _again, _mix, _rolling
 SHINGLE, SAMPLES, SIMILARITY = 5, 24, 0.8
 #: Samples that must agree before a pair is aligned: a pair of the least similarity fails this once in a thousand times.
 AGREE = 3
-#: Nodes of a bucket up to which all its pairs are counted; a larger one is compared with its pivots.
+#: Nodes of a bucket up to which all its pairs are counted; a larger one is compared with its pivot, then in blocks.
 SMALL = 24
+#: Nodes of a block of a larger bucket, and rows of it that are compared at once.
+BLOCK, ROWS = 1024, 64
+#: Rounds that test one pair of each two classes before all pairs that are left are tested.
+ROUNDS = 2
 #: Candidate keys of which a copy is broadcast to filter the texts; above it they are joined by a shuffle.
 MAX_BROADCAST_KEYS = 200_000
-#: Rounds with other pivots for large buckets, unless a round finds nothing new before.
-ROUNDS = 4
 
 _SEEDS = np.random.Generator(np.random.PCG64(23)).integers(1, 2**63, SAMPLES, dtype=np.uint64)
 _NONE = np.uint64(2**64 - 1)
@@ -264,15 +266,82 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def agreeing_across(x: tuple, y: tuple, bucket: int, same: bool):
+    """Yield (i, j, n): nodes of blocks x and y in different classes that agree in n >= AGREE samples.
+
+    A block is (roots, sketches, crowded), crowded marking the samples whose bucket is. A pair
+    comes only from the first crowded bucket that it shares.
+    """
+    roots, sketch, crowded = x
+    for at in range(0, len(roots), ROWS):
+        own = slice(at, at + ROWS)
+        n = np.zeros((len(roots[own]), len(y[0])), np.uint8)
+        for s in range(SAMPLES):
+            n += sketch[own, s, None] == y[1][None, :, s]
+        good = (n >= AGREE) & (roots[own, None] != y[0][None]).any(2)
+        if same:
+            good &= np.arange(at, at + len(n))[:, None] < np.arange(len(y[0]))[None]
+        i, j = np.nonzero(good)
+        n, i = n[i, j], i + at
+        first = ((sketch[i] == y[1][j]) & crowded[i]).argmax(1)
+        mine = sketch[i, first] == bucket
+        yield i[mine], j[mine], n[mine]
+
+
+def _across(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b, n, ra, rb) of nodes that share a crowded bucket, are in different classes and agree in n >= AGREE samples.
+
+    A bucket of one class has none. The others are cut into blocks of about BLOCK nodes, the
+    largest class apart from the rest, and each block is compared with each but those of the
+    same class. crowd: bucket, key.
+    """
+    held = crowd.groupBy("key").agg(F.collect_set("bucket").alias("held"))
+    held = held.join(nodes.select("key", "sketch"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    held = written(held.select("key", F.coalesce("root", "key").alias("root"), "sketch", "held"), "held")
+    sizes = held.select("root", F.explode("held").alias("bucket")).groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    of = lambda n: F.pmod(F.hash("key"), F.ceil(n / BLOCK).cast("int"))
+    block = F.when(F.col("n") <= BLOCK, 0).when(F.col("root") == F.col("top"), -1 - of(F.col("m"))).otherwise(of(F.col("n") - F.col("m")))
+    node = F.struct("key", "root", "sketch", F.transform("sketch", lambda x: F.array_contains("held", x)).alias("crowded"))
+    blocks = held.select("root", node.alias("node"), "key", F.explode("held").alias("bucket")).join(mixed, "bucket")
+    blocks = written(blocks.groupBy("bucket", block.alias("block")).agg(F.collect_list("node").alias("nodes")), "blocks")
+    names = blocks.select("bucket", "block")
+    sides = names.withColumnRenamed("block", "x").join(names.withColumnRenamed("block", "y"), "bucket").where("x <= y and y >= 0")
+    sides = sides.join(blocks.select("bucket", F.col("block").alias("x"), F.col("nodes").alias("nodes_x")), ["bucket", "x"])
+    sides = sides.join(blocks.select("bucket", F.col("block").alias("y"), F.when(F.col("block") < 0, None).otherwise(F.col("nodes")).alias("nodes_y")), ["bucket", "y"])
+
+    def compare(batches):
+        def read(nodes: pa.StructArray) -> tuple:
+            keys, roots = (nodes.field(i).to_pylist() for i in (0, 1))
+            rest = [nodes.field(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES) for i in (2, 3)]
+            return keys, roots, (np.frombuffer(b"".join(roots), np.uint64).reshape(-1, 2), *rest)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket, x, y = (batch.column(i)[r].as_py() for i in (0, 1, 2))
+                left = read(batch.column(3)[r].values)
+                right = left if x == y else read(batch.column(4)[r].values)
+                for found in agreeing_across(left[2], right[2], bucket, x == y):
+                    rows = [(left[0][i], right[0][j], n, left[1][i], right[1][j]) for i, j, n in zip(*(v.tolist() for v in found), strict=True)]
+                    rows = [(*sorted(r[:2]), r[2], *sorted(r[3:])) for r in rows]
+                    if rows:
+                        types = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "n", "ra", "rb"])
+
+    return sides.select("bucket", "x", "y", "nodes_x", "nodes_y").mapInArrow(compare, "a binary, b binary, n int, ra binary, rb binary")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, key, sketch) and a plan for each text key: group_id, group_size, least and kept_text.
 
     Exact copies are one node from the start, so a large group of copies costs no pairs.
     Texts without words have no plan.
 
-    In a bucket of up to SMALL nodes all pairs count; in a larger one every node is paired
-    with the bucket's pivot, and in later rounds one node of each class found so far with
-    another pivot, until a round brings nothing new.
+    In a bucket of up to SMALL nodes all pairs count; in a larger one every node is first
+    paired with the bucket's pivot. Then all pairs of larger buckets that are still in
+    different classes and agree in AGREE samples are tested: in ROUNDS rounds of each two classes
+    the pair that agrees most, then all others that are still apart. So the classes are those of all
+    similar pairs that agree in AGREE samples.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
@@ -281,10 +350,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     light = written(base.select("doc_id", "key", per_text(lambda: sketches, pa.list_(pa.int64()), "text").alias("sketch")), "sketches")
     nodes = written(light.where("sketch is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("sketch").alias("sketch")), "nodes")
     entries = written(nodes.select("key", F.explode("sketch").alias("bucket")), "entries")
-    whole = F.hash("key", "bucket")
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     buckets = written(buckets, "buckets")
-    crowded = written(entries.join(buckets, "bucket").select("bucket", "n", "pivot", "key", whole.alias("h")), "crowded")
+    crowded = written(entries.join(buckets, "bucket").select("bucket", "n", "pivot", "key"), "crowded")
 
     small = crowded.where(F.col("n") <= SMALL)
     agreeing = small.groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
@@ -297,24 +365,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     roots = components(links)
 
     crowd = crowded.where(F.col("n") > SMALL)
-    for turn in range(ROUNDS):
-        if crowd.limit(1).count() == 0:
-            break
-        placed = crowd.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # one node of each class in each bucket, and of these one as pivot
-        picked = placed.groupBy("bucket", "root").agg(F.min_by("key", F.hash("key", "bucket", F.lit(turn))).alias("key"))
-        picked = written(picked, "picked")
-        pivots = written(picked.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("key", F.hash("key", F.lit(turn))).alias("pivot")).where("n > 1"), "pivots")
-        fresh = picked.join(pivots, "bucket").where("key <> pivot").select(*_ordered("key", "pivot")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count() == 0:
-            break
-        tested = tested.union(fresh)
-        more = written(_verify(texts, nodes, fresh, similarity), "links")
-        if more.limit(1).count() == 0:
-            continue
-        links = links.union(more)
-        roots = components(links)
+    if crowd.limit(1).count():
+        across = _across(crowd.select("bucket", "key"), nodes, roots).join(tested, ["a", "b"], "left_anti")
+        across = written(across, "across")
+        turn, linked = 0, True
+        while across.limit(1).count():
+            # first one pair of each two classes, since others may fall inside a class then; at last all that are left
+            final = turn == ROUNDS or not linked
+            best = across.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
+            best = written(across.select("a", "b") if final else best, "pairs")
+            more = written(_verify(texts, nodes, best, similarity), "links")
+            turn, linked = turn + 1, more.limit(1).count() > 0
+            if linked:
+                links = links.union(more)
+                roots = components(links)
+            if final:
+                break
+            across = across.join(best, ["a", "b"], "left_anti")
+            for old, new in (("a", "ra"), ("b", "rb")) if linked else ():
+                across = across.drop(new).join(roots.select(F.col("node").alias(old), F.col("root").alias(new)), old, "left").withColumn(new, F.coalesce(new, old))
+            across = across.where("ra <> rb").select("a", "b", "n", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+            across = written(across, "across")
 
     of_key = written(nodes.select("key", "least", "rows").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
     of_root = written(of_key.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("m"), F.sum("rows").alias("group_size")).select("root", F.col("m.least").alias("group_id"), F.col("m.key").alias("kept_key"), "group_size"), "groups")

@@ -100,3 +100,28 @@ def test_crowded_buckets_and_repeated_rows(spark):
     assert sum(r.keep for r in got if r.group_size == 3) == 1
     assert neardup.drop_near_duplicates(docs).count() == sum(r.keep for r in got)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_many_classes_in_crowded_buckets(spark):
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for c in range(60):  # two texts each, linked mostly by the passage that all classes share
+        own = [f"c{c}x{i}" for i in range(5)]
+        rows += [" ".join([*passage, *own, *[f"t{c}x{side}x{i}" for i in range(8)]]) for side in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == classes(rows) == [i - i % 2 for i in range(len(rows))]
+
+
+def test_blocks_find_all_pairs_across():
+    rng = np.random.default_rng(4)
+    roots = rng.integers(0, 5, (200, 1)).repeat(2, 1).astype(np.uint64)
+    sketch = rng.integers(0, 6, (200, neardup.SAMPLES)) + np.arange(neardup.SAMPLES) * 10
+    block, found = (roots, sketch, np.ones(sketch.shape, bool)), []
+    for bucket in np.unique(sketch).tolist():
+        at = np.flatnonzero((sketch == bucket).any(1))
+        part = tuple(x[at] for x in block)
+        for i, j, n in neardup.agreeing_across(part, part, bucket, True):
+            found += zip(at[i].tolist(), at[j].tolist(), n.tolist(), strict=True)
+    want = [(i, j, int((sketch[i] == sketch[j]).sum())) for i, j in itertools.combinations(range(200), 2) if roots[i, 0] != roots[j, 0]]
+    assert sorted(found) == [x for x in want if x[2] >= neardup.AGREE]
