@@ -6,6 +6,8 @@ plans stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,16 +96,26 @@ def triangles(edges: DataFrame) -> DataFrame:
     return d.join(counts, "node", "left").select("node", t.alias("triangles"), F.coalesce(F.try_divide(2.0 * t, F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)).alias("clustering"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """node, rank after so many rounds over the undirected graph, from 1 / n."""
+def pagerank(edges: DataFrame, rounds: int | None = 10, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """node, rank after so many rounds over the undirected graph, from 1 / n.
+
+    Without rounds, until a round changes the ranks by less than n * tolerance in all.
+    """
     e = closure(edges)
     d = degrees(edges).select(F.col("node"), F.col("degree"))
     n = d.count()
     links = _cut(e.join(d.withColumnRenamed("node", "src"), "src").select("src", "dst", "degree"))
     ranks = d.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
-    for _ in range(rounds):
+    for turn in itertools.count():
+        if turn == rounds:
+            break
         given = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("_g"))
-        ranks = _cut(given.select(F.col("dst").alias("node"), (F.lit((1 - damping) / max(1, n)) + damping * F.col("_g")).alias("rank")))
+        new = _cut(given.select(F.col("dst").alias("node"), (F.lit((1 - damping) / max(1, n)) + damping * F.col("_g")).alias("rank")))
+        if rounds is None:
+            change = new.join(ranks.withColumnRenamed("rank", "_before"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0] or 0.0
+            if change < max(1, n) * tolerance:
+                return new
+        ranks = new
     return ranks
 
 

@@ -251,6 +251,11 @@ def pagerank5(t: Tables):
     return graph.pagerank(edges(t), 5)
 
 
+@query()
+def pagerank_converged(t: Tables):
+    return graph.pagerank(edges(t), None)
+
+
 @query()
 def connected_components(t: Tables):
     return graph.components(edges(t))
@@ -359,12 +364,12 @@ def session_windows(t: Tables):
 
 @query()
 def bootstrap_interval(t: Tables):
-    return stats.bootstrap_means(t.orders, "o_orderkey", "o_totalprice", 50)
+    return stats.bootstrap_means(t.orders, "o_orderkey", "o_totalprice", 2000)
 
 
 @query()
 def permutation_test(t: Tables):
-    return stats.permutation_p(t.customer, "c_custkey", "c_acctbal", F.col("c_mktsegment") == "BUILDING", 50)
+    return stats.permutation_p(t.customer, "c_custkey", "c_acctbal", F.col("c_mktsegment") == "BUILDING", 2000)
 
 
 @query()

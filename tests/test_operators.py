@@ -229,3 +229,31 @@ def test_bootstrap_ranks(spark):
     s = frame(spark, [(m, x, float(v)) for m, vs in {"a": (3, 2, 1), "b": (3, 1, 2), "c": (2, 3, 1)}.items() for x, v in zip("xyz", vs, strict=True)], "model string, m string, s double")
     for r in fusion.bootstrap_ranks(s, "model", "m", "s", replicates=50).collect():
         assert r.low <= r.rrf <= r.high
+
+
+def test_pagerank_until_it_converges(spark):
+    pairs = [(0, i) for i in range(1, 6)] + [(i, i + 1) for i in range(5, 30)]
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, []).append(y)
+        near.setdefault(y, []).append(x)
+    want = dict.fromkeys(near, 1 / len(near))
+    for _ in range(300):
+        want = {x: 0.15 / len(near) + 0.85 * sum(want[y] / len(near[y]) for y in near[x]) for x in near}
+    edges = frame(spark, pairs, "src int, dst int")
+    got = {r.node: r.rank for r in graph.pagerank(edges, None, tolerance=1e-7).collect()}
+    assert got == pytest.approx(want, abs=2e-5)
+    five = {r.node: r.rank for r in graph.pagerank(edges, 5).collect()}
+    assert max(abs(five[x] - want[x]) for x in want) > 1e-3
+
+
+def test_replicates_of_the_registered_queries(spark, monkeypatch):
+    from quern.plans import analytics
+
+    seen = {}
+    for name in ("bootstrap_means", "permutation_p"):
+        monkeypatch.setattr(analytics.stats, name, lambda *a, _n=name: seen.setdefault(_n, a[-1]))
+    tables = analytics.Tables(spark, "/root/testdata/sf0.001")
+    analytics.bootstrap_interval(tables)
+    analytics.permutation_test(tables)
+    assert seen == {"bootstrap_means": 2000, "permutation_p": 2000}
