@@ -72,6 +72,12 @@ def fisher_combined(t: Tables):
     return stats.fisher_combined(p, ["p_brand"], "p").drop("p")
 
 
+@query("WITH p AS (SELECT p_brand, (p_partkey * 7919 % 10007 + 1) / 10008.0::DOUBLE AS p FROM part) SELECT p_brand, count(*) AS k, -2 * sum(ln(p)) AS chi2 FROM p GROUP BY 1 HAVING count(*) >= 2", "chi2")
+def fisher_combined_all(t: Tables):
+    p = t.part.select("p_brand", ((F.col("p_partkey") * 7919 % 10007 + 1) / 10008.0).alias("p"))
+    return stats.fisher_combined(p, ["p_brand"], "p").drop("p")
+
+
 @query("WITH p AS (SELECT *, (o_orderkey * 7919 % 2001 - 1000) / 400.0::DOUBLE AS z FROM orders) SELECT o_custkey, count(*) AS k, sum(o_totalprice * z) / sqrt(sum(o_totalprice * o_totalprice)) AS z FROM p GROUP BY 1", "z")
 def stouffer(t: Tables):
     return stats.stouffer(t.orders.withColumn("z", (F.col("o_orderkey") * 7919 % 2001 - 1000) / 400.0), ["o_custkey"], "z", "o_totalprice")

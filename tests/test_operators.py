@@ -257,3 +257,13 @@ def test_replicates_of_the_registered_queries(spark, monkeypatch):
     analytics.bootstrap_interval(tables)
     analytics.permutation_test(tables)
     assert seen == {"bootstrap_means": 2000, "permutation_p": 2000}
+
+
+def test_fisher_takes_all_parts(spark):
+    import quern.plans.analytics  # noqa: F401
+    from quern.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    brands = [r["count"] for r in spark.read.parquet(f"{folder}/part.parquet").groupBy("p_brand").count().collect()]
+    got = [r.k for r in QUERIES["fisher_combined_all"].frame(spark, folder).collect()]
+    assert sorted(got) == sorted(n for n in brands if n >= 2)
