@@ -9,6 +9,8 @@ Linked texts, directly or through others, form a class.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,10 +26,12 @@ SHINGLE, SAMPLES, SIMILARITY = 5, 24, 0.8
 AGREE = 3
 #: Nodes of a bucket up to which all its pairs are counted; a larger one is compared with its pivot, then in blocks.
 SMALL = 24
-#: Nodes of a block of a larger bucket, and rows of it that are compared at once.
-BLOCK, ROWS = 1024, 64
-#: Rounds that test one pair of each two classes before all pairs that are left are tested.
-ROUNDS = 2
+#: Nodes and shingles of a block of a larger bucket, and rows of it that are compared at once.
+BLOCK, BLOCK_ITEMS, ROWS = 1024, 1 << 20, 64
+#: Rows of one text above which its plan is broadcast to them, so that they don't meet in one task.
+HOT_ROWS = 1000
+#: Cells of a band from which a chain of unique elements is tried before the alignment.
+CHAIN_CELLS = 1 << 26
 #: Candidate keys of which a copy is broadcast to filter the texts; above it they are joined by a shuffle.
 MAX_BROADCAST_KEYS = 200_000
 
@@ -130,6 +134,9 @@ def distances_within(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndar
         shared = _shared(a, b)
         if len(b) - shared > limit:
             continue
+        if len(a) * limit > CHAIN_CELLS and _chained(a, b) <= limit:
+            within[i] = True
+            continue
         todo.append((i, a, b, limit))
     band = 12
     while todo:
@@ -159,6 +166,31 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
+def _chained(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edit distance: elements unique in both are matched along a longest chain, what is between is replaced."""
+    x, i, n = np.unique(a, return_index=True, return_counts=True)
+    y, j, m = np.unique(b, return_index=True, return_counts=True)
+    _, p, q = np.intersect1d(x[n == 1], y[m == 1], assume_unique=True, return_indices=True)
+    i, j = i[n == 1][p], j[m == 1][q]
+    order = np.argsort(i)
+    i, j = i[order], j[order].tolist()
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(j)
+    for k, v in enumerate(j):
+        at = bisect_left(ends, v)
+        before[k] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [v], [k]
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(k)
+        k = before[k]
+    chain.reverse()
+    one = np.diff(np.concatenate([[-1], i[chain], [len(a)]])) - 1
+    two = np.diff(np.concatenate([[-1], np.array(j, np.int64)[chain], [len(b)]])) - 1
+    return int(np.maximum(one, two).sum())
+
+
 def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int, limits: np.ndarray) -> np.ndarray:
     """Edit distances (exact where at most its limit, which is at most band) by rows over the diagonals -band to band.
 
@@ -232,9 +264,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose texts are similar. docs: doc_id, key, text; nodes: key and least, the id of the row to read."""
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "least"), "key").select(F.col("key").alias("k"), "least"), "keys")
+def _sequences(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and seq, the shingle hashes cut to 32 bits, of the distinct keys. docs: doc_id, key, text; nodes: key and least, the id of the row to read."""
+    keys = written(keys.distinct().join(nodes.select("key", "least"), "key").select(F.col("key").alias("k"), "least"), "keys")
     few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     wanted = docs.join(F.broadcast(keys) if few else keys, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
 
@@ -249,8 +281,13 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: flo
 
         return run
 
-    # rows equal in id and text give a sequence twice and then a link twice, which does no harm
-    sequences = written(wanted.select("key", per_text(setup, pa.binary(), "text").alias("seq")), "sequences", compression="none")
+    # rows equal in id and text are one node
+    found = wanted.select("key", per_text(setup, pa.binary(), "text").alias("seq")).groupBy("key").agg(F.first("seq").alias("seq"))
+    return written(found, "sequences", compression="none")
+
+
+def _verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text keys whose texts are similar."""
     both = pairs.join(sequences.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("key").alias("b"), F.col("seq").alias("seq_b")), "b")
 
     def check(batches):
@@ -269,10 +306,10 @@ def _ordered(x: str, y: str) -> list[Column]:
 def agreeing_across(x: tuple, y: tuple, bucket: int, same: bool):
     """Yield (i, j, n): nodes of blocks x and y in different classes that agree in n >= AGREE samples.
 
-    A block is (roots, sketches, crowded), crowded marking the samples whose bucket is. A pair
+    A block starts with (roots, sketches, crowded), crowded marking the samples whose bucket is. A pair
     comes only from the first crowded bucket that it shares.
     """
-    roots, sketch, crowded = x
+    roots, sketch, crowded = x[:3]
     for at in range(0, len(roots), ROWS):
         own = slice(at, at + ROWS)
         n = np.zeros((len(roots[own]), len(y[0])), np.uint8)
@@ -288,47 +325,124 @@ def agreeing_across(x: tuple, y: tuple, bucket: int, same: bool):
         yield i[mine], j[mine], n[mine]
 
 
-def _across(crowd: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b, n, ra, rb) of nodes that share a crowded bucket, are in different classes and agree in n >= AGREE samples.
+def _labelled(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences' elements with their occurrence in the low bits, and the offset of each sequence."""
+    sizes = np.array([len(s) for s in sequences])
+    items, of = np.concatenate(sequences).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((items, of))
+    new = np.concatenate([[True], (np.diff(items[order]) != 0) | (np.diff(of[order]) != 0)])
+    index = np.arange(len(order))
+    occurrence = np.empty(len(order), np.uint64)
+    occurrence[order] = index - np.maximum.accumulate(np.where(new, index, 0))
+    return items << np.uint64(32) | occurrence, np.concatenate([[0], np.cumsum(sizes)])
+
 
-    A bucket of one class has none. The others are cut into blocks of about BLOCK nodes, the
-    largest class apart from the rest, and each block is compared with each but those of the
-    same class. crowd: bucket, key.
+def links_across(x: tuple, y: tuple, bucket: int, same: bool, similarity: float = SIMILARITY):
+    """Links (i, j) between nodes of two blocks, enough to join all classes that have a similar pair here.
+
+    A block is (classes, sketches, crowded, sequences). Every pair that agrees is decided:
+    by its lengths and common shingles, which bound the distance, else by alignment,
+    those with most in common first, unless links have joined its classes before.
+    """
+    sizes = [np.array([len(s) for s in b[3]]) for b in (x, y)]
+    labels, begin = _labelled(x[3])
+    other, other_begin = _labelled(y[3])
+    order = np.argsort(other, kind="stable")
+    other, node = other[order], np.repeat(np.arange(len(sizes[1])), sizes[1])[order]
+    kept: list = []
+    for i, j, _ in agreeing_across(x, y, bucket, same):
+        longer = np.maximum(sizes[0][i], sizes[1][j])
+        limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        near = longer - np.minimum(sizes[0][i], sizes[1][j]) <= limit
+        i, j, longer, limit = i[near], j[near], longer[near], limit[near]
+        common = np.empty(len(i), np.int64)
+        for at, to in zip(*_runs(i)):
+            own = labels[begin[i[at]] : begin[i[at] + 1]]
+            a, b = np.searchsorted(other, own), np.searchsorted(other, own, "right")
+            ends = np.cumsum(b - a)
+            held = node[np.arange(ends[-1]) + np.repeat(a - ends + (b - a), b - a)]
+            common[at:to] = np.bincount(held, minlength=len(sizes[1]))[j[at:to]]
+        near = longer - common <= limit
+        kept.append(np.stack([i[near], j[near], limit[near], (longer - common - limit)[near]]))
+    i, j, limit, rest = np.concatenate(kept, 1) if kept else np.empty((4, 0), np.int64)
+    order = np.argsort(rest, kind="stable")
+    i, j, limit = i[order], j[order], limit[order]
+    names, inverse = np.unique(np.concatenate([x[0], y[0]]), axis=0, return_inverse=True)
+    of = inverse.reshape(-1)
+    now, turn = np.arange(len(names)), 1
+    a, b = of[i], of[len(x[0]) + j]
+    while True:
+        apart = now[a] != now[b]
+        i, j, limit, a, b = (v[apart] for v in (i, j, limit, a, b))
+        if not len(i):
+            return
+        pair = np.minimum(now[a], now[b]) * len(names) + np.maximum(now[a], now[b])
+        order = np.argsort(pair, kind="stable")
+        starts, ends = _runs(pair[order])
+        chosen = np.zeros(len(i), bool)
+        chosen[order[np.arange(len(i)) - np.repeat(starts, ends - starts) < turn]] = True
+        at = np.flatnonzero(chosen)
+        good = at[distances_within([(x[3][p], y[3][q], int(n)) for p, q, n in zip(i[at], j[at], limit[at], strict=True)])]
+        for k in good.tolist():
+            one, two = now[a[k]], now[b[k]]
+            if one != two:
+                now[now == two] = one
+                yield int(i[k]), int(j[k])
+        i, j, limit, a, b = (v[~chosen] for v in (i, j, limit, a, b))
+        turn *= 4
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal neighbours."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return starts, np.append(starts[1:], len(x)) if len(x) else starts
+
+
+def _across(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all classes with a similar pair that shares a crowded bucket and agrees in AGREE samples.
+
+    A bucket of one class has none. The others are cut into blocks of about BLOCK nodes and
+    BLOCK_ITEMS shingles, the largest class apart from the rest, and each block meets each but
+    those of the same class in a task of its own, which passes on links alone. crowd: bucket, key.
     """
     held = crowd.groupBy("key").agg(F.collect_set("bucket").alias("held"))
-    held = held.join(nodes.select("key", "sketch"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    held = written(held.select("key", F.coalesce("root", "key").alias("root"), "sketch", "held"), "held")
-    sizes = held.select("root", F.explode("held").alias("bucket")).groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    of = lambda n: F.pmod(F.hash("key"), F.ceil(n / BLOCK).cast("int"))
-    block = F.when(F.col("n") <= BLOCK, 0).when(F.col("root") == F.col("top"), -1 - of(F.col("m"))).otherwise(of(F.col("n") - F.col("m")))
-    node = F.struct("key", "root", "sketch", F.transform("sketch", lambda x: F.array_contains("held", x)).alias("crowded"))
-    blocks = held.select("root", node.alias("node"), "key", F.explode("held").alias("bucket")).join(mixed, "bucket")
-    blocks = written(blocks.groupBy("bucket", block.alias("block")).agg(F.collect_list("node").alias("nodes")), "blocks")
-    names = blocks.select("bucket", "block")
-    sides = names.withColumnRenamed("block", "x").join(names.withColumnRenamed("block", "y"), "bucket").where("x <= y and y >= 0")
-    sides = sides.join(blocks.select("bucket", F.col("block").alias("x"), F.col("nodes").alias("nodes_x")), ["bucket", "x"])
-    sides = sides.join(blocks.select("bucket", F.col("block").alias("y"), F.when(F.col("block") < 0, None).otherwise(F.col("nodes")).alias("nodes_y")), ["bucket", "y"])
+    held = held.join(nodes.select("key", "sketch"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(sequences, "key")
+    held = written(held.select("key", F.coalesce("root", "key").alias("root"), "sketch", "held", "seq"), "held")
+    sizes = held.select("root", (F.length("seq") / 4).alias("items"), F.explode("held").alias("bucket")).groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("items").alias("items"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by(F.struct("root", "m", "items"), F.struct("m", "root")).alias("top"), F.sum("m").alias("m"), F.sum("items").alias("items")).where("classes > 1")
+    cut = lambda m, items: F.ceil(F.greatest(m / F.lit(BLOCK), items / F.lit(BLOCK_ITEMS))).cast("int")
+    whole = F.greatest(F.col("m") / BLOCK, F.col("items") / BLOCK_ITEMS) <= 1
+    mixed = mixed.select("bucket", F.when(~whole, F.col("top.root")).alias("top"), F.when(whole, 0).otherwise(cut(F.col("top.m"), F.col("top.items"))).alias("tops"), F.when(whole, 1).otherwise(cut(F.col("m") - F.col("top.m"), F.col("items") - F.col("top.items"))).alias("others"))
+    # blocks 0 .. others - 1 hold the rest, others .. others + tops - 1 the largest class
+    deal = lambda n: F.pmod(F.hash("key", F.lit(3)), n)
+    on_top = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
+    placed = held.select("key", "root", F.explode("held").alias("bucket")).join(mixed, "bucket")
+    placed = placed.withColumn("own", F.when(on_top, F.col("others") + deal(F.greatest("tops", F.lit(1)))).otherwise(deal(F.col("others"))))
+    meets = F.when(on_top, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
+    placed = placed.select("key", "bucket", "own", F.explode(meets).alias("meets"))
+    node = F.struct((F.col("own") > F.col("meets")).alias("second"), "key", "root", "sketch", F.transform("sketch", lambda x: F.array_contains("held", x)).alias("crowded"), "seq")
+    sides = placed.join(held, "key").groupBy("bucket", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y")).agg(F.collect_list(node).alias("nodes"))
 
     def compare(batches):
-        def read(nodes: pa.StructArray) -> tuple:
-            keys, roots = (nodes.field(i).to_pylist() for i in (0, 1))
-            rest = [nodes.field(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES) for i in (2, 3)]
-            return keys, roots, (np.frombuffer(b"".join(roots), np.uint64).reshape(-1, 2), *rest)
-
         for batch in batches:
             for r in range(batch.num_rows):
-                bucket, x, y = (batch.column(i)[r].as_py() for i in (0, 1, 2))
-                left = read(batch.column(3)[r].values)
-                right = left if x == y else read(batch.column(4)[r].values)
-                for found in agreeing_across(left[2], right[2], bucket, x == y):
-                    rows = [(left[0][i], right[0][j], n, left[1][i], right[1][j]) for i, j, n in zip(*(v.tolist() for v in found), strict=True)]
-                    rows = [(*sorted(r[:2]), r[2], *sorted(r[3:])) for r in rows]
-                    if rows:
-                        types = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "b", "n", "ra", "rb"])
-
-    return sides.select("bucket", "x", "y", "nodes_x", "nodes_y").mapInArrow(compare, "a binary, b binary, n int, ra binary, rb binary")
+                bucket, apart = batch.column(0)[r].as_py(), batch.column(1)[r].as_py() != batch.column(2)[r].as_py()
+                nodes: pa.StructArray = batch.column(3)[r].values
+                second, keys, roots = (nodes.field(i).to_pylist() for i in (0, 1, 2))
+                sketch, crowded = (nodes.field(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES) for i in (3, 4))
+                names = np.frombuffer(b"".join(roots), np.uint64).reshape(-1, 2)
+                seqs = [np.frombuffer(s, np.uint32) for s in nodes.field(5).to_pylist()]
+                side = np.array(second, bool)
+                left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if apart else (np.arange(len(keys)),) * 2
+                if not len(left) or not len(right):
+                    continue
+                blocks = [(names[at], sketch[at], crowded[at], [seqs[k] for k in at]) for at in (left, right)]
+                found = [sorted((keys[left[i]], keys[right[j]])) for i, j in links_across(*blocks, bucket, not apart, similarity)]
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return sides.select("bucket", "x", "y", "nodes").mapInArrow(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -338,10 +452,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     Texts without words have no plan.
 
     In a bucket of up to SMALL nodes all pairs count; in a larger one every node is first
-    paired with the bucket's pivot. Then all pairs of larger buckets that are still in
-    different classes and agree in AGREE samples are tested: in ROUNDS rounds of each two classes
-    the pair that agrees most, then all others that are still apart. So the classes are those of all
-    similar pairs that agree in AGREE samples.
+    paired with the bucket's pivot. Then the nodes of larger buckets that are still in
+    different classes meet in blocks, where each pair that agrees in AGREE samples is decided.
+    So the classes are those of all similar pairs that agree in AGREE samples.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
@@ -352,40 +465,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     entries = written(nodes.select("key", F.explode("sketch").alias("bucket")), "entries")
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     buckets = written(buckets, "buckets")
-    crowded = written(entries.join(buckets, "bucket").select("bucket", "n", "pivot", "key"), "crowded")
+    shared = written(entries.join(buckets, "bucket").select("bucket", "n", "pivot", "key"), "shared")
 
-    small = crowded.where(F.col("n") <= SMALL)
+    small, crowd = shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
     agreeing = small.groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     agreeing = agreeing.select(F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = crowded.where((F.col("n") > SMALL) & (F.col("key") != F.col("pivot"))).select(*_ordered("key", "pivot"))
+    large = crowd.where(F.col("key") != F.col("pivot")).select(*_ordered("key", "pivot"))
     counted = agreeing.union(large).groupBy("a", "b").agg(F.count("*").alias("n"))
     tested = written(counted.where(F.col("n") >= AGREE).select("a", "b"), "pairs")
-    texts = base.where("key is not null")
-    links = written(_verify(texts, nodes, tested, similarity), "links")
+    sequences = _sequences(base.where("key is not null"), nodes, tested.select(F.explode(F.array("a", "b")).alias("key")).union(crowd.select("key")))
+    links = written(_verify(tested, sequences, similarity), "links")
     roots = components(links)
 
-    crowd = crowded.where(F.col("n") > SMALL)
     if crowd.limit(1).count():
-        across = _across(crowd.select("bucket", "key"), nodes, roots).join(tested, ["a", "b"], "left_anti")
-        across = written(across, "across")
-        turn, linked = 0, True
-        while across.limit(1).count():
-            # first one pair of each two classes, since others may fall inside a class then; at last all that are left
-            final = turn == ROUNDS or not linked
-            best = across.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
-            best = written(across.select("a", "b") if final else best, "pairs")
-            more = written(_verify(texts, nodes, best, similarity), "links")
-            turn, linked = turn + 1, more.limit(1).count() > 0
-            if linked:
-                links = links.union(more)
-                roots = components(links)
-            if final:
-                break
-            across = across.join(best, ["a", "b"], "left_anti")
-            for old, new in (("a", "ra"), ("b", "rb")) if linked else ():
-                across = across.drop(new).join(roots.select(F.col("node").alias(old), F.col("root").alias(new)), old, "left").withColumn(new, F.coalesce(new, old))
-            across = across.where("ra <> rb").select("a", "b", "n", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
-            across = written(across, "across")
+        more = written(_across(crowd.select("bucket", "key"), nodes, roots, sequences, similarity), "links")
+        if more.limit(1).count():
+            roots = components(links.union(more))
 
     of_key = written(nodes.select("key", "least", "rows").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
     of_root = written(of_key.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("m"), F.sum("rows").alias("group_size")).select("root", F.col("m.least").alias("group_id"), F.col("m.key").alias("kept_key"), "group_size"), "groups")
@@ -401,7 +496,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with equal ids are rows of their own. Other columns are left out.
     """
     light, plan = classes(docs, doc_id, text, similarity)
-    rows = light.select("doc_id", "key").join(plan, "key", "left")
+    rows = light.select("doc_id", "key")
+    hot = plan.where(F.col("rows") > HOT_ROWS)
+    if 0 < hot.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        of_hot = rows.join(F.broadcast(hot), "key")
+        rows = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(plan.where(F.col("rows") <= HOT_ROWS), "key", "left").unionByName(of_hot)
+    else:
+        rows = rows.join(plan, "key", "left")
     one = F.row_number().over(W.partitionBy("key", "doc_id").orderBy(F.lit(1))) == 1
     keep = F.col("kept_text") & F.col("doc_id").eqNullSafe(F.col("least")) & one
     worded = F.col("group_size").isNotNull()
