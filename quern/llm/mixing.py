@@ -52,7 +52,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     Each source gets its target in words: every document floor(target / source_size) times,
     and once more those that come first by a seeded hash until the rest is filled; the one on
     the border is taken if more than half of it fits. The order is that of md5(seed, id,
-    text); equal rows are interchangeable. A null or empty text has size 0. A null source is
+    text); rows equal in id and text are interchangeable, and where the border falls among
+    them (only then they are numbered) as many are taken as fit. A null or empty text has size 0. A null source is
     a source. Columns of the results' names give way. Reruns give the same rows.
 
     A source may hold any share of the rows: sums by hash range come first, and only
@@ -77,15 +78,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     # the last key taken within that range: only its documents are put in order
     within = light.withColumnRenamed("_range", "_r").join(border, of_source & (F.col("_r") == F.col("_range")))
     run = F.coalesce(F.sum("size").over(W.partitionBy("_s").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last = within.withColumn("_fits", F.col("_before") + run + F.col("size") / 2 <= F.col("rest")).groupBy(F.col("_s").alias("_t")).agg(F.max(F.when(F.col("_fits"), F.col("_key"))).alias("_last"), F.first("_range").alias("_at"))
+    fits = within.withColumn("_fits", F.col("_before") + run + F.col("size") / 2 <= F.col("rest"))
+    # rows equal in id and text share a key: the last key may be taken for some of its rows only
+    fits = fits.groupBy(F.col("_s").alias("_t"), "_key").agg(F.count_if("_fits").alias("_n"), F.count("*").alias("_of"), F.first("_range").alias("_range"))
+    last = fits.groupBy("_t").agg(F.max(F.when(F.col("_n") > 0, F.struct("_key", "_n", "_of"))).alias("_end"), F.first("_range").alias("_at"))
+    last = last.select("_t", F.col("_end._key").alias("_last"), F.when(F.col("_end._n") < F.col("_end._of"), F.col("_end._n")).alias("_few"), "_at")
     # keys are 32 hexadecimal digits: "" is below all, "g" above all, three digits below those that start with them
     cutoff = F.when(F.col("_last").isNotNull(), F.col("_last")).when(F.col("_at").isNotNull(), F.lower(F.lpad(F.hex(F.col("_at")), 3, "0"))).when(F.col("rest") > 0, "g").otherwise("")
-    plan = filled.join(last, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "source_size", "target", "whole", cutoff.alias("_cutoff"))
+    plan = filled.join(last, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "source_size", "target", "whole", cutoff.alias("_cutoff"), "_few")
     plan = written(plan, "mixing-plan")
     small = plan.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
     at = docs.select(*kept, words(text).alias("size"), digest.alias("_key")).join(F.broadcast(plan) if small else plan, F.col(f"`{source}`").eqNullSafe(F.col("_s")))
-    reps = (F.col("whole") + (F.col("_key") <= F.col("_cutoff")).cast("int")).cast("int")
-    return at.select(*kept, "size", "source_size", "target", reps.alias("reps"))
+    result = lambda rows, extra: rows.select(*kept, "size", "source_size", "target", (F.col("whole") + extra.cast("int")).cast("int").alias("reps"))
+    extra = F.col("_key") <= F.col("_cutoff")
+    if not plan.where("_few is not null").limit(1).count():
+        return result(at, extra)
+    torn = F.col("_few").isNotNull() & (F.col("_key") == F.col("_cutoff"))
+    number = F.row_number().over(W.partitionBy("_s").orderBy(F.lit(1)))
+    return result(at.where(~torn), extra).unionByName(result(at.where(torn).withColumn("_number", number), F.col("_number") <= F.col("_few")))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:

@@ -56,3 +56,14 @@ def test_odd_rows(spark):
     assert all(r.reps <= 2 for r in got)
     assert mixing.repeat_rows(mixing.mix(docs)).count() == sum(r.reps for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_border_among_equal_rows(spark):
+    rows = [(i, "a", "w " * 5) for i in range(100)] + [(7, "b", "w " * 10)] * 400 + [(i, "b", "w " * 10) for i in range(100, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs.repartition(4)).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source"):
+        assert abs((g["size"] * g.reps).sum() - g.target.iloc[0]) <= g["size"].max()
+    again = mixing.mix(docs.repartition(7)).toPandas()
+    assert sorted(zip(got.doc_id, got.reps)) == sorted(zip(again.doc_id, again.reps))
