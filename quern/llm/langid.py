@@ -54,19 +54,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     """Count hashed n-grams of a bounded sample of labelled texts; null texts and labels are left out.
 
     sample_per_lang bounds the sample: texts of a language are kept with the probability that
-    gives so many, decided by a hash of the text, so reruns learn the same. Rows whose text is
-    the same share their fate. An empty training set gives a model without languages.
+    gives so many, decided by a hash of the text, so reruns learn the same; one text at least.
+    A text that stands in many rows of a language is learned once. An empty training set gives
+    a model without languages.
     """
     labelled = docs.select(F.col(text).alias("_t"), F.col(lang).alias("_l"), (F.lit(True) if where is None else where).alias("_w"))
     labelled = labelled.where("_w and _t is not null and _l is not null").select("_t", "_l")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_l").count().limit(MAX_LANGS + 1).collect()}
+    place = F.pmod(F.xxhash64("_t", F.lit(11)), F.lit(1 << 20))
+    found = labelled.groupBy("_l").agg(F.count("*"), F.min(place)).limit(MAX_LANGS + 1).collect()
+    sizes, least = {r[0]: r[1] for r in found}, {r[0]: r[2] for r in found}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / sizes[k])))])
-    chosen = F.pmod(F.xxhash64("_t", F.lit(11)), F.lit(1 << 20)) < F.element_at(share, F.col("_l")) * (1 << 20)
+    below = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(max(least[k] + 1.0, min(1.0, sample_per_lang / sizes[k]) * (1 << 20))))])
+    sample = labelled.where(place < F.element_at(below, F.col("_l"))).distinct()
     narrow_batches(docs.sparkSession)
 
     def count(batches):
@@ -82,7 +85,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
-    counted = labelled.where(chosen).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # at most BUCKETS * MAX_LANGS rows
     totals = np.ones((BUCKETS, len(langs)))
     order = {k: i for i, k in enumerate(langs)}
@@ -91,21 +94,46 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     return Model(langs, np.log(totals / totals.sum(0)).astype(np.float32), np.log(sizes_in_order / sizes_in_order.sum()))
 
 
+def _pieces(codes: list[np.ndarray], width: int):
+    """Yield lists of (text, codes) of about width codes; a longer text goes in overlapping pieces."""
+    held, size, lap = [], 0, max(ORDERS) - 1
+    for i, c in enumerate(codes):
+        for at in range(0, max(1, len(c) - lap), width):
+            held.append((i, c[at : at + width + lap]))
+            size += len(held[-1][1])
+            if size >= width:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def score_texts(model: Model, texts: list[str | None]) -> list[dict]:
-    """The likeliest language of each text with its posterior probability."""
-    out = []
-    width = max(1 << 12, (1 << 22) // max(1, len(model.langs)) // len(ORDERS))
-    for t in texts:
-        if t is None or not model.langs or not any(map(str.isalpha, t)):
-            out.append({"lang_pred": UNDETERMINED, "score": 0.0})
-            continue
-        codes, total = _codes(t), model.priors.copy()
-        for at in range(0, len(codes), width):
-            for b in _buckets(codes[at : at + width + max(ORDERS) - 1]):
-                total += model.weights[b].sum(0, dtype=np.float64)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        out.append({"lang_pred": model.langs[best], "score": float(p[best] / p.sum())})
+    """The likeliest language of each text with its posterior probability.
+
+    The texts of a batch are one sparse matrix in row form: the buckets of all n-grams beside
+    each other and the offset of each text. Its product with the matrix of log probabilities is
+    a sum of rows between offsets.
+    """
+    out: list[dict] = [{"lang_pred": UNDETERMINED, "score": 0.0} for _ in texts]
+    worded = [i for i, t in enumerate(texts) if t is not None and model.langs and any(map(str.isalpha, t))]
+    if not worded:
+        return out
+    width, lap = max(1 << 12, (1 << 20) // len(model.langs)), max(ORDERS) - 1
+    totals = np.tile(model.priors, (len(worded), 1))
+    for piece in _pieces([_codes(texts[i]) for i in worded], width):
+        rows, parts = zip(*piece, strict=True)
+        lengths = np.array([len(p) for p in parts])
+        ends = np.cumsum(lengths)
+        inside = np.ones(ends[-1], bool)
+        inside[(ends[:, None] - np.arange(1, lap + 1)).ravel()] = False
+        offsets = np.concatenate([[0], np.cumsum(lengths - lap)[:-1]])
+        for b in _buckets(np.concatenate([*parts, np.zeros(lap, np.uint32)])):
+            np.add.at(totals, list(rows), np.add.reduceat(model.weights[b[inside]], offsets, axis=0, dtype=np.float64))
+    p = np.exp(totals - totals.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    for i, best, row in zip(worded, p.argmax(1).tolist(), p.tolist(), strict=True):
+        out[i] = {"lang_pred": model.langs[best], "score": row[best]}
     return out
 
 
