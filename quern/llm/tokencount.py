@@ -13,6 +13,8 @@ TABLE_ENTRIES = 32_768
 KEY_BYTES = 48
 #: Texts that the table's frequencies are taken from; they decide only what is looked up fast, never a count.
 TABLE_SAMPLE = 3000
+#: Texts longer than so many bytes aren't in that sample, so that it fits one task.
+SAMPLE_BYTES = 1 << 16
 #: Entries a worker caches before it starts afresh.
 CACHE_ENTRIES = 300_000
 
@@ -22,12 +24,12 @@ _RESULT = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = TABLE_ENTRIES) -> list[bytes]:
     """The commonest runs without white space in a bounded sample of the texts.
 
-    Each task counts its own sample in place and passes on its commonest; no pre-token of the
-    corpus is shuffled.
+    The sampled texts themselves go to one task, which counts their runs and passes on the
+    commonest: no pre-token is shuffled, and the driver gets `entries` short keys at most.
     """
-    n = docs.count()
+    n = docs.count()  # from the file footers
     share = min(1.0, TABLE_SAMPLE / max(1, n))
-    sample = docs.select(F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)))
+    sample = docs.select(F.col(text).cast("binary").alias("t")).where(F.length("t") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64("t", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches):
         from collections import Counter
@@ -36,13 +38,11 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", entries: int = TABLE
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 held.update(w for w in t.split() if len(w) <= KEY_BYTES)
-            if len(held) > 8 * entries:
-                held = Counter(dict(held.most_common(4 * entries)))
-        top = held.most_common(entries)
+        top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:entries]
         if top:
-            yield pa.record_batch([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], names=["w", "n"])
+            yield pa.record_batch([pa.array([w for w, _ in top], pa.binary())], names=["w"])
 
-    top = sample.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(entries)
+    top = sample.distinct().coalesce(1).mapInArrow(count, "w binary")
     return [bytes(r[0]) for r in top.collect()]
 
 
