@@ -125,3 +125,80 @@ def test_blocks_find_all_pairs_across():
             found += zip(at[i].tolist(), at[j].tolist(), n.tolist(), strict=True)
     want = [(i, j, int((sketch[i] == sketch[j]).sum())) for i, j in itertools.combinations(range(200), 2) if roots[i, 0] != roots[j, 0]]
     assert sorted(found) == [x for x in want if x[2] >= neardup.AGREE]
+
+
+def test_many_equal_rows(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    docs = spark.createDataFrame([(1, one)] * 300 + [(2, two)] * 300 + [(i, one) for i in range(10, 20)], "doc_id long, text string").repartition(4)
+    light, plan = neardup.classes(docs)
+    assert plan.count() == 2 and {r.group_size for r in plan.collect()} == {610}
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == 610 and {r.group_id for r in got} == {1} and sum(r.keep for r in got) == 1
+    assert neardup.drop_near_duplicates(docs).count() == 1
+
+
+def test_hot_text_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    rows = [(i, "same words in every row") for i in range(20)] + [(50, "other words alone here"), (51, None), (52, "")]
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 23 and {got[i].group_id for i in range(20)} == {0} and sum(r.keep for r in got.values()) == 4
+    assert [got[i].group_id for i in (50, 51, 52)] == [50, 51, 52]
+
+
+def test_recall_near_the_threshold():
+    """Of pairs whose similarity is just above the limit at least 0.98 agree in enough samples."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(400):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(200)]
+        copy = list(words)
+        for i in rng.sample(range(200), 7):  # up to 35 of 196 shingles
+            copy[i] = f"x{rng.getrandbits(40)}"
+        texts += [" ".join(words).encode(), " ".join(copy).encode()]
+    items, begin = neardup.shingles(texts)
+    seqs = [items[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    good = neardup.similar(list(zip(seqs[::2], seqs[1::2], strict=True)))
+    keys = np.array(neardup.sketches(texts))
+    agree = (keys[::2] == keys[1::2]).sum(1) >= neardup.AGREE
+    assert good.mean() > 0.95 and agree[good].mean() >= 0.98
+
+
+def test_links_join_all_classes_of_similar_pairs():
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(0, 2**31, 80).astype(np.uint32) for _ in range(3)]
+    seqs = []
+    for k in range(90):
+        s = bases[k % 3].copy()
+        s[rng.choice(80, rng.integers(0, 25), replace=False)] = rng.integers(0, 2**31)
+        seqs.append(s)
+    sketch = np.ones((90, neardup.SAMPLES), np.int64)
+    block = (np.arange(90), sketch, np.ones(sketch.shape, bool), seqs)
+
+    def closed(pairs):
+        root = list(range(90))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    part = lambda at: (block[0][at, None], *[[x[k] for k in at] if isinstance(x, list) else x[at] for x in block[1:]])
+    limit = int(0.2 * 80 + 1e-9)
+    want = closed((i, j) for i, j in itertools.combinations(range(90), 2) if distance(seqs[i].tolist(), seqs[j].tolist()) <= limit)
+    every = np.arange(90)
+    links = list(neardup.links_across(part(every), part(every), 1, True))
+    assert closed(links) == want and len(links) == 90 - len(set(want))
+    a, b = every[:50], every[50:]
+    links = [(int(x[i]), int(y[j])) for x, y, same in ((a, a, True), (b, b, True), (a, b, False)) for i, j in neardup.links_across(part(x), part(y), 1, same)]
+    assert closed(links) == want
+
+
+def test_chain_bounds_the_distance():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = rng.permutation(60)[: rng.integers(1, 60)].astype(np.uint32)
+        b = np.concatenate([a[: len(a) // 2], rng.integers(0, 90, rng.integers(0, 20)), a[len(a) // 2 :]]).astype(np.uint32)
+        assert neardup._chained(a, b) >= distance(a.tolist(), b.tolist())
+    a = np.arange(200_000, dtype=np.uint32)
+    b = a.copy()
+    b[::10] += 1_000_000
+    assert neardup.similar([(a, b)]).tolist() == [True]
