@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,59 +21,110 @@ STOP_WORDS = {
     "es": "el la los las de y que en un una por con no para su al lo como más o pero sus le ha me si sin sobre este es se del".split(),
 }
 _STOPS = frozenset(w for words in STOP_WORDS.values() for w in words)
+_WORD = re.compile(r"[^\W\d_]+")
 
-#: Limits of the first pass: share of linked characters, characters of a short and of a long block, shares of stop words.
-LINK_LIMIT, SHORT_CHARS, LONG_CHARS, FEW_STOPS, MANY_STOPS = 0.25, 70, 200, 0.12, 0.25
+#: Limits of the first pass: shares of linked characters, characters of a short and of a long block, shares of stop words.
+LINKED, MOSTLY_LINKED, SHORT_CHARS, LONG_CHARS, FEW_STOPS, MANY_STOPS = 0.25, 0.5, 70, 200, 0.12, 0.25
+#: A page whose longer blocks have a smaller share of stop words is in a language without a list.
+FOREIGN_STOPS = 0.06
 
-_RAW = "script style noscript template textarea iframe svg math object select title"
+_RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NESTED = _BLOCKS - _VOID - {"p", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"} | {"a", "button", "span", "label"}
 _OUTSIDE = frozenset("aside button dialog fieldset footer form head menu nav search".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + _RAW.replace(" ", "|") + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE | re.DOTALL)
+_START = re.compile(r"<(?:(?P<note>!--|!\[CDATA\[|[!?])|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))")
+_QUOTED = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
+_END_OF_RAW = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_SIDE_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adbox|adslot|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|comment|comments|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|copyright|complementary|contentinfo|search|alert|dialog|form)(?:[^a-z]|$)"
-)
 
+# Names of elements without main text; of such that may wrap it; words that say nothing; words that turn a name round.
+_SIDE = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies reply share sharing related recommended newsletter subscribe subscription pagination pager copyright complementary contentinfo".split())
+_PERHAPS = frozenset("banner social signup login popup modal overlay widget toolbar search alert dialog form".split())
+_NEUTRAL = frozenset("area bar block body box container content group inner item items list outer panel section site text thread wrap wrapper".split())
+_TURNED = frozenset("has no not with without is hide show js".split())
 
-def _aside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds no main text, by its tag and its names."""
+
+def _named(value: str) -> int:
+    """2 if a class, id or role names a side part, 1 if it may, 0 otherwise. Its last word that says something decides."""
+    found = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not words or words[0] in _TURNED:
+            continue
+        last = next((w for w in reversed(words) if w not in _NEUTRAL), "")
+        found = max(found, 2 if last in _SIDE else 1 if last in _PERHAPS else 0)
+    return found
+
+
+def _aside(tag: str, attrs: str, in_article: bool) -> int:
+    """2 for an element without main text, by its tag or its names, 1 where only dense text in it counts, else 0."""
     if tag in _OUTSIDE or (tag == "header" and not in_article):
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTRIBUTE.findall(attrs):
+        return 2
+    found = 0
+    for name, value in _ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name in ("class", "id", "role") and _SIDE_NAME.search(value):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role"):
+            found = max(found, _named(value))
+    return found
 
 
+@dataclass(slots=True)
 class Block:
-    __slots__ = ("text", "linked", "aside", "article", "heading")
+    """A block's text, its characters inside links, whether it stands aside (2) or perhaps (1), its innermost article or main (0: none)."""
 
-    def __init__(self, text: str, linked: int, aside: bool, article: bool, heading: bool):
-        self.text, self.linked, self.aside, self.article, self.heading = text, linked, aside, article, heading
+    text: str
+    linked: int
+    aside: int
+    article: int
+    heading: bool
+
+
+def _tokens(page: str):
+    """Yield (text before, tag or None, closing, attributes), the tag in small letters; linear in the page's length.
+
+    Comments and raw elements come as None or as their tag with None as attributes. A quote
+    that is never closed ends quoting for the rest of the page.
+    """
+    at, quotes = 0, True
+    while m := _START.search(page, at):
+        before, note = page[at : m.start()], m["note"]
+        if note:
+            close = {"!--": "-->", "![CDATA[": "]]>"}.get(note, ">")
+            end = page.find(close, m.end())
+            at = len(page) if end < 0 else end + len(close)
+            yield before, None, False, ""
+            continue
+        tag = m["tag"].lower()
+        end = -1
+        if quotes:
+            q = _QUOTED.match(page, m.end())
+            quotes = q is not None
+            end = q.end() if q else -1
+        if end < 0:
+            end = page.find(">", m.end()) + 1
+            if not end:
+                break
+        attrs = page[m.end() : end - 1]
+        at = end
+        if tag in _RAW and not m["close"]:
+            q = _END_OF_RAW[tag].search(page, end)
+            at = q.end() if q else len(page)
+            attrs = None
+        yield before, tag, bool(m["close"]), attrs
+    yield page[at:], None, False, ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with the characters inside links and where they stand."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, aside, article, link
-    aside = article = link = heading = False
+    stack: list[tuple[str, int, int, bool]] = []  # tag, aside, article, link
+    held: Counter = Counter()
+    aside, article, link, heading = 0, 0, False, False
     parts: list[str] = []
-    linked = 0
-
-    def text(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            piece = entities.unescape(piece)
-            parts.append(piece)
-            if link:
-                linked += len("".join(piece.split()))
+    linked = articles = 0
 
     def end() -> None:
         nonlocal linked
@@ -82,115 +135,138 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for piece, tag, close, attrs in _tokens(page):
+        if piece:
+            piece = entities.unescape(piece)
+            parts.append(piece)
+            if link:
+                linked += len("".join(piece.split()))
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("select", "textarea", "iframe", "object"):
+            continue
+        if attrs is None:
+            if tag in ("select", "textarea", "iframe", "object"):
                 parts.append(" ")
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         if tag in _BLOCKS:
             end()
-            heading = not m["close"] and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        if tag not in _NESTED or m["attrs"].endswith("/") and tag in _VOID:
+            heading = not close and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        if tag not in _NESTED or attrs.endswith("/") and tag in _VOID:
             continue
-        if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in _BLOCKS and (stack[i][1] != (stack[i - 1][1] if i else False)):
-                        end()
-                    del stack[i:]
-                    break
-            _, aside, article, link = stack[-1] if stack else ("", False, False, False)
+        if close:
+            if held[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if tag not in _BLOCKS and stack[i][1] != (stack[i - 1][1] if i else 0):
+                    end()
+                held.subtract(x[0] for x in stack[i:])
+                del stack[i:]
+            _, aside, article, link = stack[-1] if stack else ("", 0, 0, False)
         else:
-            side = aside or _aside(tag, m["attrs"], article)
+            side = max(aside, _aside("div" if tag == "article" else tag, attrs, article > 0))
             if side != aside and tag not in _BLOCKS:
                 end()
             if tag in ("article", "main"):
-                side = aside or bool(tag == "article" and m["attrs"] and _aside("div", m["attrs"], True))
-                article = True
+                articles += 1
+                article = articles
+                side = aside if tag == "main" else side
             aside, link = side, link or tag == "a"
             stack.append((tag, aside, article, link))
-    text(page[at:])
+            held[tag] += 1
     end()
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, or - where the block alone doesn't tell - near or short."""
+def _stops(b: Block) -> float:
+    words = _WORD.findall(b.text.lower())
+    return sum(w in _STOPS for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, foreign: bool = False) -> str:
+    """good, bad, or - where the block alone doesn't tell - near or short.
+
+    foreign: the page is in a language without a list, length and links decide.
+    """
     size = len(b.text)
-    links = b.linked / max(1, size - b.text.count(" "))
-    if b.aside or links > (0.6 if b.article else LINK_LIMIT):
+    links, stops = b.linked / max(1, size - b.text.count(" ")), _stops(b)
+    if links > MOSTLY_LINKED:
         return "bad"
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in _STOPS for w in words) / len(words)
     if size < SHORT_CHARS:
-        return "short" if links == 0 or b.article else "bad"
-    if stops >= MANY_STOPS:
-        return "good" if size > LONG_CHARS else "near"
-    if stops >= FEW_STOPS:
-        return "near"
-    return "short" if b.article else "bad"
+        label = "short" if b.linked == 0 or b.article else "bad"
+    elif links <= LINKED and size > LONG_CHARS and (stops >= MANY_STOPS or foreign):
+        return "good"
+    elif stops >= FEW_STOPS or foreign or b.article:
+        label = "near"
+    else:
+        label = "bad"
+    # what perhaps stands aside must be good by itself
+    return "bad" if b.aside else label
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     """Ambiguous blocks take the label of the nearest decided neighbours.
 
-    Inside an article element only neighbours in it count, and without any the element
-    itself decides. Elsewhere a near block needs one good neighbour, a short one two, a
-    heading a good one after it; a page on which nothing is decided keeps what it has.
+    In an article or main element its own neighbours count, the nearer one for a short block;
+    where nothing in it is decided it is kept. Elsewhere a near block needs one good
+    neighbour, a short one two. A heading goes with what follows it. A page on which nothing
+    is decided keeps what it has. If articles hold most of what is left, the rest goes.
     """
-    n = len(blocks)
-    decided = [x in ("good", "bad") for x in labels]
-    before, after = [-1] * n, [-1] * n
-    last = -1
-    for i in range(n):
-        before[i] = last
-        last = i if decided[i] else last
-    last = -1
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = i if decided[i] else last
-    out = []
+    regions: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        if decided[i]:
-            out.append(labels[i] == "good")
+        regions.setdefault(b.article, []).append(i)
+    whole = list(range(len(blocks)))
+    out = [x == "good" for x in labels]
+    for region, own in regions.items():
+        decided = any(labels[i] in ("good", "bad") for i in own)
+        if not decided and region:
+            for i in own:
+                out[i] = True
             continue
-        if b.article:
-            # what is set apart inside an article says nothing about the text around it
-            out.append(True)
-            continue
-        near = [labels[j] == "good" for j in (before[i], after[i]) if j >= 0]
-        if not near:
-            out.append(True)
-        elif b.heading:
-            out.append(after[i] >= 0 and labels[after[i]] == "good")
-        else:
-            out.append(any(near) if labels[i] == "near" else all(near))
-    if any(b.article and keep for b, keep in zip(blocks, out, strict=True)):
-        out = [keep and b.article for b, keep in zip(blocks, out, strict=True)]
-    return out
+        order = own if decided else whole
+        before, last = {}, -1
+        for i in order:
+            before[i] = last
+            last = i if labels[i] in ("good", "bad") else last
+        after, last = {}, -1
+        for i in reversed(order):
+            after[i] = last
+            last = i if labels[i] in ("good", "bad") else last
+        for i in own:
+            if labels[i] in ("good", "bad"):
+                continue
+            near = [(abs(i - j), labels[j] != "good") for j in (before[i], after[i]) if j >= 0]
+            if not near:
+                out[i] = True
+            elif blocks[i].heading and after[i] >= 0:
+                out[i] = labels[after[i]] == "good"
+            elif labels[i] == "near":
+                out[i] = not all(bad for _, bad in near)
+            else:
+                out[i] = not min(near)[1] if region else not any(bad for _, bad in near)
+    held = [len(b.text) * keep for b, keep in zip(blocks, out, strict=True)]
+    rest = 2 * sum(n for b, n in zip(blocks, held, strict=True) if b.article) < sum(held)
+    return [keep and (b.article > 0 or rest) for b, keep in zip(blocks, out, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: kept blocks in page order, one line each."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    labels = [first_pass(b) for b in blocks]
+    blocks = [b for b in blocks_of(page) if b.aside < 2]
+    longer = [b for b in blocks if len(b.text) >= SHORT_CHARS]
+    foreign = bool(longer) and sum(_stops(b) * len(b.text) for b in longer) < FOREIGN_STOPS * sum(len(b.text) for b in longer)
+    labels = [first_pass(b, foreign) for b in blocks]
     return "\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """pages with text, the main text of each whole page; a null or empty page gives an empty text.
 
-    First pass: length, link density and stop-word density decide blocks, elements that by
-    tag or name hold menus, notices, adverts, forms or comments are bad. Second pass: the
+    Elements that by tag or name hold menus, notices, adverts, forms or comments are left
+    out first. First pass: length, link density and stop-word density decide blocks; on a page
+    in a language without a list of stop words length and links do. Second pass: the
     undecided inherit from the nearest decided blocks. White space inside a block becomes one
     space. A column of the result's name gives way; repeated rows stay.
     """

@@ -33,3 +33,44 @@ def test_odd_pages(spark):
     got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "id int, html string, text string")).collect()}
     assert got[0] == got[1] == "" and got[2] == got[9] == "plain words" and got[3] == "unclosed" and got[6] == "deep"
     assert got[8] == (LONG * 500).strip()
+
+
+RUSSIAN = "Кошка жила в доме у самой реки, и каждое утро она выходила в сад, чтобы посмотреть на птиц, которые прилетали из леса. " * 3
+
+
+def test_pages_without_article():
+    a, b = LONG.strip(), LONG + "More of it."
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(20)) + "</ul>"
+    page = f"<body>{menu}<div id=content><h2>Head</h2><p>{a}</p><p>Short line.</p><p>{b}</p></div>{menu}<p>Imprint</p></body>"
+    assert html.main_text(page) == "\n".join(["Head", a, "Short line.", b])
+    # a teaser in an article element doesn't take the place of the text
+    got = html.main_text(f"<div id=content><p>{a}</p><p>{b}</p></div><article class=card><p>A teaser.</p></article>")
+    assert a in got and b in got
+
+
+def test_names_that_wrap_the_text():
+    for name in ("has-search content", "product-form", "no-sidebar", "ad-free-content", "with-comments"):
+        assert html.main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG.strip(), name
+    for name in ("cookie-notice", "comments", "comment-list", "site-footer", "ad", "sidebar-content", "related items"):
+        assert html.main_text(f"<p>{LONG}</p><div class='{name}'><p>{LONG} again</p></div>") == LONG.strip(), name
+    assert html.main_text(f"<p>{LONG}</p><div class='login-form'><p>Enter your name here.</p></div><p>{LONG}</p>") == "\n".join([LONG.strip()] * 2)
+
+
+def test_neighbours_decide_in_articles_too():
+    links = "<p><a href=x>One long list of links and more of them to look at</a> <a href=y>and another of the same kind here</a></p>"
+    page = f"<article><p>{LONG}</p><p>Kept line.</p>{links}<p>Lost line.</p>{links}</article>"
+    assert html.main_text(page) == f"{LONG.strip()}\nKept line."
+
+
+def test_language_without_a_list():
+    assert html.main_text(f"<ul><li><a href=x>Меню</a></ul><div><h1>Кошка</h1><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div>") == "\n".join(["Кошка", RUSSIAN.strip(), RUSSIAN.strip()])
+
+
+def test_hostile_pages_are_linear():
+    import time
+
+    for piece in ("<b c='", "<b c=\"'>", "<div>", "</span>", "<p>a", "<!--", "<script>", "<a '\"", "<div></p></span>"):
+        start = time.process_time()
+        html.main_text(piece * (300_000 // len(piece)))
+        html.main_text("<span>" + piece * (300_000 // len(piece)) + ">")
+        assert time.process_time() - start < 3, piece
