@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: A paragraph is a line; a longer line is cut after the sentence that reaches so many characters.
 PARAGRAPH_CHARS = 120
@@ -15,7 +18,7 @@ ROUNDS = 10
 #: Digests on either side of which the difference is peeled from one table at first.
 LOAD = 4
 #: After a failure the sketch is made larger: its tables, in turn.
-RETRIES = (1, 4, 16, 64)
+RETRIES = (4, 16, 64)
 #: Buckets of the id range for each shuffle partition, and the most buckets.
 BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 9216
 
@@ -78,6 +81,29 @@ def table(own: Column) -> Column:
     return F.struct(*[_cells(part, own).alias(part) for part in PARTS])
 
 
+def _deal(own: Column, groups: Column) -> Column:
+    """array<array<entry>>: entries dealt over groups (a power of two) by low bits of the digest, in two steps of about the root of groups."""
+    side = F.pow(F.lit(2.0), F.ceil(F.log2(groups.cast("double")) / 2)).cast("long")
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+
+    def fine(c: Column) -> Column:
+        part = lambda g: F.get(c["parts"], g.bitwiseAND(c["side"] - 1).cast("int"))
+        return F.transform(numbers(c["groups"]), lambda g: F.filter(part(g), lambda e: e["key"].bitwiseAND(c["groups"] - 1) == g))
+
+    coarse = lambda c: F.transform(numbers(c["side"]), lambda g: F.filter(c["own"], lambda e: e["key"].bitwiseAND(c["side"] - 1) == g))
+    return _let(F.struct(own.alias("own"), side.alias("side"), groups.alias("groups")), lambda c: _let(F.struct(coarse(c).alias("parts"), c["side"].alias("side"), c["groups"].alias("groups")), fine))
+
+
+def groups_of(keys: Column) -> Column:
+    """Tables of a digest list's fingerprint: the power of two that leaves a table at most LOAD digests on average."""
+    return F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(keys), F.lit(1)) / F.lit(float(LOAD))))).cast("long"), F.lit(1).cast("long"))
+
+
+def own_sketch(keys: Column, groups: Column) -> Column:
+    """array<table> of a digest list: the fingerprint's cells."""
+    return F.transform(_deal(entries(keys), groups), table)
+
+
 def sketch(own: Column, tables: Column) -> Column:
     """array<table>: entries dealt over tables (a power of two) by high bits of the digest."""
     numbers = F.sequence(F.lit(0).cast("long"), tables - 1)
@@ -117,45 +143,73 @@ def difference(a: Column, b: Column, tables: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """The digests in which two digest lists differ.
+    """The digests (key, n: 1 only in a, -1 only in b) in which two digest lists differ."""
+    sketched = lambda x: F.struct(x.alias("keys"), own_sketch(x, groups_of(x)).alias("tables"))
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: _let(F.struct(sketched(p["a"]).alias("a"), sketched(p["b"]).alias("b")), lambda q: difference_of(q["a"], q["b"])))
+
 
-    Digests are dealt into groups of about LOAD on either side by their low bits. A group's
-    difference is peeled from one table; where that gets stuck, from a sketch so many times
-    larger, again and again; if the largest is stuck too, the lists decide.
+def difference_of(a: Column, b: Column) -> Column:
+    """The digests in which two texts differ, from their sketches. a, b: structs of tables (the fingerprint's cells) and keys.
+
+    The two are subtracted table by table and peeled. The shorter text's sketch is made as
+    large as the other's before; a table that gets stuck is made larger for both texts, again
+    and again; if the largest is stuck too, the digests decide.
     """
-    larger = F.greatest(F.size(a), F.size(b), F.lit(1))
-    groups = F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(larger / F.lit(float(LOAD))))).cast("long"), F.lit(1).cast("long"))
     only = lambda x, y, n: F.transform(F.array_except(F.transform(x, lambda e: e["key"]), F.transform(y, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
+    groups = F.greatest(F.size(a["tables"]), F.size(b["tables"])).cast("long")
+    sized = lambda x, n: F.when(F.size(x["tables"]) == n, x["tables"]).otherwise(own_sketch(x["keys"], n))
+
+    def larger(x: Column, y: Column) -> Column:
+        attempts = F.aggregate(F.array(*[F.lit(r).cast("long") for r in RETRIES]), F.lit(None).cast("array<struct<key:bigint,n:int>>"), lambda found, times: F.when(found.isNotNull(), found).otherwise(difference(x, y, times)))
+        return F.coalesce(attempts, F.concat(only(x, y, 1), only(y, x, -1)))
 
-    def of_group(both: Column) -> Column:
-        attempts = F.aggregate(F.array(*[F.lit(r).cast("long") for r in RETRIES]), F.lit(None).cast("array<struct<key:bigint,n:int>>"), lambda found, times: F.when(found.isNotNull(), found).otherwise(difference(both["a"], both["b"], times)))
-        return F.coalesce(attempts, F.concat(only(both["a"], both["b"], 1), only(both["b"], both["a"], -1)))
+    def resolved(c: Column) -> Column:
+        of = lambda keys, g: F.filter(entries(keys), lambda e: e["key"].bitwiseAND(c["groups"] - 1) == g)
+        again = lambda g: _let(F.struct(of(a["keys"], g).alias("a"), of(b["keys"], g).alias("b")), lambda both: larger(both["a"], both["b"]))
+        return F.flatten(F.transform(c["peeled"], lambda t, g: F.when(F.size(t["left"]) == 0, t["found"]).otherwise(again(g))))
 
-    def dealt(lists: Column) -> Column:
-        own = lambda side, g: F.filter(lists[side], lambda e: e["key"].bitwiseAND(lists["groups"] - 1) == g)
-        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), lists["groups"] - 1), lambda g: _let(F.struct(own("a", g).alias("a"), own("b", g).alias("b")), of_group)))
+    start = lambda n: F.struct(n.alias("groups"), F.transform(subtract(sized(a, n), sized(b, n)), peel).alias("peeled"))
+    return _let(_let(groups, start), resolved)
 
-    return _let(F.struct(entries(a).alias("a"), entries(b).alias("b"), groups.alias("groups")), dealt)
 
+def likeness(a: Column, b: Column) -> Column:
+    """The share of both texts' digests that the difference of their sketches leaves in common; 1 for two empty ones."""
+    both = (F.size(a["keys"]) + F.size(b["keys"])).cast("double")
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(difference_of(a, b))) / both)
 
-def likenesses(pairs: Column) -> Column:
-    """For each pair (a, b) of digest lists the share of both that the difference leaves in common; 1 for two empty ones."""
 
-    def one(pair: Column) -> Column:
-        both = (F.size(pair["a"]) + F.size(pair["b"])).cast("double")
-        return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing(pair["a"], pair["b"]))) / both)
+def as_text(side: Column) -> Column:
+    """A fingerprint as text: the number of digests, then the tables after ";", each of 24 cells with "," between.
+
+    A cell is empty or count.key+check in hexadecimal, 16 digits of key and 8 of check (the
+    low half of xxhash64 of the key, seed 42); cells 0-7, 8-15, 16-23 are the three parts.
+    Digest k sits in table k mod the number of tables, in each part in the cell of three
+    bits of k from bit 20, 31 and 42.
+    """
+    cell = lambda c: F.when((c["n"] == 0) & (c["key"] == 0), "").otherwise(F.concat(F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
+    tables = F.transform(side["tables"], lambda t: F.array_join(F.transform(F.concat(*[t[p] for p in PARTS]), cell), ","))
+    return F.concat_ws(";", F.size(side["keys"]).cast("string"), F.array_join(tables, ";"))
+
 
-    return F.transform(pairs, one)
+def compared(keys: Column, edited: Column, following: Column) -> Column:
+    """The fingerprints of a text and its edited text as text, and how like the first is to the second and to the next text's."""
+    side = lambda x: F.struct(x.alias("keys"), own_sketch(x, groups_of(x)).alias("tables"))
 
+    def out(s: Column) -> Column:
+        return F.struct(as_text(s["own"]).alias("fingerprint"), as_text(s["edited"]).alias("edited_fingerprint"), likeness(s["own"], s["edited"]).alias("near_edited"), likeness(s["own"], s["next"]).alias("near_next"))
 
-def fingerprints_of(lists: Column) -> Column:
-    """Each digest list's sketch of one table as text: number of digests, then count, key and check of each cell, in hexadecimal."""
+    lists = F.struct(keys.alias("own"), edited.alias("edited"), following.alias("next"))
+    return _let(lists, lambda k: _let(F.struct(*[side(k[n]).alias(n) for n in ("own", "edited", "next")]), out))
 
-    def one(keys: Column) -> Column:
-        cells = F.transform(_let(_let(entries(keys), table), lambda t: F.concat(*[t[p] for p in PARTS])), lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-        return F.concat_ws(":", F.size(keys).cast("string"), F.array_join(cells, ":"))
 
-    return F.transform(lists, one)
+def _ordered_value(docs: DataFrame, doc_id: str) -> Column:
+    """A double that never falls where the id rises; six bytes behind the common beginning for an id that isn't a number."""
+    at = F.col(f"`{doc_id}`")
+    if isinstance(docs.schema[doc_id].dataType, NumericType):
+        return at.cast("double")
+    low, high = docs.agg(F.min(at.cast("string")), F.max(at.cast("string"))).first()
+    begin = len(os.path.commonprefix([low.encode(), high.encode()])) if low is not None else 0
+    return F.conv(F.rpad(F.hex(F.substring(at.cast("string").cast("binary"), begin + 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
 def beside_next(docs: DataFrame, values: list[str], doc_id: str = "doc_id", tie: str = "text") -> DataFrame:
@@ -167,12 +221,12 @@ def beside_next(docs: DataFrame, values: list[str], doc_id: str = "doc_id", tie:
     """
     spark = docs.sparkSession
     wanted = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col(doc_id).cast("double").alias("i")).where("i is not null")
+    value = _ordered_value(docs, doc_id)
+    ids = docs.select(value.alias("i")).where("i is not null")
     cuts = sorted(set(ids.approxQuantile("i", [j / wanted for j in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []), reverse=True)
     side = max(1, int(len(cuts) ** 0.5))
     fine = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
     coarse = F.array(*[F.lit(c) for c in cuts[::side]]).cast("array<double>")
-    value = F.col(f"`{doc_id}`").cast("double")
     group = F.greatest(F.size(F.filter(coarse, lambda c: c > value)) - 1, F.lit(0))
     within = F.size(F.filter(F.slice(fine, group * side + 1, F.lit(side)), lambda c: c > value))
     placed = docs.withColumn("_b", F.when(value.isNull(), len(cuts) + 1).otherwise(group * side + within))
@@ -207,7 +261,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = rows.select("doc_id", "n_chars", "keys", "next_keys", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", "keys", "next_keys", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"))
-    pair = lambda b: F.struct(F.col("keys").alias("a"), F.col(b).alias("b"))
-    rows = rows.withColumn("prints", fingerprints_of(F.array("keys", "edited_keys"))).withColumn("near", likenesses(F.array(pair("edited_keys"), pair("next_keys"))))
-    near = lambda i: F.col("near")[i]
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"), near(0).alias("near_edited"), near(1).alias("near_next"))
+    rows = rows.withColumn("out", compared(F.col("keys"), F.col("edited_keys"), F.col("next_keys")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", *[f"out.{n}" for n in ("fingerprint", "edited_fingerprint", "near_edited", "near_next")])

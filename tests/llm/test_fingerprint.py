@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import fingerprint
@@ -60,3 +61,57 @@ def test_odd_rows(spark):
     one = fingerprint.fingerprints(docs.limit(1)).first()
     assert one.near_next == 1.0
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
+
+
+def parse(print_):
+    """Number of digests and the cells (count, key, check) of each table of a fingerprint."""
+    n, *tables = print_.split(";")
+    cell = lambda c: (int(c.split(".")[0], 16), int(c.split(".")[1][:16], 16), int(c.split(".")[1][16:], 16)) if c else (0, 0, 0)
+    return int(n), [[cell(c) for c in t.split(",")] for t in tables]
+
+
+def recovered(a, b):
+    """The digests in which two fingerprints of equal shape differ, by subtracting and peeling them; None if that gets stuck."""
+    check = lambda k: xxhash.xxh64(k.to_bytes(8, "little"), seed=42).intdigest() & 0xFFFFFFFF
+    out = set()
+    for s, t in zip(a, b, strict=True):
+        cells = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(s, t, strict=True)]
+        while pure := next((c for c in cells if abs(c[0]) == 1 and check(c[1]) == c[2]), None):
+            n, k, c = pure
+            out.add(k)
+            for part, bits in enumerate((20, 31, 42)):
+                at = cells[8 * part + (k >> bits & 7)]
+                at[:] = [at[0] - n, at[1] ^ k, at[2] ^ c]
+        if any(map(any, cells)):
+            return None
+    return out
+
+
+def test_fingerprints_alone_recover_the_difference(spark):
+    rng = random.Random(4)
+    pairs = []
+    for n, d in ((1, 0), (3, 1), (40, 2), (200, 9), (900, 30)):
+        lines = [f"Line {rng.random()}." for _ in range(n)]
+        other = list(lines)
+        for i in rng.sample(range(n), d):
+            other[i] = f"Other {rng.random()}."
+        pairs.append(("\n".join(lines), "\n".join(other), 2 * d))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    out = df.select("i", fingerprint.compared(*[fingerprint.digests(F.col(c)) for c in ("a", "b", "b")]).alias("o")).collect()
+    for r in out:
+        a, b = parse(r.o.fingerprint), parse(r.o.edited_fingerprint)
+        assert a[0] == b[0] == pairs[r.i][0].count("\n") + 1
+        got = recovered(a[1], b[1])
+        assert got is not None and len(got) == pairs[r.i][2]
+        assert r.o.near_edited == r.o.near_next and abs(r.o.near_edited - (2 * a[0] - len(got)) / (2 * a[0])) < 1e-12
+        everything = recovered(a[1], [[(0, 0, 0)] * 24] * len(a[1]))
+        assert everything is None or len(everything) == a[0]
+
+
+def test_string_ids_and_a_long_text(spark):
+    rng = random.Random(6)
+    long = "\n".join(f"Line {rng.random()}." for _ in range(6000))
+    rows = [(f"doc-{i:03}", t) for i, t in enumerate(["a\nb", long, long + "\nmore", None, "a\nb\nc"])] + [(None, "x")]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["doc-002"].near_next == 12000 / 12001 and abs(got["doc-004"].near_next) < 1e-12
+    assert got["doc-001"].near_next == 0.0 and got[None].near_next == 0.0
