@@ -112,3 +112,11 @@ def protein_features(sequence: str) -> list[Column]:
 def complement(allele: Column) -> Column:
     """The allele on the other strand."""
     return F.translate(F.upper(allele), "ACGT", "TGCA")
+
+
+def overridden(default: Column, rules: Sequence[tuple[Column, object]]) -> Column:
+    """The value of the last rule that holds: updates one after another, each over those before."""
+    out = None
+    for condition, value in reversed(rules):
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return default if out is None else out.otherwise(default)

@@ -114,3 +114,15 @@ def mean_vector(df: DataFrame, groups: Sequence[str], vector: str, normalise: bo
         return out
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
     return out.withColumn("_norm", norm).withColumn(vector, F.when(F.col("_norm") > 0, F.transform(vector, lambda x: x / F.col("_norm"))).otherwise(F.col(vector))).drop("_norm")
+
+
+def action_profile(df: DataFrame, key: str, action: str, groups: dict[str, Sequence[str]], paper: str) -> DataFrame:
+    """key, log1p counts of each group of actions, of all and of distinct papers, and each group's share of all."""
+    n = {g: F.count_if(F.col(action).isin(*names)) for g, names in groups.items()}
+    logs = [F.log1p(c.cast("double")).alias(f"log_{g}") for g, c in [*n.items(), ("all", F.count("*")), ("papers", F.countDistinct(paper))]]
+    return df.groupBy(key).agg(*logs, *[(c / F.count("*")).alias(f"share_{g}") for g, c in n.items()])
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
+    """df with a 0/1 column for each value instead of the column; null is none of them."""
+    return df.select(*[c for c in df.columns if c != column], *[F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(str(v)) for v in values])

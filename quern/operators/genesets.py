@@ -139,3 +139,11 @@ def compare_groups(df: DataFrame, sample: str, scores: Sequence[str], case: Colu
 
     long = df.withColumn("_case", case).unpivot([sample, "_case"], list(scores), "score", "_v")
     return welch_t(long, ["score"], "_v", F.col("_case"))
+
+
+def rank_stability(scores: DataFrame, run: str, sample: str, score: str) -> DataFrame:
+    """One row, n_pairs and stability: the mean rank correlation of all pairs of runs (of a parameter grid) over the same samples."""
+    from quern.operators.stats import correlations
+
+    r = correlations(scores, sample, run, score, "spearman")
+    return r.agg(F.count("r").alias("n_pairs"), F.avg("r").alias("stability"))

@@ -308,3 +308,59 @@ def cross_module(correlations: DataFrame, modules: DataFrame, a: str, b: str, r:
     side = lambda end, tag: modules.select(F.col(member).alias(end), F.col(module).alias(f"{tag}_module"))
     strong = correlations.where(F.abs(r) > least).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(r).alias("r"))
     return strong.join(side("a", "a"), "a").join(side("b", "b"), "b").where("a_module <> b_module")
+
+
+def edge_betweenness(edges: DataFrame, sources: DataFrame, limit: int = 6) -> DataFrame:
+    """src, dst (src < dst), betweenness: how much of the shortest paths from the sources within limit goes over an edge."""
+    e = closure(edges).select("src", "dst")
+    levels = [_cut(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("paths", F.lit(1.0)))]
+    seen = levels[0].select("source", "node")
+    for _ in range(limit):
+        step = levels[-1].join(e, levels[-1].node == e.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = _cut(step.join(seen, ["source", "node"], "left_anti"))
+        if front.limit(1).count() == 0:
+            break
+        levels.append(front)
+        seen = seen.union(front.select("source", "node"))
+    total = None
+    below = levels[-1].withColumn("depends", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        share = below.select("source", F.col("node").alias("dst"), ((1 + F.col("depends")) / F.col("paths")).alias("_share")).join(e, "dst")
+        flow = _cut(share.join(level.select("source", F.col("node").alias("src"), "paths"), ["source", "src"]).select("source", "src", "dst", (F.col("paths") * F.col("_share")).alias("_f")))
+        total = flow if total is None else total.union(flow)
+        given = flow.groupBy("source", F.col("src").alias("node")).agg(F.sum("_f").alias("depends"))
+        below = _cut(level.join(given, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("depends", F.lit(0.0)).alias("depends")))
+    if total is None:
+        return e.where("src < dst").limit(0).withColumn("betweenness", F.lit(0.0))
+    return total.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("_f").alias("betweenness"))
+
+
+def without_bridges(edges: DataFrame, scores: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """The scored edges (src, dst, betweenness) not above the exact quantile of all scores."""
+    q = scores.agg(F.percentile("betweenness", quantile).alias("_q"))
+    low = scores.crossJoin(F.broadcast(q)).where(F.col("betweenness") <= F.col("_q")).select("src", "dst", "betweenness")
+    return low.join(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_semi")
+
+
+def connectivity(edges: DataFrame, nodes: DataFrame, targets: DataFrame, limit: int = 3) -> DataFrame:
+    """node, direct, indirect, mean_weight, mean_hops of nodes (column node): links to targets, targets within two steps only, and steps to the targets within limit."""
+    e = closure(edges)
+    aims = targets.select(F.col("node").alias("_t")).distinct()
+    direct = e.join(aims, F.col("dst") == F.col("_t")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("direct"), F.avg("w").alias("mean_weight"))
+    d = distances(edges, nodes, limit).where("hops > 0").join(aims, F.col("node") == F.col("_t"))
+    far = d.groupBy(F.col("source").alias("node")).agg(F.count_if(F.col("hops") == 2).alias("indirect"), F.avg("hops").alias("mean_hops"))
+    out = nodes.select("node").distinct().join(direct, "node", "left").join(far, "node", "left")
+    return out.select("node", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("indirect", F.lit(0)).alias("indirect"), "mean_weight", "mean_hops")
+
+
+def reach(edges: DataFrame, sources: DataFrame, limit: int = 6) -> DataFrame:
+    """One row: pairs, mean_hops and longest over all pairs of a source and a node within limit."""
+    d = distances(edges, sources, limit).where("hops > 0")
+    return d.agg(F.count("*").alias("pairs"), F.avg("hops").alias("mean_hops"), F.max("hops").alias("longest"))
+
+
+def hub_score(metrics: DataFrame, columns: list[str], name: str = "hub_score") -> DataFrame:
+    """metrics with the mean of the columns, each divided by its largest (0 if that is 0)."""
+    top = metrics.agg(*[F.max(c).alias(f"_x{i}") for i, c in enumerate(columns)])
+    parts = [F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"_x{i}")), F.lit(0.0)) / len(columns) for i, c in enumerate(columns)]
+    return metrics.crossJoin(F.broadcast(top)).select(*metrics.columns, sum(parts[1:], parts[0]).alias(name))

@@ -59,3 +59,21 @@ def in_range(points: DataFrame, at: str, spans: DataFrame, low: str, high: str,
     p = points.withColumn("_bin", F.floor(F.col(at) / bin_size))
     s = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.col(high) / bin_size))))
     return p.join(s, [*keys, "_bin"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bin")
+
+
+def match_case(df: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows whose column is among names as it is, in small letters, in capitals or as a title, in this order: names' columns, the name as matched."""
+    c = F.col(column)
+    tries = df.withColumn("_try", F.explode(F.array_distinct(F.array(c, F.lower(c), F.upper(c), F.initcap(c))))).withColumn("_rank", F.array_position(F.array(c, F.lower(c), F.upper(c), F.initcap(c)), F.col("_try")))
+    found = tries.join(names.withColumnRenamed(name, "matched"), F.col("_try") == F.col("matched")).drop("_try")
+    w = W.partitionBy(*df.columns).orderBy("_rank")
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
+
+
+def split_known(df: DataFrame, known: dict[str, DataFrame], name: str = "eval_mode") -> DataFrame:
+    """df with transductive where every named column's value is among its known ones, else inductive."""
+    out = df
+    for i, (column, keys) in enumerate(known.items()):
+        out = out.join(keys.select(F.col(column)).distinct().withColumn(f"_k{i}", F.lit(True)), column, "left")
+    every = F.coalesce(F.greatest(*[F.col(f"_k{i}").isNull().cast("int") for i in range(len(known))], F.lit(0)), F.lit(1)) == 0
+    return out.withColumn(name, F.when(every, "transductive").otherwise("inductive")).drop(*[f"_k{i}" for i in range(len(known))])

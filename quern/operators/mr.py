@@ -183,3 +183,62 @@ def bridge(edges: DataFrame, effects: DataFrame, a: str, b: str, key: str, beta:
     concordant = F.coalesce(F.signum(f"a_{beta}") == F.signum(f"b_{beta}"), F.lit(False))
     out = e.withColumn("concordant", concordant).withColumn("evidence", good("a") + good("b") + (concordant & (good("a") + good("b") == 2)).cast("int"))
     return out.withColumn("priority", F.when(F.col("evidence") == 3, "high").when(F.col("evidence") == 2, "medium").when(F.col("evidence") == 1, "low").otherwise("none"))
+
+
+def modes(df: DataFrame, groups: Sequence[str], phi: float = 1.0, points: int = 128) -> DataFrame:
+    """groups, n_snp, simple_mode, weighted_mode: where the smoothed density of the ratios is highest, each ratio counting once or by its inverse variance.
+
+    The width is phi * 0.9 * min(sd, 1.4826 * mad) / n^(1/5) of the group; the density is taken at
+    equally spaced points from three widths below the least ratio to three above the largest.
+    A group without spread has its median as mode. The lowest point wins ties.
+    """
+    r = wald(df).where("ratio is not null and ratio_se > 0").select(*groups, "ratio", (F.lit(1.0) / (F.col("ratio_se") * F.col("ratio_se"))).alias("_w"))
+    a = r.groupBy(*groups).agg(F.count("*").alias("n_snp"), F.stddev_samp("ratio").alias("_sd"), F.median("ratio").alias("_med"), F.min("ratio").alias("_lo"), F.max("ratio").alias("_hi"))
+    mad = r.join(a.select(*groups, "_med"), list(groups)).groupBy(*groups).agg((1.4826 * F.median(F.abs(F.col("ratio") - F.col("_med")))).alias("_mad"))
+    a = a.join(mad, list(groups)).withColumn("_h", phi * 0.9 * F.least(F.coalesce("_sd", F.lit(0.0)), F.col("_mad")) / F.pow(F.col("n_snp").cast("double"), F.lit(0.2)))
+    step = (F.col("_hi") - F.col("_lo") + 6 * F.col("_h")) / (points - 1)
+    grid = a.where("_h > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*groups, "_i", (F.col("_lo") - 3 * F.col("_h") + F.col("_i") * step).alias("_x"), "_h")
+    k = F.exp(-F.pow((F.col("_x") - F.col("ratio")) / F.col("_h"), F.lit(2.0)) / 2)
+    density = grid.join(r, list(groups)).groupBy(*groups, "_i", "_x").agg(F.sum(k).alias("_s"), F.sum(k * F.col("_w")).alias("_v"))
+    best = density.groupBy(*groups).agg(F.max_by("_x", F.struct("_s", -F.col("_i"))).alias("_simple"), F.max_by("_x", F.struct("_v", -F.col("_i"))).alias("_weighted"))
+    return a.join(best, list(groups), "left").select(*groups, "n_snp", F.coalesce("_simple", "_med").alias("simple_mode"), F.coalesce("_weighted", "_med").alias("weighted_mode"))
+
+
+def radial(df: DataFrame, groups: Sequence[str], snp: Sequence[str], level: float = 0.05) -> DataFrame:
+    """groups, snp, weight, q, p, outlier: each variant's part of Cochran's Q about the radial estimate; Bonferroni within the group.
+
+    Radial axes are sqrt(weight) and ratio * sqrt(weight) with weight beta^2 / se_out^2; the line
+    through the origin has the inverse-variance estimate as slope. p is that of one degree of freedom.
+    """
+    r = wald(df).where("ratio is not null").withColumn("weight", F.pow(F.col("beta") / F.col("se_out"), F.lit(2.0)))
+    over = W.partitionBy(*groups)
+    slope = F.sum(F.col("weight") * F.col("ratio")).over(over) / F.sum("weight").over(over)
+    q = r.withColumn("_n", F.count("*").over(over)).withColumn("q", F.col("weight") * F.pow(F.col("ratio") - slope, F.lit(2.0)))
+    out = q.withColumn("p", dist.normal_two_sided(F.sqrt("q")))
+    return out.select(*groups, *snp, "weight", "q", "p", (F.col("p") * F.col("_n") < level).alias("outlier"))
+
+
+def all_methods(df: DataFrame, groups: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """groups, method, n_snp, beta: a single variant's ratio, else inverse variance, Egger (from three), weighted median and both modes."""
+    one = df.withColumn("_n", F.count("*").over(W.partitionBy(*groups)))
+    single, many = one.where("_n = 1").drop("_n"), one.where("_n > 1").drop("_n")
+    row = lambda t, method, beta: t.select(*groups, F.lit(method).alias("method"), F.col("n_snp").cast("long").alias("n_snp"), F.col(beta).alias("beta"))
+    m = modes(many, groups)
+    parts = [row(wald(single).withColumn("n_snp", F.lit(1)), "wald_ratio", "ratio"), row(ivw(many, groups), "ivw", "beta"), row(egger(many, groups), "egger", "slope"), row(weighted_median(many, groups, ties), "weighted_median", "beta"), row(m, "simple_mode", "simple_mode"), row(m, "weighted_mode", "weighted_mode")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def graded_clump(df: DataFrame, groups: Sequence[str], position: str, p: str, windows: Sequence[float], least: int) -> DataFrame:
+    """df's rows after clumping with the widest window that leaves the group least rows, else with none; grade is its number from 0, -1 for none."""
+    from functools import reduce
+
+    from quern.operators.intervals import clump
+
+    graded = [clump(df, groups, position, p, w).withColumn("grade", F.lit(i)) for i, w in enumerate(windows)] + [df.withColumn("grade", F.lit(-1))]
+    rows = reduce(lambda a, b: a.unionByName(b), graded)
+    enough = rows.groupBy(*groups, "grade").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) | (F.col("grade") == -1))
+    pick = enough.groupBy(*groups).agg(F.coalesce(F.min(F.when(F.col("grade") >= 0, F.col("grade"))), F.lit(-1)).alias("grade"))
+    return rows.join(pick, [*groups, "grade"])

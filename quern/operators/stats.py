@@ -227,3 +227,12 @@ def permutation_p(df: DataFrame, key: str, value: str, case: Column, replicates:
     many = v.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_o", F.row_number().over(W.partitionBy("_r").orderBy(F.xxhash64(F.lit(seed), "_k", "_r"), "_k")))
     one = many.crossJoin(F.broadcast(n)).groupBy("_r", "observed").agg((F.avg(F.when(F.col("_o") <= F.col("_n1"), F.col("_v"))) - F.avg(F.when(F.col("_o") > F.col("_n1"), F.col("_v")))).alias("_d"))
     return one.groupBy("observed").agg(((F.count_if(F.abs("_d") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def with_correlation_p(correlations: DataFrame, r: str = "r", n: str = "n", method: str = "t") -> DataFrame:
+    """correlations with p (of t = r sqrt((n - 2) / (1 - r^2)), or of |r| sqrt(n) as normal) and q over all rows."""
+    from quern.operators.ranks import benjamini_hochberg
+
+    t = F.try_divide(F.col(r) * F.sqrt(F.col(n) - 2), F.sqrt(1 - F.col(r) * F.col(r)))
+    p = dist.t_two_sided(t, F.col(n) - 2) if method == "t" else dist.normal_two_sided(F.abs(r) * F.sqrt(n)) / 2
+    return benjamini_hochberg(correlations.withColumn("p", p), "p")
