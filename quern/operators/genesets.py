@@ -147,3 +147,18 @@ def rank_stability(scores: DataFrame, run: str, sample: str, score: str) -> Data
 
     r = correlations(scores, sample, run, score, "spearman")
     return r.agg(F.count("r").alias("n_pairs"), F.avg("r").alias("stability"))
+
+
+def virtual_knockout(df: DataFrame, sample: str, member: str, value: str, target: str, top: int = 50) -> DataFrame:
+    """member, n, r, effect, d, p, q: what taking the target away would do to its most correlated members.
+
+    Each member is regressed on the target; setting the target to zero moves its mean by
+    -slope * mean(target), d is that move in standard deviations of the member, p that of
+    |d| sqrt(n) as normal. One pass of sums over the joined values.
+    """
+    t = df.where(F.col(member) == target).select(sample, F.col(value).alias("_t"))
+    both = df.where(F.col(member) != target).join(t, sample).where(F.col(value).isNotNull() & F.col("_t").isNotNull())
+    a = both.groupBy(member).agg(F.count("*").alias("n"), F.corr(value, "_t").alias("r"), F.regr_slope(F.col(value), F.col("_t")).alias("_slope"), F.avg("_t").alias("_m"), F.stddev_samp(value).alias("_sd"))
+    best = a.orderBy(F.desc_nulls_last(F.abs("r")), member).limit(top).withColumn("effect", -F.col("_slope") * F.col("_m"))
+    out = best.withColumn("d", F.try_divide("effect", "_sd")).withColumn("p", dist.normal_two_sided(F.abs("d") * F.sqrt("n")))
+    return benjamini_hochberg(out, "p").select(member, "n", "r", "effect", "d", "p", "q")
