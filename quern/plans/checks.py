@@ -233,3 +233,31 @@ def rank_uniformity(t: Tables):
 @query(f"WITH r AS ({RANKS}), i AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY u) AS i, count(*) OVER (PARTITION BY m) AS n FROM r) SELECT m, least(1, min(list_sum([gamma(n + 1) / gamma(j + 1) / gamma(n - j + 1) * power(u, j) * power(1 - u, n - j) for j in range(i, n + 1)])) * any_value(n)) AS rho FROM i GROUP BY 1", "rho")
 def rho_scores(t: Tables):
     return fusion.rho_scores(models(t), "model", "m", "s")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+def anti_dear_orders(t: Tables):
+    dear = t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.keep_keys(t.customer, dear, ["c_custkey"], negate=True).select("c_custkey", "c_name")
+
+
+@query("SELECT l_partkey FROM lineitem EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 49")
+def rest_of_parts(t: Tables):
+    return sets.difference(t.lineitem, t.lineitem.where("l_quantity >= 49"), ["l_partkey"])
+
+
+NESTED = "SELECT DISTINCT k AS s, l_partkey AS m FROM lineitem, (SELECT unnest([20, 40, 47, 50]) AS k) WHERE l_quantity >= k"
+
+
+@query(f"WITH s AS ({NESTED}), n AS (SELECT s, count(*) AS n FROM s GROUP BY 1), o AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM s x JOIN s y ON x.m = y.m AND x.s <> y.s GROUP BY 1, 2) SELECT a AS child, b AS parent, k AS shared FROM o JOIN n x ON o.a = x.s JOIN n y ON o.b = y.s WHERE k / x.n::DOUBLE > 0.9 AND k / y.n::DOUBLE < 0.9")
+def nested_sets(t: Tables):
+    s = t.lineitem.withColumn("s", F.explode(F.array(*[F.lit(k) for k in (20, 40, 47, 50)]))).where("l_quantity >= s").select("s", F.col("l_partkey").alias("m")).distinct()
+    return sets.containment(s, "s", "m")
+
+
+@query("SELECT a.o_orderkey AS at_order, b.o_orderkey AS span_order FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate > b.o_orderdate AND a.o_orderdate <= b.o_orderdate + INTERVAL 30 DAY")
+def orders_within_a_month(t: Tables):
+    day = 86_400_000
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    spans = o.select(F.col("o_orderkey").alias("span_order"), "k", (F.col("at") + 1).alias("low"), (F.col("at") + 30 * day).alias("high"))
+    return joins.in_range(o.withColumnRenamed("o_orderkey", "at_order"), "at", spans, "low", "high", 30 * day, ["k"]).select("at_order", "span_order")

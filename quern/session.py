@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,3 +25,13 @@ def reach_package(spark: SparkSession | None = None) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder of spark.checkpoint.dir; below the warehouse under a local master without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.schema import missing_to_null, resolve_columns
+from quern.schema import find_column, missing_to_null, resolve_columns
 
 
 def delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",", schema: str | None = None, header: bool = True, encoding: str = "UTF-8", comment: str | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def methylation_extremes(spark: SparkSession, path: str, genes: DataFrame, low:
     """gene, cpg, beta, status of a wide matrix: mean of the values in [0, 1], kept if below low or above high, with the gene of genes (cpg, gene)."""
     f = F.split("value", sep)
     values = F.filter(F.transform(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), lambda x: x.try_cast("double")), lambda x: x.between(0.0, 1.0))
-    rows = spark.read.text(path).select(F.regexp_replace(f[0], '"', "").alias("cpg"), values.alias("v")).where(F.size("v") > 0).select("cpg", (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("beta"))
+    rows = spark.read.text(path).select(F.regexp_replace(f[0], '"', "").alias("cpg"), values.alias("v")).where(F.size("v") > 0).select("cpg", F.try_divide(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.size("v").cast("double")).alias("beta"))
     kept = rows.where((F.col("beta") < low) | (F.col("beta") > high))
     return kept.join(genes, "cpg").select("gene", "cpg", "beta", F.when(F.col("beta") > high, "hyper").otherwise("hypo").alias("status"))
 
@@ -156,3 +156,20 @@ def json_records(spark: SparkSession, path: str, schema: str | None = None, many
 def in_chunks_kept(spark: SparkSession, path: str, keys: DataFrame, on: Sequence[str], **options) -> DataFrame:
     """The rows of a large delimited file whose keys are wanted: a lazy scan and a semi join, no chunks."""
     return delimited(spark, path, **options).join(keys.select(*on).distinct(), list(on), "left_semi")
+
+
+def association_edges(spark: SparkSession, path: str, left: Sequence[str], right: Sequence[str], sep: str | None = None, places: tuple[int, int] = (0, 1), species: str | None = None) -> DataFrame:
+    """left, right of an association list such as regulator-target or site-gene: distinct, without missing ends.
+
+    Columns are found by patterns, else by place; of several genes (; , /) the first counts,
+    in capitals. With species only rows whose species column holds that text, without case.
+    """
+    t = delimited(spark, path, sep=sep or sniff(spark, path)[1])
+    named = [find_column(t, names, pattern=True) or t.columns[at] for names, at in zip((left, right), places, strict=True)]
+    kind = find_column(t, ["species.*target", "species"], pattern=True)
+    if species and kind:
+        t = t.where(F.lower(f"`{kind}`").contains(species.lower()))
+    gene = F.upper(F.trim(F.element_at(F.split(F.col(f"`{named[1]}`"), "[;,/]"), 1)))
+    e = t.select(F.trim(f"`{named[0]}`").alias("left"), gene.alias("right"))
+    absent = ("", "NA", "N/A", "-")
+    return e.where(~F.col("left").isin(*absent) & ~F.col("right").isin(*absent)).distinct()
