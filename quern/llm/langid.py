@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,8 +95,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     return Model(langs, np.log(totals / totals.sum(0)).astype(np.float32), np.log(sizes_in_order / sizes_in_order.sum()))
 
 
-def _pieces(codes: list[np.ndarray], width: int):
-    """Yield lists of (text, codes) of about width codes; a longer text goes in overlapping pieces."""
+def _pieces(codes: Iterable[np.ndarray], width: int):
+    """Yield lists of (text, codes) of about width codes; a longer text goes in overlapping pieces. Codes are taken one by one."""
     held, size, lap = [], 0, max(ORDERS) - 1
     for i, c in enumerate(codes):
         for at in range(0, max(1, len(c) - lap), width):
@@ -121,7 +122,7 @@ def score_texts(model: Model, texts: list[str | None]) -> list[dict]:
         return out
     width, lap = max(1 << 12, (1 << 20) // len(model.langs)), max(ORDERS) - 1
     totals = np.tile(model.priors, (len(worded), 1))
-    for piece in _pieces([_codes(texts[i]) for i in worded], width):
+    for piece in _pieces((_codes(texts[i]) for i in worded), width):
         rows, parts = zip(*piece, strict=True)
         lengths = np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)

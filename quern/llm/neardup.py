@@ -27,7 +27,9 @@ AGREE = 3
 #: Nodes of a bucket up to which all its pairs are counted; a larger one is compared with its pivot, then in blocks.
 SMALL = 24
 #: Nodes and shingles of a block of a larger bucket, and rows of it that are compared at once.
-BLOCK, BLOCK_ITEMS, ROWS = 1024, 1 << 20, 64
+BLOCK, BLOCK_ITEMS, ROWS = 1024, 1 << 18, 64
+#: Entries of other nodes with the same shingles that are counted at once.
+POSTINGS = 1 << 18
 #: Rows of one text above which its plan is broadcast to them, so that they don't meet in one task.
 HOT_ROWS = 1000
 #: Cells of a band from which a chain of unique elements is tried before the alignment.
@@ -337,6 +339,19 @@ def _labelled(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return items << np.uint64(32) | occurrence, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _held(own: np.ndarray, other: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
+    """How many of own's labels each of n nodes holds; other are the nodes' labels in order, node whose they are."""
+    a, b = np.searchsorted(other, own), np.searchsorted(other, own, "right")
+    ends, out, at = np.cumsum(b - a), np.zeros(n, np.int64), 0
+    while at < len(own):  # no more than about POSTINGS at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS, "right")))
+        size = b[at:to] - a[at:to]
+        stop = np.cumsum(size)
+        out += np.bincount(node[np.arange(stop[-1]) + np.repeat(a[at:to] - stop + size, size)], minlength=n)
+        at = to
+    return out
+
+
 def links_across(x: tuple, y: tuple, bucket: int, same: bool, similarity: float = SIMILARITY):
     """Links (i, j) between nodes of two blocks, enough to join all classes that have a similar pair here.
 
@@ -357,11 +372,7 @@ def links_across(x: tuple, y: tuple, bucket: int, same: bool, similarity: float
         i, j, longer, limit = i[near], j[near], longer[near], limit[near]
         common = np.empty(len(i), np.int64)
         for at, to in zip(*_runs(i)):
-            own = labels[begin[i[at]] : begin[i[at] + 1]]
-            a, b = np.searchsorted(other, own), np.searchsorted(other, own, "right")
-            ends = np.cumsum(b - a)
-            held = node[np.arange(ends[-1]) + np.repeat(a - ends + (b - a), b - a)]
-            common[at:to] = np.bincount(held, minlength=len(sizes[1]))[j[at:to]]
+            common[at:to] = _held(labels[begin[i[at]] : begin[i[at] + 1]], other, node, len(sizes[1]))[j[at:to]]
         near = longer - common <= limit
         kept.append(np.stack([i[near], j[near], limit[near], (longer - common - limit)[near]]))
     i, j, limit, rest = np.concatenate(kept, 1) if kept else np.empty((4, 0), np.int64)

@@ -192,12 +192,17 @@ def test_links_join_all_classes_of_similar_pairs():
     assert closed(links) == want
 
 
-def test_chain_bounds_the_distance():
+def test_chain_bounds_the_distance(monkeypatch):
     rng = np.random.default_rng(5)
     for _ in range(200):
         a = rng.permutation(60)[: rng.integers(1, 60)].astype(np.uint32)
         b = np.concatenate([a[: len(a) // 2], rng.integers(0, 90, rng.integers(0, 20)), a[len(a) // 2 :]]).astype(np.uint32)
         assert neardup._chained(a, b) >= distance(a.tolist(), b.tolist())
+    own, other = rng.integers(0, 50, 300).astype(np.uint64), np.sort(rng.integers(0, 50, 900).astype(np.uint64))
+    node = rng.integers(0, 7, 900)
+    monkeypatch.setattr(neardup, "POSTINGS", 100)
+    want = [int(sum((other[node == k] == v).sum() for v in own)) for k in range(7)]
+    assert neardup._held(own, other, node, 7).tolist() == want
     a = np.arange(200_000, dtype=np.uint32)
     b = a.copy()
     b[::10] += 1_000_000
