@@ -16,7 +16,7 @@ SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def narrow_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+def narrow_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
     """Bound the Arrow batches sent to Python: long texts must not travel by the ten thousand.
 
     Workers are also told where this package lies, for runs from a plain checkout; on a

@@ -27,11 +27,13 @@ AGREE = 3
 #: Nodes of a bucket up to which all its pairs are counted; a larger one is compared with its pivot, then in blocks.
 SMALL = 24
 #: Nodes and shingles of a block of a larger bucket, and rows of it that are compared at once.
-BLOCK, BLOCK_ITEMS, ROWS = 1024, 1 << 18, 64
+BLOCK, BLOCK_ITEMS, ROWS = 512, 1 << 18, 64
 #: Entries of other nodes with the same shingles that are counted at once.
 POSTINGS = 1 << 18
 #: Rows of one text above which its plan is broadcast to them, so that they don't meet in one task.
 HOT_ROWS = 1000
+#: Elements of sequences that are aligned side by side.
+BAND_CELLS = 1 << 22
 #: Cells of a band from which a chain of unique elements is tried before the alignment.
 CHAIN_CELLS = 1 << 26
 #: Candidate keys of which a copy is broadcast to filter the texts; above it they are joined by a shuffle.
@@ -147,7 +149,7 @@ def distances_within(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndar
         while at < len(todo):
             width = min(band, todo[min(at + 255, len(todo) - 1)][3])
             longest = max(len(x[1]) for x in todo[at : at + 256])
-            group = todo[at : at + max(1, min(256, (1 << 24) // (longest + 2 * width + 1)))]
+            group = todo[at : at + max(1, min(256, BAND_CELLS // (longest + 2 * width + 1)))]
             at += len(group)
             width = min(band, max(x[3] for x in group))
             found = _banded([(a, b) for _, a, b, _ in group], width, np.array([min(width, x[3]) for x in group]))
@@ -374,8 +376,8 @@ def links_across(x: tuple, y: tuple, bucket: int, same: bool, similarity: float
         for at, to in zip(*_runs(i)):
             common[at:to] = _held(labels[begin[i[at]] : begin[i[at] + 1]], other, node, len(sizes[1]))[j[at:to]]
         near = longer - common <= limit
-        kept.append(np.stack([i[near], j[near], limit[near], (longer - common - limit)[near]]))
-    i, j, limit, rest = np.concatenate(kept, 1) if kept else np.empty((4, 0), np.int64)
+        kept.append(np.stack([i[near], j[near], limit[near], (longer - common - limit)[near]]).astype(np.int32))
+    i, j, limit, rest = np.concatenate(kept, 1) if kept else np.empty((4, 0), np.int32)
     order = np.argsort(rest, kind="stable")
     i, j, limit = i[order], j[order], limit[order]
     names, inverse = np.unique(np.concatenate([x[0], y[0]]), axis=0, return_inverse=True)
