@@ -14,7 +14,7 @@ SIMPSON = "CASE WHEN i = 0 OR i = 600 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
 
 def normal_p(z: str) -> str:
     """SQL of the two-sided normal tail, by Simpson's rule on the density from 0 to |z|."""
-    return f"(1 - 2 * list_sum([{SIMPSON} * exp(-power(least(abs({z}), 9.0) * i / 600.0::DOUBLE, 2) / 2) for i in range(0, 601)]) * least(abs({z}), 9.0) / 1800 / sqrt(2 * pi()))"
+    return f"CASE WHEN ({z}) IS NOT NULL THEN (1 - 2 * list_sum([{SIMPSON} * exp(-power(least(abs({z}), 9.0) * i / 600.0::DOUBLE, 2) / 2) for i in range(0, 601)]) * least(abs({z}), 9.0) / 1800 / sqrt(2 * pi())) END"
 
 
 def t_p(t: str, n: str) -> str:

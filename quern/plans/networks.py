@@ -148,9 +148,9 @@ def brands(t: Tables):
     return t.part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("gene"))
 
 
-@query(f"SELECT sample, name, avg(value) AS score FROM ({YEARLY}) JOIN ({SETS}) USING (gene) GROUP BY 1, 2", "score:4")
+@query(f"SELECT sample, name, avg(ln(value + 1)) AS score FROM ({YEARLY}) JOIN ({SETS}) USING (gene) GROUP BY 1, 2", "score")
 def set_means(t: Tables):
-    return genesets.mean_scores(yearly(t), brands(t), "sample", "gene", "value", "name")
+    return genesets.mean_scores(yearly(t).withColumn("value", F.log1p("value")), brands(t), "sample", "gene", "value", "name")
 
 
 @query(f"WITH e AS ({YEARLY}), s AS ({SETS}), m AS (SELECT gene, avg(value) AS m FROM e GROUP BY 1), b AS (SELECT gene, floor((rank() OVER (ORDER BY m) - 1) / nullif(count(*) OVER () - 1, 0)::DOUBLE * (24 - 1e-9)) AS b FROM m), o AS (SELECT sample, name, avg(value) AS v FROM e JOIN s USING (gene) GROUP BY 1, 2), w AS (SELECT name, b, count(*) AS w FROM s JOIN b USING (gene) GROUP BY 1, 2), v AS (SELECT sample, b, avg(value) AS v FROM e JOIN b USING (gene) GROUP BY 1, 2), c AS (SELECT sample, name, sum(v * w) / sum(w) AS c FROM v JOIN w USING (b) GROUP BY 1, 2) SELECT sample, name, v - c AS score FROM o JOIN c USING (sample, name)", "score:4")
