@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
@@ -21,8 +22,9 @@ def islands(df: DataFrame, position: str, gap: float, groups: Sequence[str] = ()
 def clump(df: DataFrame, groups: Sequence[str], position: str, p: str, window: float) -> DataFrame:
     """Greedy distance clumping: in each group the smallest p stays and silences what lies within window of it.
 
-    Ties go to the smaller position. A group is one key's variants on one chromosome, bounded
-    by the chromosome; rows with a null position or p go. Rows of df keep their columns.
+    Ties go to the smaller position. Groups are cut where neighbours are further apart than
+    window, as they can't silence each other there; a task holds one such island, not a
+    whole key. Rows with a null position or p go. Rows of df keep their columns.
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -30,9 +32,13 @@ def clump(df: DataFrame, groups: Sequence[str], position: str, p: str, window: f
         kept: list[float] = []
         chosen = []
         for i, x in zip(pdf.index, pdf[position], strict=True):
-            if all(abs(x - y) > window for y in kept):
-                kept.append(x)
+            at = bisect.bisect_left(kept, x)
+            if all(abs(x - y) > window for y in kept[max(0, at - 1) : at + 1]):
+                kept.insert(at, x)
                 chosen.append(i)
-        return pdf.loc[chosen]
+        return pdf.loc[chosen].drop(columns="_island")
 
-    return df.na.drop(subset=[position, p]).groupBy(*groups).applyInPandas(keep, df.schema)
+    w = W.partitionBy(*groups).orderBy(position)
+    new = F.when(F.col(position) - F.lag(position).over(w) <= window, 0).otherwise(1)
+    cut = df.na.drop(subset=[position, p]).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
+    return cut.groupBy(*groups, "_island").applyInPandas(keep, df.schema)

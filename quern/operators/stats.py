@@ -220,13 +220,31 @@ def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int = 200,
 def permutation_p(df: DataFrame, key: str, value: str, case: Column, replicates: int = 200, seed: int = 7) -> DataFrame:
     """One row: observed mean difference, p = (as extreme + 1) / (replicates + 1).
 
-    In each replicate the labels are dealt anew by a seeded hash order of the keys.
+    In each replicate the labels are dealt anew: the n1 rows with the least seeded hashes of
+    their keys are cases. Hashes are uniform, so the border lies within eight standard
+    deviations of n1 / n: rows below are summed map-side, only those in between are put in
+    order. Rows with a null value or case are left out. A replicate whose border lies elsewhere (many rows of one key) is put in order as a whole.
     """
-    v = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), case.cast("int").alias("_c"))
-    n = v.agg(F.sum("_c").alias("_n1"), (F.avg(F.when(F.col("_c") == 1, F.col("_v"))) - F.avg(F.when(F.col("_c") == 0, F.col("_v")))).alias("observed"))
-    many = v.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_o", F.row_number().over(W.partitionBy("_r").orderBy(F.xxhash64(F.lit(seed), "_k", "_r"), "_k")))
-    one = many.crossJoin(F.broadcast(n)).groupBy("_r", "observed").agg((F.avg(F.when(F.col("_o") <= F.col("_n1"), F.col("_v"))) - F.avg(F.when(F.col("_o") > F.col("_n1"), F.col("_v")))).alias("_d"))
-    return one.groupBy("observed").agg(((F.count_if(F.abs("_d") >= F.abs("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    v = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), case.cast("int").alias("_c")).where("_c is not null")
+    n = v.agg(F.count("_c").alias("_n"), F.sum("_c").alias("_n1"), F.sum("_v").alias("_s"), F.sum(F.when(F.col("_c") == 1, F.col("_v"))).alias("_s1"))
+    share, difference = F.col("_n1") / F.col("_n"), lambda s1: F.try_divide(s1, F.col("_n1")) - F.try_divide(F.col("_s") - s1, F.col("_n") - F.col("_n1"))
+    spread = 8 * F.sqrt((share * (1 - share) + 1 / F.col("_n")) / F.col("_n"))
+    n = n.select("*", difference(F.col("_s1")).alias("observed"), (share - spread).alias("_low"), (share + spread).alias("_high"))
+    dealt = v.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_h", F.xxhash64(F.lit(seed), "_k", "_r")).crossJoin(F.broadcast(n))
+    place = F.col("_h") / float(1 << 64) + 0.5
+    side = F.when(place < F.col("_low"), -1).when(place > F.col("_high"), 1).otherwise(0)
+    between = lambda x: F.when(F.col("_side") == 0, F.col(x))
+    sums = dealt.withColumn("_side", side).where("_side <= 0").groupBy("_r", "_side", between("_h").alias("_h"), between("_k").alias("_k"), between("_v").alias("_v")).agg(F.count("*").alias("_m"), F.sum("_v").alias("_t"))
+    up = W.partitionBy("_r").orderBy("_side", "_h", "_k", "_v").rowsBetween(W.unboundedPreceding, 0)
+    held = sums.withColumn("_upto", F.sum("_m").over(up)).crossJoin(F.broadcast(n.select("_n1")))
+    taken = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_n1") - F.col("_upto") + F.col("_m")))
+    share_taken = F.when(taken == F.col("_m"), F.col("_t")).when(F.col("_side") == 0, F.col("_v") * taken).otherwise(0.0)
+    outside = ((F.col("_side") == -1) & (F.col("_m") > F.col("_n1"))).cast("int")
+    each = held.groupBy("_r").agg(F.sum(share_taken).alias("_s1"), ((F.max(outside) == 1) | (F.max("_upto") < F.max("_n1"))).alias("_missed"))
+    again = dealt.drop("_s1").join(F.broadcast(each.where("_missed").select("_r")), "_r").withColumn("_o", F.row_number().over(W.partitionBy("_r").orderBy("_h", "_k", "_v")))
+    again = again.groupBy("_r").agg(F.sum(F.when(F.col("_o") <= F.col("_n1"), F.col("_v"))).alias("_s1"))
+    every = each.where("not _missed").select("_r", "_s1").union(again).crossJoin(F.broadcast(n.drop("_s1")))
+    return every.groupBy("observed").agg(((F.count_if(F.abs(difference(F.col("_s1"))) >= F.abs("observed")) + 1) / F.lit(replicates + 1.0)).alias("p"))
 
 
 def with_correlation_p(correlations: DataFrame, r: str = "r", n: str = "n", method: str = "t") -> DataFrame:

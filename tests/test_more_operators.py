@@ -5,10 +5,11 @@ import math
 import random
 from collections import Counter, deque
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import scalar
-from quern.operators import graph, joins, mr
+from quern.functions import dist, scalar
+from quern.operators import graph, intervals, joins, mr, stats
 
 
 def variants(seed=1, genes=6):
@@ -105,3 +106,40 @@ def test_rules_and_names(spark):
     names = spark.createDataFrame([("abc", 1), ("ABC", 2), ("Xyz", 3)], "n string, v int")
     got = {r.x: (r.matched, r.v) for r in joins.match_case(df, "name", names, "n").collect()}
     assert got == {1: ("abc", 1), 5: ("ABC", 2), 9: ("abc", 1), 7: ("Xyz", 3)}
+
+
+def test_clump_against_plain_python(spark):
+    rng = random.Random(11)
+    rows = [(g, float(rng.randint(0, 3000)), rng.randint(1, 60) / 100, i) for i, g in enumerate(rng.choices("ab", k=300))]
+    for window in (0.0, 7.0, 40.0, 5000.0):
+        want = set()
+        for g in "ab":
+            kept = []
+            for _, x, _, i in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+                if all(abs(x - y) > window for y in kept):
+                    kept.append(x)
+                    want.add((g, x))
+        got = intervals.clump(spark.createDataFrame(rows, "g string, pos double, p double, i int"), ["g"], "pos", "p", window).collect()
+        assert len(got) == len(want) and {(r.g, r.pos) for r in got} == want
+
+
+def test_permutations_against_a_whole_order(spark):
+    rng = random.Random(12)
+    for keys in (range(500), [0] * 300 + list(range(1, 201))):
+        rows = [(k, rng.gauss(0.0, 1.0), rng.random() < 0.2) for k in keys]
+        df = spark.createDataFrame(rows, "k int, v double, c boolean")
+        hashed = df.crossJoin(spark.range(1, 61).select(F.col("id").cast("int").alias("r"))).withColumn("h", F.xxhash64(F.lit(7), "k", "r")).collect()
+        n1 = sum(c for *_, c in rows)
+        difference = lambda cases, rest: sum(cases) / len(cases) - sum(rest) / len(rest)
+        observed = difference([v for _, v, c in rows if c], [v for _, v, c in rows if not c])
+        extreme = 0
+        for r in range(1, 61):
+            order = [x.v for x in sorted((x for x in hashed if x.r == r), key=lambda x: (x.h, x.k, x.v))]
+            extreme += abs(difference(order[:n1], order[n1:])) >= abs(observed)
+        got = stats.permutation_p(df, "k", "v", F.col("c"), 60).first()
+        assert got.observed == pytest.approx(observed) and got.p == pytest.approx((extreme + 1) / 61)
+
+
+def test_log_factorial(spark):
+    got = spark.range(0, 400).union(spark.createDataFrame([(10_000_000,)], "id long")).select("id", dist.log_factorial(F.col("id")).alias("f")).collect()
+    assert all(r.f == pytest.approx(math.lgamma(r.id + 1), rel=1e-14, abs=1e-13) for r in got)
