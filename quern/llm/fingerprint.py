@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-#: A paragraph is a line; a longer line is cut after the sentence that reaches so many characters.
-PARAGRAPH_CHARS = 120
+#: A paragraph is a line; a longer line is cut after the sentence that reaches so many characters,
+LEAST_CHARS = 40
+#: or, where no sentence ends before the second number, before the first white space from the first number on.
+WORDS_CHARS, SENTENCE_CHARS = 120, 160
 #: A table has three parts of so many cells; a digest sits in one cell of each part.
 PART = 8
 #: Rounds of peeling; tables of this size are empty or stuck before.
@@ -22,7 +24,7 @@ RETRIES = (4, 16, 64)
 #: Buckets of the id range for each shuffle partition, and the most buckets.
 BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 9216
 
-_PIECES = rf"[^\n]{{{PARAGRAPH_CHARS},}}?[.!?](?=\s|$)|[^\n]+"
+_PIECES = rf"[^\n]{{{LEAST_CHARS},{SENTENCE_CHARS}}}?(?:[.!?…](?=\s|$)|[。！？।])|[^\n]{{{WORDS_CHARS},}}?(?=\s|$)|[^\n]+"
 PARTS = ("c0", "c1", "c2")
 
 

@@ -115,3 +115,20 @@ def test_string_ids_and_a_long_text(spark):
     got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got["doc-002"].near_next == 12000 / 12001 and abs(got["doc-004"].near_next) < 1e-12
     assert got["doc-001"].near_next == 0.0 and got[None].near_next == 0.0
+
+
+def test_texts_of_one_line_keep_their_likeness(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    texts = [
+        " ".join(word() for _ in range(400)),  # no sentence
+        " ".join(word() + rng.choice(["", "", "", ".", "?"]) for _ in range(200)),
+        "".join(chr(rng.randint(0x4E00, 0x9000)) + ("。" if i % 30 == 29 else "") for i in range(900)),
+    ]
+    edited = [t[: len(t) - len(t) // 3] + "zyx " * (len(t) // 12) for t in texts]
+    rows = list(zip(range(3), texts, edited, texts[1:] + texts[:1], strict=True))
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string")
+    out = df.select("i", F.size(fingerprint.digests(F.col("a"))).alias("n"), fingerprint.compared(*[fingerprint.digests(F.col(c)) for c in "abc"]).alias("o")).collect()
+    for r in out:
+        assert r.n > 6 and 0.45 < r.o.near_edited < 0.75 and r.o.near_next == 0.0
+        assert r.n <= len(texts[r.i]) / 30
