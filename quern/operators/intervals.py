@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Islands of a group that start within so many rows are clumped in one call.
+TOGETHER = 5000
+
 
 def islands(df: DataFrame, position: str, gap: float, groups: Sequence[str] = ()) -> DataFrame:
     """groups, start, stop, n_rows: positions that follow each other at less than gap."""
@@ -23,8 +26,8 @@ def clump(df: DataFrame, groups: Sequence[str], position: str, p: str, window: f
     """Greedy distance clumping: in each group the smallest p stays and silences what lies within window of it.
 
     Ties go to the smaller position. Groups are cut where neighbours are further apart than
-    window, as they can't silence each other there; a task holds one such island, not a
-    whole key. Rows with a null position or p go. Rows of df keep their columns.
+    window, as they can't silence each other there; Python is given some thousands of rows of
+    such islands at a time (a longer island as a whole), not a whole key. Rows with a null position or p go. Rows of df keep their columns.
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,9 +39,10 @@ def clump(df: DataFrame, groups: Sequence[str], position: str, p: str, window: f
             if all(abs(x - y) > window for y in kept[max(0, at - 1) : at + 1]):
                 kept.insert(at, x)
                 chosen.append(i)
-        return pdf.loc[chosen].drop(columns="_island")
+        return pdf.loc[chosen].drop(columns="_part")
 
     w = W.partitionBy(*groups).orderBy(position)
-    new = F.when(F.col(position) - F.lag(position).over(w) <= window, 0).otherwise(1)
-    cut = df.na.drop(subset=[position, p]).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
-    return cut.groupBy(*groups, "_island").applyInPandas(keep, df.schema)
+    start = F.when(F.col(position) - F.lag(position).over(w) <= window, None).otherwise(F.row_number().over(w))
+    cut = df.na.drop(subset=[position, p]).withColumn("_start", start)
+    cut = cut.withColumn("_part", F.floor(F.max("_start").over(w.rangeBetween(W.unboundedPreceding, 0)) / TOGETHER)).drop("_start")
+    return cut.groupBy(*groups, "_part").applyInPandas(keep, df.schema)

@@ -108,7 +108,8 @@ def test_rules_and_names(spark):
     assert got == {1: ("abc", 1), 5: ("ABC", 2), 9: ("abc", 1), 7: ("Xyz", 3)}
 
 
-def test_clump_against_plain_python(spark):
+def test_clump_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "TOGETHER", 20)
     rng = random.Random(11)
     rows = [(g, float(rng.randint(0, 3000)), rng.randint(1, 60) / 100, i) for i, g in enumerate(rng.choices("ab", k=300))]
     for window in (0.0, 7.0, 40.0, 5000.0):
