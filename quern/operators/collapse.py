@@ -28,7 +28,7 @@ def drop_all_zero(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def distribution_profile(df: DataFrame, groups: Sequence[str], value: str, bins: int = 10) -> DataFrame:
-    """Twenty statistics of each group's values in [0, 1]-like ranges: moments, order statistics, tails, spread and entropy."""
+    """Statistics of each group's values in [0, 1]-like ranges: moments, order statistics, tails, spread and entropy."""
     v = F.col(value)
     base = df.where(v.isNotNull()).groupBy(*groups).agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), F.log1p(F.count(v).cast("double")).alias("log_n"),

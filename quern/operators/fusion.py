@@ -22,7 +22,7 @@ def reciprocal_ranks(scores: DataFrame, model: str, member: str, score: str, k:
     if weights is None:
         return r.groupBy(member).agg(F.sum(1.0 / (k + F.col("_r"))).alias("rrf"))
     w = weights.select(model, (F.col("w") / F.sum("w").over(W.partitionBy())).alias("_w"))
-    return r.join(F.broadcast(w), model).groupBy(member).agg(F.sum(F.col("_w") / (k + F.col("_r"))).alias("rrf"))
+    return r.join(w, model).groupBy(member).agg(F.sum(F.col("_w") / (k + F.col("_r"))).alias("rrf"))
 
 
 def quality_weights(metrics: DataFrame, model: str, first: str, second: str, least: float = 0.5) -> DataFrame:
@@ -74,7 +74,7 @@ def product_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], p: st
 def family_consensus(scores: DataFrame, model: str, member: str, score: str, families: Mapping[str, str], weights: Mapping[str, float], k: int = 30, least: int | None = None) -> DataFrame:
     """member, families: members among the k best of each family's weighted mean score, in at least so many families (all by default)."""
     table = scores.sparkSession.createDataFrame([(m, f, float(weights.get(m, 1.0))) for m, f in families.items()], f"{model} string, family string, _w double")
-    mean = scores.join(F.broadcast(table), model).groupBy("family", member).agg((F.sum(F.col(score) * F.col("_w")) / F.sum("_w")).alias("_m"))
+    mean = scores.join(table, model).groupBy("family", member).agg((F.sum(F.col(score) * F.col("_w")) / F.sum("_w")).alias("_m"))
     best = rank(mean, "_m", ["family"], "ordinal", True, [member], "_r").where(F.col("_r") <= k)
     return best.groupBy(member).agg(F.count("*").alias("families")).where(F.col("families") >= (least or len(set(families.values()))))
 
@@ -145,8 +145,8 @@ def bootstrap_ranks(scores: DataFrame, model: str, member: str, score: str, k: f
     models = ranked.select(model).distinct().withColumn("_i", F.row_number().over(W.orderBy(model)) - 1)
     n = models.count()
     draws = scores.sparkSession.range(replicates * max(1, n)).select((F.col("id") % replicates).alias("_rep"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n))).cast("int").alias("_i"))
-    times = draws.join(F.broadcast(models), "_i").groupBy("_rep", model).agg(F.count("*").alias("_times"))
-    sums = ranked.join(F.broadcast(times), model).groupBy(member, "_rep").agg(F.sum(F.col("_v") * F.col("_times")).alias("_s"))
+    times = draws.join(models, "_i").groupBy("_rep", model).agg(F.count("*").alias("_times"))
+    sums = ranked.join(times, model).groupBy(member, "_rep").agg(F.sum(F.col("_v") * F.col("_times")).alias("_s"))
     edge = (1 - level) / 2
     whole = ranked.groupBy(member).agg(F.sum("_v").alias("rrf"))
     return whole.join(sums.groupBy(member).agg(F.percentile("_s", edge).alias("low"), F.percentile("_s", 1 - edge).alias("high")), member)

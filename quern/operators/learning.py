@@ -88,7 +88,7 @@ def deconvolve(df: DataFrame, signatures: DataFrame, sample: str, member: str, v
     One sample's values for the signature members are one group: their number is that of the
     signature, whatever the size of the corpus.
     """
-    joined = df.join(F.broadcast(signatures.select(member, kind, F.col(weight).alias("_w"))), member).select(F.col(sample).alias("sample"), F.col(member).alias("member"), F.col(kind).cast("string").alias("kind"), F.col(value).cast("double").alias("value"), F.col("_w").cast("double").alias("w"))
+    joined = df.join(signatures.select(member, kind, F.col(weight).alias("_w")), member).select(F.col(sample).alias("sample"), F.col(member).alias("member"), F.col(kind).cast("string").alias("kind"), F.col(value).cast("double").alias("value"), F.col("_w").cast("double").alias("w"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index="member", columns="kind", values="w", aggfunc="first").fillna(0.0)

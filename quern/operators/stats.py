@@ -186,7 +186,7 @@ def jensen_shannon(df: DataFrame, value: str, case: Column, bins: int = 19) -> D
 def quartile_strata(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rows of the top and of the bottom quarter of value (exact quartiles, linear), marked high and low."""
     q = df.groupBy(*groups).agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
-    joined = df.join(F.broadcast(q), list(groups)) if groups else df.crossJoin(F.broadcast(q))
+    joined = df.join(q, list(groups)) if groups else df.crossJoin(F.broadcast(q))
     return joined.withColumn("stratum", F.when(F.col(value) >= F.col("_q3"), "high").when(F.col(value) <= F.col("_q1"), "low")).where("stratum is not null").drop("_q1", "_q3")
 
 

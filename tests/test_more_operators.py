@@ -8,6 +8,7 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
+from quern import schema
 from quern.functions import dist, scalar
 from quern.operators import graph, intervals, joins, mr, stats
 
@@ -144,3 +145,10 @@ def test_permutations_against_a_whole_order(spark):
 def test_log_factorial(spark):
     got = spark.range(0, 400).union(spark.createDataFrame([(10_000_000,)], "id long")).select("id", dist.log_factorial(F.col("id")).alias("f")).collect()
     assert all(r.f == pytest.approx(math.lgamma(r.id + 1), rel=1e-14, abs=1e-13) for r in got)
+
+
+def test_quality_report_counts_distinct_values(spark):
+    df = spark.createDataFrame([(i % 7, None if i % 2 else "x") for i in range(100)], "a int, b string")
+    got = {r.column: r for r in schema.quality_report(df).collect()}
+    assert (got["a"].rows, got["a"].missing, got["a"].distinct) == (100, 0, 7)
+    assert (got["b"].missing, got["b"].distinct, got["b"].smallest) == (50, 1, "x")
