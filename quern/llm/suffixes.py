@@ -47,7 +47,6 @@ RANGE_BYTES = 24 << 20
 _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _BYTES = np.random.Generator(np.random.PCG64(91)).integers(1, 2**63, (3, 256), dtype=np.uint64)
 _PIECE = 1 << 17
-_BLOCKS = "block long, ids array<long>, lens array<long>, data binary, carried array<string>"
 _NAMES = "part int, block long, kind int, names binary, marks binary"
 _BITS = "block long, part int, kind int, twice binary, first binary"
 
@@ -238,46 +237,68 @@ def _covered(block: Block, found: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _blocks_schema(source: DataFrame) -> T.StructType:
+    """One row a block: the columns of source as arrays, the texts as lengths and one binary value."""
+    long = T.LongType()
+    arrays = [T.StructField({"id": "ids"}.get(f.name, f.name), T.ArrayType(f.dataType)) for f in source.schema.fields if f.name != "text"]
+    return T.StructType([T.StructField("block", long), T.StructField("lens", T.ArrayType(long)), T.StructField("data", T.BinaryType()), *arrays])
+
+
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    ids, texts, carried, held = [], [], [], 0
+    texts: list[bytes] = []
+    pieces: list[list[pa.Array]] = []
+    held = 0
+
+    def flush(names: list[str]) -> pa.RecordBatch:
+        nonlocal texts, pieces, held, number
+        whole = [pa.concat_arrays([p[c] for p in pieces]) for c in range(len(names))]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
+        lens = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
+        columns = [pa.array([number], pa.int64()), lens, pa.array([b"".join(texts)], pa.binary()), *arrays]
+        texts, pieces, held, number = [], [], 0, number + 1
+        return pa.record_batch(columns, names=["block", "lens", "data", *names])
+
+    names: list[str] = []
+    for batch in batches:
+        others = [c for c in batch.schema.names if c != "text"]
+        names = [{"id": "ids"}.get(c, c) for c in others]
+        begin = 0
 
-    def flush():
-        nonlocal ids, texts, carried, held, number
-        values = ((number, pa.int64()), (ids, pa.list_(pa.int64())), ([len(t) for t in texts], pa.list_(pa.int64())), (b"".join(texts), pa.binary()), (carried, pa.list_(pa.string())))
-        row = pa.record_batch([pa.array([v], t) for v, t in values], names=["block", "ids", "lens", "data", "carried"])
-        ids, texts, carried, held, number = [], [], [], 0, number + 1
-        return row
+        def take(end: int) -> None:
+            nonlocal begin
+            if end > begin:
+                pieces.append([batch.column(c).slice(begin, end - begin) for c in others])  # noqa: B023
+            begin = end
 
-    for batch in batches:
-        for i, t, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+        for i, t in enumerate(batch.column("text").to_pylist()):
             t = t or b""
             if texts and held + len(t) > BLOCK_BYTES:
-                yield flush()
-            ids.append(i)
+                take(i)
+                yield flush(names)
             texts.append(t)
-            carried.append(c)
             held += len(t)
+        take(batch.num_rows)
     if texts:
-        yield flush()
+        yield flush(names)
 
 
 def _blocks_of(batch: pa.RecordBatch, parts: int):
-    names = batch.schema.names
     for row in range(batch.num_rows):
-        get = lambda c: batch.column(names.index(c))[row].as_py()  # noqa: E731,B023
-        yield get("block"), (get("ids"), get("carried")), Block(get("lens"), get("data"), parts), (get("found") if "found" in names else None)
+        get = lambda c: batch.column(c)[row]  # noqa: E731,B023
+        rows = {c: get(c).values for c in ("ids", "carried") if c in batch.schema.names}
+        yield get("block").as_py(), rows, Block(get("lens").as_py(), get("data").as_py(), parts), (get("found").as_py() if "found" in batch.schema.names else None)
 
 
-def _mapped(blocks: DataFrame, parts: int, f, schema: str) -> DataFrame:
-    """f(block number, (ids, carried), Block, answers) -> record batches, block by block."""
+def _mapped(blocks: DataFrame, parts: int, f, schema: T.StructType | str) -> DataFrame:
+    """f(block number, arrays of ids and carried rows, Block, answers) -> record batches, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, ids, block, found in _blocks_of(batch, parts):
-                for out in f(number, ids, block, found):
+            for number, rows, block, found in _blocks_of(batch, parts):
+                for out in f(number, rows, block, found):
                     if out is not None:
                         yield out
 
@@ -300,26 +321,25 @@ def _with_answers(blocks: DataFrame, *bits: DataFrame) -> DataFrame:
     return blocks.join(found.hint("shuffle_hash"), "block", "left")
 
 
-def _phases(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> tuple[DataFrame, int]:
-    """The blocks with all answers, and the number of ranges."""
-    spark = docs.sparkSession
+def _phases(source: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks of the rows (id, text, perhaps carried) with all answers, and the number of ranges."""
+    spark = source.sparkSession
     narrow_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"quern_blocks_{uuid.uuid4().hex}"
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"), (F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")).alias("carried"))
-    made = source.mapInArrow(_make_blocks, _BLOCKS)
+    made = source.mapInArrow(_make_blocks, _blocks_schema(source))
     made.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = spark.table(name)  # holds its files from here on, so the catalogue needn't keep the name
+    spark.sql(f"DROP TABLE {name}")
     size = blocks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = 1 << max(0, max(n - 1, size * 4 * len(COVER) // PERIOD // RANGE_BYTES).bit_length())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
-    def first(number, ids, block, found):
+    def first(number, rows, block, found):
         (_, p, values, many, _, _), (_, sp, samples, several, _) = _first_names(block)
         yield _rows(number, DOCUMENT, p, values, many)
         yield _rows(number, SAMPLED, sp, (samples & np.uint64(0xFFFFFFFF)).astype(np.uint32), several)
 
-    def second(number, ids, block, found):
+    def second(number, rows, block, found):
         _, _, p, sent, many, _ = _passages(block, found)
         yield _rows(number, PASSAGE, p, sent, many)
 
@@ -349,27 +369,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document or two, is removed everywhere; strings are judged on the input. A null text
     counts as empty; equal rows are documents of their own.
 
-    with_text adds text, what is left, and the other columns of docs (as JSON would keep
-    them); columns of the results' names give way. There a null text stays null, and a
+    Ids of whole numbers come back as long, others as they are.
+
+    with_text adds text, what is left, and the other columns of docs, values of any type
+    unchanged; columns of the results' names give way. There a null text stays null, and a
     character of which a part is removed goes as a whole.
     """
     results = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
     carry = [c for c in docs.columns if c not in (doc_id, text, *results)] if with_text else []
-    kinds = {f.name: f for f in docs.schema.fields}
+    id_type = docs.schema[doc_id].dataType
+    id_type = T.LongType() if isinstance(id_type, T.IntegralType) else id_type
+    columns = [F.col(f"`{doc_id}`").cast(id_type).alias("id"), F.col(f"`{text}`").cast("binary").alias("text")]
+    if with_text:
+        columns.append(F.struct(F.col(f"`{text}`").isNull().alias("null_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried"))
+    answered, parts = _phases(docs.select(*columns))
+    long = T.LongType()
+    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, long) for c in results[1:4]], T.StructField("kept_sha256", T.StringType())])
     if with_text:
-        docs = docs.withColumn("_null_text", F.col(f"`{text}`").isNull())
-        carry = [*carry, "_null_text"]
-    answered, parts = _phases(docs, doc_id, text, carry)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, carried string" * with_text
-    names = results[: 6 if with_text else 5] + ["carried"] * with_text
+        schema = schema.add("text", T.StringType()).add("carried", answered.schema["carried"].dataType.elementType)
+    names = schema.names
 
     def last(number, rows, block, found):
-        ids, carried = rows
-        yield pa.record_batch([pa.array(ids, pa.int64()), *_document_rows(block, _covered(block, found), with_text), *([pa.array(carried, pa.string())] if with_text else [])], names=names)
+        yield pa.record_batch([rows["ids"], *_document_rows(block, _covered(block, found), with_text), *([rows["carried"]] if with_text else [])], names=names)
 
     out = _mapped(answered, parts, last, schema)
     if not with_text:
         return out
-    carried = F.from_json("carried", T.StructType([*[T.StructField(c, kinds[c].dataType) for c in carry[:-1]], T.StructField("_null_text", T.BooleanType())]))
-    out = out.withColumn("_c", carried).withColumn("text", F.when(~F.col("_c._null_text"), F.col("text")))
-    return out.select(*results, *[F.col(f"_c.`{c}`").alias(c) for c in carry[:-1]])
+    return out.withColumn("text", F.when(~F.col("carried.null_text"), F.col("text"))).select(*results, *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])

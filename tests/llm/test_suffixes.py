@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import suffixes
 
@@ -63,3 +64,21 @@ def test_texts_and_other_columns(spark):
     assert (got[2].text, got[2].source, got[2].x) == ("", None, 2.5)
     assert got[3].text is None and got[3].source == "t" and got[None].text == "own"
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_columns_keep_their_types(spark):
+    rows = [("a", "q" * 300, bytearray(b"\xff\x00"), float("nan"), {"k": 1}), ("b", "q" * 250, None, None, None), (None, None, None, 1.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, raw binary, x double, `m.n` map<string,int>").withColumn("three", F.lit(3))
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs, with_text=True).collect()}
+    assert (got["a"].text, got["a"].n_removed, got["a"].raw, got["a"]["m.n"], got["a"].three) == ("", 300, b"\xff\x00", {"k": 1}, 3)
+    assert np.isnan(got["a"].x) and got["b"].raw is None and got["b"].n_removed == 250 and got[None].x == 1.0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quern_blocks")]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long, other = ("".join(rng.choices("abcdefgh \n", k=n)) for n in (6_000_000, 1_000_000))
+    passage = long[3_000_000:3_000_300]
+    docs = spark.createDataFrame([(1, long), (2, other + passage), (3, "own")], "doc_id int, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == {1: (6_000_000, 300, 1), 2: (1_000_300, 300, 1), 3: (3, 0, 0)}
