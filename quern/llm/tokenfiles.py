@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import narrow_batches, shared_dir
 
@@ -21,7 +22,7 @@ CACHE_ENTRIES, CACHE_BYTES = 500_000, 48
 #: Shards whose totals are broadcast: one number for each partition of the shuffle.
 MAX_SHARDS = 100_000
 
-_SCHEMA = "shard int, segment int, n_docs long, n_ids long, data binary"
+_COLUMNS = (("shard", T.IntegerType()), ("segment", T.IntegerType()), ("n_docs", T.LongType()), ("n_ids", T.LongType()), ("data", T.BinaryType()))
 
 
 class RunEncoder:
@@ -86,14 +87,19 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     Documents are dealt over shards by ranges of ids and put in ascending order (null first,
     equal ids by text). A row of the table holds one segment of a shard in the format of
     rangecoder; Spark writes it, so any file system will do and a lost task leaves nothing.
-    A null text counts as empty.
+    A null text counts as empty. Ids of whole numbers stand in the segment; for ids of another
+    type it numbers its documents and the column names beside it holds their ids.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
+    kind = docs.schema[doc_id].dataType
+    whole = isinstance(kind, T.IntegralType)
+    kind = T.LongType() if whole else kind
+    ordered = docs.select(F.col(f"`{doc_id}`").cast(kind).alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     ordered = ordered.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     end = np.array([end_id], "<u2").tobytes()
+    schema = T.StructType([T.StructField(c, t) for c, t in (*_COLUMNS, *([] if whole else [("names", T.ArrayType(kind))]))])
 
     def segments(batches):
         from pyspark import TaskContext
@@ -101,13 +107,16 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         from quern.llm.rangecoder import pack
 
         encoder, shard = RunEncoder.of_worker(tokenizer), TaskContext.get().partitionId()
-        ids, names, before, number = [], [], 0, 0
+        ids, names, before, number, id_type = [], [], 0, 0, None
 
         def flush():
             nonlocal before, number
             values = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-            data = pack(before, names, np.array([len(x) // 2 for x in ids]), values)
-            row = pa.record_batch([pa.array([v], t) for v, t in ((shard, pa.int32()), (number, pa.int32()), (len(names), pa.int64()), (len(values), pa.int64()), (data, pa.binary()))], names=["shard", "segment", "n_docs", "n_ids", "data"])
+            data = pack(before, names if whole else list(range(len(names))), np.array([len(x) // 2 for x in ids]), values)
+            columns = [pa.array([v], t) for v, t in ((shard, pa.int32()), (number, pa.int32()), (len(names), pa.int64()), (len(values), pa.int64()), (data, pa.binary()))]
+            if not whole:
+                columns.append(pa.array([names], pa.list_(id_type)))
+            row = pa.record_batch(columns, names=schema.names)
             before, number = before + len(values), number + 1
             ids.clear()
             names.clear()
@@ -115,6 +124,7 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
 
         held = 0
         for batch in batches:
+            id_type = batch.column(0).type
             found = encoder.encode(batch.column(1).to_pylist())
             for name, x in zip(batch.column(0).to_pylist(), found, strict=True):
                 if ids and held + len(x) > 2 * SEGMENT_IDS:
@@ -127,7 +137,7 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             yield flush()
 
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    ordered.mapInArrow(segments, _SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(segments, schema).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -136,7 +146,7 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     Every block's checksum is verified; damage raises an error.
     """
-    table = spark.read.schema(_SCHEMA).parquet(path)
+    table = spark.read.parquet(path)
     totals = sorted((r[0], r[1]) for r in table.groupBy("shard").agg(F.sum("n_ids")).limit(MAX_SHARDS + 1).collect())
     if len(totals) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} shards")
@@ -146,21 +156,24 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
         n += ids
     offsets = spark.createDataFrame(starts, "shard int, offset long")
     names = ["doc_id", "shard", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    schema = "doc_id long, shard int, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    named = ["names"] if "names" in table.columns else []
+    kind = table.schema["names"].dataType.elementType.simpleString() if named else "long"
+    schema = f"doc_id {kind}, shard int, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def documents(batches):
         from quern.llm.rangecoder import unpack
 
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row, (shard, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 before, doc_ids, sizes, ids = unpack(data.as_py())
+                keys = batch.column(2)[row].values if named else pa.array(doc_ids, pa.int64())
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array([shard] * len(doc_ids), pa.int32()), pa.array(before + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
+                columns = [keys, pa.array([shard] * len(doc_ids), pa.int32()), pa.array(before + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.record_batch(columns, names=names)
 
-    out = table.select("shard", "data").mapInArrow(documents, schema).join(F.broadcast(offsets), "shard")
+    out = table.select("shard", "data", *named).mapInArrow(documents, schema).join(F.broadcast(offsets), "shard")
     return out.select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -96,3 +96,9 @@ def test_files(spark):
     got = tokenfiles.read_ids(spark, tokenfiles.write_ids(docs, BYTES), with_ids=True).collect()
     assert sorted((r.start, r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32, r.ids) for r in got) == sorted((s, k is None, k or 0, n, c, i) for k, s, n, c, i in want)
     assert tokenfiles.read_ids(spark, tokenfiles.write_ids(docs.limit(0), BYTES)).count() == 0
+
+
+def test_files_of_named_documents(spark):
+    docs = spark.createDataFrame([("b", "two words"), ("a", None), (None, "x")], "doc_id string, text string")
+    got = tokenfiles.read_ids(spark, tokenfiles.write_ids(docs, BYTES)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "a", "b"] and [r.start for r in got] == [0, got[0].n_tokens, got[0].n_tokens + 1]
