@@ -4,6 +4,7 @@ import os
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def duck():
 
 def plain(x):
     """Whole numbers beside nulls come from pandas as floats."""
-    return None if x is None or x != x else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+    return None if pd.isna(x) else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 
 
 def same_as_sql(got, want):
