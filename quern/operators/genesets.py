@@ -44,7 +44,8 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, member: str, score: s
 
     The walk is only evaluated at the hits, where it can turn: before and after each.
     """
-    placed = rank(ranked.where(F.col(score).isNotNull()), score, [], "ordinal", True, [member], "_place").withColumn("_n", F.count("*").over(W.partitionBy()))
+    placed = rank(ranked.where(F.col(score).isNotNull()), score, [], "ordinal", True, [member], "_place")
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.max("_place").alias("_n"))))
     hits = placed.join(sets, member).withColumn("_i", F.row_number().over(W.partitionBy(name).orderBy("_place"))).withColumn("_h", F.count("*").over(W.partitionBy(name)))
     miss = F.coalesce(F.try_divide(F.lit(1.0), F.col("_n") - F.col("_h")), F.lit(0.0))
     after = F.col("_i") / F.col("_h") - (F.col("_place") - F.col("_i")) * miss

@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.ranks import rank
 
 
+def _over(df: DataFrame, groups: Sequence[str], **aggregates: Column) -> DataFrame:
+    """df with aggregates of its group; without groups they are one row that is broadcast, not one window over all rows."""
+    if not groups:
+        return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))
+    w = W.partitionBy(*groups)
+    return df.withColumns({n: a.over(w) for n, a in aggregates.items()})
+
+
 def zscore(df: DataFrame, value: str, groups: Sequence[str] = (), population: bool = False, name: str = "z", least_sd: float = 0.0) -> DataFrame:
     """(value - mean) / standard deviation of its group; 0 where the deviation isn't above least_sd."""
-    w = W.partitionBy(*groups)
-    sd = (F.stddev_pop if population else F.stddev_samp)(value).over(w)
-    return df.withColumn(name, F.when(F.col(value).isNull(), None).when(sd > least_sd, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0))
+    d = _over(df, groups, _sd=(F.stddev_pop if population else F.stddev_samp)(value), _mean=F.avg(value))
+    return d.withColumn(name, F.when(F.col(value).isNull(), None).when(F.col("_sd") > least_sd, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(0.0)).drop("_sd", "_mean")
 
 
 def minmax(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "scaled") -> DataFrame:
     """(value - least) / range of its group, 0 for a constant group."""
-    w = W.partitionBy(*groups)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(F.col(value).isNull(), None).otherwise(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0))))
+    d = _over(df, groups, _low=F.min(value), _high=F.max(value))
+    low, high = F.col("_low"), F.col("_high")
+    return d.withColumn(name, F.when(F.col(value).isNull(), None).otherwise(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)))).drop("_low", "_high")
 
 
 def max_share(df: DataFrame, value: str, groups: Sequence[str] = (), times: float = 100.0, name: str = "scaled") -> DataFrame:
     """times * value / largest of its group, 0 where the largest is 0."""
-    return df.withColumn(name, F.coalesce(F.try_divide(F.col(value) * times, F.max(value).over(W.partitionBy(*groups))), F.lit(0.0)))
+    return _over(df, groups, _high=F.max(value)).withColumn(name, F.coalesce(F.try_divide(F.col(value) * times, F.col("_high")), F.lit(0.0))).drop("_high")
 
 
 def batch_centre(df: DataFrame, value: str, key: str, batch: str, name: str = "centred") -> DataFrame:
