@@ -84,9 +84,13 @@ def series_values(t: Tables):
     return readers.series_matrix(t.spark, series(t))
 
 
-@query("SELECT unnest(['Series_title', 'Sample_title', 'series_matrix_table_begin', 'series_matrix_table_end']) AS key, unnest(['a series', 'size|price', '', '']) AS fields")
+@query("SELECT 'Series_title' AS key, count(*)::VARCHAR || ' parts' AS fields FROM part UNION ALL SELECT 'Sample_title', string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) FROM part UNION ALL SELECT 'series_matrix_table_begin', '' UNION ALL SELECT 'series_matrix_table_end', ''")
 def series_fields(t: Tables):
-    return readers.series_metadata(t.spark, series(t)).select("key", F.array_join("values", "|").alias("fields"))
+    told = t.part.agg(F.concat(F.lit('!Series_title\t"'), F.count("*"), F.lit(' parts"')).alias("a"), F.concat(F.lit('!Sample_title\t"'), F.array_join(F.sort_array(F.collect_set("p_brand")), '"\t"'), F.lit('"')).alias("b"))
+    head = told.select(F.posexplode(F.array("a", "b", F.lit("!series_matrix_table_begin"))).alias("place", "line"))
+    rows = body(t.part, "p_partkey", "p_partkey", "p_size")
+    path = text_file(t, "described", head, lines(t, "ID_REF\tsize"), rows, lines(t, "!series_matrix_table_end"))
+    return readers.series_metadata(t.spark, path).select("key", F.array_join("values", "|").alias("fields"))
 
 
 @query("SELECT 'P' || p_partkey AS probe, upper(p_name) AS gene FROM part WHERE p_size % 5 <> 0")

@@ -56,26 +56,41 @@ def gmt(spark: SparkSession, path: str, source: str = "") -> DataFrame:
     return rows.withColumn("gene", F.upper(F.trim("gene"))).where("gene <> ''").distinct()
 
 
+def placed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """line, file, at of text files: at orders the lines of a file.
+
+    Large uncompressed files are read by many tasks, split at byte ranges: at is the start of the
+    line's range and the line's number in its task, which two scans of the same files share.
+    """
+    lines = spark.read.text(path if isinstance(path, str) else list(path))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+
+
 def series_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """probe, sample, value between the table marks of a series-matrix file, in long form; missing texts are null.
+    """probe, sample, value between the table marks of series-matrix files, in long form; missing texts are null.
 
-    A file is read as one row; these files are small, and there is one row a file for many.
+    The marks and the heading are a few rows a file; the lines between them are read where they
+    are, by as many tasks as the files have splits. A file without a begin mark has no rows, one
+    without an end mark is read to its end.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
-    cut = lines.select("l", F.array_position("l", "!series_matrix_table_begin").cast("int").alias("a"), F.array_position("l", "!series_matrix_table_end").cast("int").alias("b"))
-    body = cut.where("a > 0").select(F.slice("l", F.col("a") + 1, F.when(F.col("b") > 0, F.col("b") - F.col("a") - 1).otherwise(F.size("l") - F.col("a"))).alias("t"))
+    lines = placed_lines(spark, path)
+    mark = lambda x: F.min(F.when(F.trim("line") == f"!series_matrix_table_{x}", F.col("at")))
+    marks = lines.where(F.startswith("line", F.lit("!"))).groupBy("file").agg(mark("begin").alias("a"), mark("end").alias("b")).where("a is not null")
+    body = lines.join(marks, "file").where((F.col("at") > F.col("a")) & (F.col("b").isNull() | (F.col("at") < F.col("b"))) & (F.trim("line") != ""))
     unquoted = lambda x: F.regexp_replace(F.trim(x), '^"|"$', "")
-    rows = body.select(F.transform(F.split(F.col("t")[0], "\t"), unquoted).alias("head"), F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("line")).where(F.trim("line") != "")
-    cells = rows.withColumn("f", F.transform(F.split("line", "\t"), unquoted)).select(F.col("f")[0].alias("probe"), "f", F.posexplode("head").alias("i", "sample")).where("i > 0 and sample <> ''")
+    heads = body.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h")).select("file", F.col("h.at").alias("head_at"), F.transform(F.split("h.line", "\t"), unquoted).alias("head"))
+    rows = body.join(heads, "file").where("at > head_at").withColumn("f", F.transform(F.split("line", "\t"), unquoted))
+    cells = rows.select(F.col("f")[0].alias("probe"), "f", F.posexplode("head").alias("i", "sample")).where("i > 0 and sample <> ''")
     return missing_to_null(cells.select("probe", "sample", F.get("f", F.col("i")).try_cast("double").alias("value")))
 
 
 def series_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """key, values of the !-lines before the table; of equal keys the last."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where("line like '!%'")
+    """key, values of the !-lines of series-matrix files; of equal keys the last."""
+    rows = placed_lines(spark, path).where("line like '!%'")
     f = F.split("line", "\t")
     tidy = F.transform(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    return rows.select("i", F.ltrim(f[0], F.lit("!")).alias("key"), tidy.alias("values")).groupBy("key").agg(F.max_by("values", "i").alias("values"))
+    return rows.select("file", "at", F.ltrim(f[0], F.lit("!")).alias("key"), tidy.alias("values")).groupBy("key").agg(F.max_by("values", F.struct("file", "at")).alias("values"))
 
 
 def annotation(spark: SparkSession, path: str, probe: Sequence[str], gene: Sequence[str], sep: str = "\t", comment: str = "#") -> DataFrame:
@@ -92,7 +107,13 @@ def expression_long(df: DataFrame, probe: str, name: str = "sample", value: str
 
 def market_matrix(spark: SparkSession, matrix: str, genes: str, cells: str) -> DataFrame:
     """cell, gene, value of a sparse triplet file with its two name files (line numbers from 1)."""
-    numbered = lambda p, c: spark.read.text(p, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("_i", "_l")).where("_l <> ''").select((F.col("_i") + 1).alias(f"_{c}"), F.element_at(F.split("_l", "\t"), -1 if c == "cell" else F.least(F.size(F.split("_l", "\t")), F.lit(2))).alias(c))
+    from quern.operators.order import place
+
+    def numbered(path: str, c: str) -> DataFrame:
+        parts = F.split("line", "\t")
+        name = F.element_at(parts, -1 if c == "cell" else F.least(F.size(parts), F.lit(2)))
+        return place(placed_lines(spark, path), ["file", "at"], name=f"_{c}").where("line <> ''").select(f"_{c}", name.alias(c))
+
     f = F.split(F.trim("value"), r"\s+")
     # the first line that isn't a comment has the sizes: as many rows, columns and entries as there are
     rows = spark.read.text(matrix).where(~F.startswith("value", F.lit("%")) & (F.size(f) == 3)).select(f[0].try_cast("long").alias("_gene"), f[1].try_cast("long").alias("_cell"), f[2].try_cast("double").alias("value"))

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quern.plans import analytics, checks, files, genetics, inference, modelling, networks, relational  # noqa: F401
+from quern.plans import analytics, checks, files, genetics, inference, learned, modelling, networks, relational  # noqa: F401
 from quern.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"

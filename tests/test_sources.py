@@ -74,3 +74,31 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = {tuple(r) for r in windows.windowed(events, "ts", "1 day", keys=["event_type"]).collect()}
     assert got and got <= batch and stream.isStreaming
     assert windows.first_of_each(events.union(events), "ts", ["event_id"]).count() == events.count()
+
+
+def test_series_matrix_in_splits(spark, tmp_path):
+    """A file that is cut into many ranges has the same rows, metadata and heading as when it is read as a whole."""
+    import pathlib
+
+    n = 40_000
+    folder = tmp_path / "series"
+    folder.mkdir()
+    for name, sample in (("a.txt", "G1"), ("b.txt", "G2")):
+        head = ['!Series_title\t"' + "t" * 3000 + '"', f'!Sample_x\t"{sample}"', "before", "!series_matrix_table_begin", f'"ID_REF"\t"{sample}"\t"both"']
+        pathlib.Path(folder / name).write_text("\n".join(head + [f'"p{i}"\t{i}.5\t{i}' for i in range(n)] + ["!series_matrix_table_end", '"after"\t1\t2']) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = readers.series_matrix(spark, str(folder))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        got = {(r.probe, r["sample"]): r.value for r in rows.collect()}
+        assert len(got) == 3 * n and rows.count() == 4 * n
+        assert all(got[f"p{i}", "G1"] == i + 0.5 == got[f"p{i}", "G2"] and got[f"p{i}", "both"] == i for i in range(n))
+        assert {r.key: r["values"] for r in readers.series_metadata(spark, str(folder)).collect()}["Sample_x"] == ["G2"]
+        names, entries = tmp_path / "names.tsv", tmp_path / "m.mtx"
+        names.write_text("".join(f"E{i}\tname{i}\n" for i in range(1, n + 1)))
+        entries.write_text(f"%%MatrixMarket\n{n} {n} {n}\n" + "".join(f"{i} {n + 1 - i} {i % 9 + 1}\n" for i in range(1, n + 1)))
+        matrix = {(r.cell, r.gene): r.value for r in readers.market_matrix(spark, str(entries), str(names), str(names)).collect()}
+        assert len(matrix) == n and all(matrix[f"name{n + 1 - i}", f"name{i}"] == i % 9 + 1 for i in range(1, n + 1, 777))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
