@@ -59,23 +59,21 @@ def _level(e: DataFrame, strengths: DataFrame, two_m: float, seed: int, rounds:
         best = x.groupBy("src", "own", "k", "_own_total").agg(F.max(F.when(F.col("c") != F.col("own"), F.struct(worth.alias("worth"), F.xxhash64("c").alias("h"), F.col("c")))).alias("_b"), F.max(F.when(F.col("c") == F.col("own"), F.col("_w"))).alias("_w_own"))
         stay = F.coalesce("_w_own", F.lit(0.0)) - F.col("k") * (F.col("_own_total") - F.col("k")) / two_m
         offers = best.where(~gives("_b.c")).select(F.col("src").alias("node"), "k", "own", F.col("_b.c").alias("to"), (F.col("_b.worth") - stay).alias("gain")).where(F.col("gain") > 1e-12 * two_m)
-        moves = held(_accepted(held(offers, "louvain-offers"), two_m), "louvain-moves")
-        if moves.limit(1).count():
-            still = 0
-            label = held(label.join(moves, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community")), "louvain")
-        else:
-            still += 1
-            if still == quiet:
-                break
+        moves = _accepted(held(offers, "louvain-offers"), two_m)
+        label = held(label.select("node", "k", "community").join(moves, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "louvain")
+        still = 0 if label.where("moved").limit(1).count() else still + 1
+        if still == quiet:
+            break
     return label.select("node", "community")
 
 
-def louvain(edges: DataFrame, seed: int = 7, rounds: int = 200, quiet: int = 3, levels: int = 20) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 7, rounds: int = 12, quiet: int = 2, levels: int = 20) -> DataFrame:
     """node, community: nodes move to the neighbouring community that gains most modularity, communities become nodes, and so on.
 
     In a round half of the communities, by hash, give nodes and half take some; of the offers
     those go through that can't lose modularity together, so it never falls. A level ends when
-    `quiet` rounds in a row move nothing. community is the number of one of its nodes. Parallel
+    `quiet` rounds in a row move nothing, or after so many rounds; what could still move does so
+    in the next level as part of its community. community is the number of one of its nodes. Parallel
     edges keep the largest weight, loops and weights not above 0 are left out; a node without an
     edge isn't in the result.
     """

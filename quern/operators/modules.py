@@ -117,17 +117,16 @@ def average_linkage(distances: DataFrame, a: str = "a", b: str = "b", d: str = "
     """
     p = distances.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(d).cast("double").alias("s")).where("a <> b").withColumn("na", F.lit(1).cast("long")).withColumn("nb", F.lit(1).cast("long")).withColumn("pairs", F.lit(1).cast("long"))
     p = held(p, "linkage-pairs")
-    merges, turn = None, 0
-    while p.limit(1).count():
-        turn += 1
+    merges, turn, left = None, 0, -1
+    # pairs that are left as they were have no distance: nothing merges any more
+    while (count := p.count()) and count != left:
+        turn, left = turn + 1, count
         # a pair that isn't there in full is infinitely far
         near = p.where(F.col("pairs") == F.col("na") * F.col("nb")).withColumn("h", F.round(F.col("s") / F.col("pairs"), digits))
         best = near.select(F.col("a").alias("c"), F.struct("h", "a", "b").alias("e")).unionByName(near.select(F.col("b").alias("c"), F.struct("h", "a", "b").alias("e"))).groupBy("c").agg(F.min("e").alias("e"))
         mutual = best.groupBy("e").agg(F.count("*").alias("_n")).where("_n = 2").select("e.a", "e.b", F.col("e.h").alias("height"))
         now = held(mutual.join(p.select("a", "b", F.col("na").alias("n_a"), F.col("nb").alias("n_b")), ["a", "b"]).select(F.lit(turn).alias("round"), "a", "b", "height", "n_a", "n_b"), "linkage-merges")
         merges = now if merges is None else merges.unionByName(now)
-        if not now.limit(1).count():
-            break
         # both parts get the lesser name and the whole size
         renamed = now.select(F.explode(F.array(*[F.struct(F.col(x).alias("old"), F.col("a").alias("new"), (F.col("n_a") + F.col("n_b")).alias("size")) for x in ("a", "b")])).alias("e")).select("e.*")
         named = lambda end: renamed.select(F.col("old").alias(end), F.col("new").alias(f"_{end}"), F.col("size").alias(f"_n{end}"))
@@ -154,27 +153,21 @@ def cut_modules(merges: DataFrame, members: DataFrame, least: int = 30, gap: flo
     row = merges.agg(F.percentile_approx("height", 0.05, 10_000), F.max("height"), F.max("round")).first()
     low, high, rounds = row[0] or 0.0, row[1] or 0.0, row[2] or 0
     limit = low + top * (high - low)
-    of = held(members.select(F.col("member"), F.col("member").alias("c")).distinct(), "module-of")
-    # c: cluster; open: still one branch; total: sum of its merge heights
-    state = held(of.select("c", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open"), F.lit(0.0).alias("total")), "branches")
-    closed = None
+    # of: each member's cluster, and whether it has left with a module or without; open: still one branch; total: sum of its merge heights
+    of = members.select(F.col("member"), F.col("member").alias("c"), F.lit(None).cast(dict(members.dtypes)["member"]).alias("module"), F.lit(False).alias("left")).distinct()
+    state = of.select("c", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open"), F.lit(0.0).alias("total"))
     for turn in range(1, rounds + 1):
         now = merges.where((F.col("round") == turn) & (F.col("height") <= limit)).select("a", "b", "height")
         side = lambda x: state.select(F.col("c").alias(x), *[F.col(v).alias(f"{v}_{x}") for v in ("n", "open", "total")])  # noqa: B023, E731
         m = now.join(side("a"), "a").join(side("b"), "b")
         alone = lambda x: F.col(f"open_{x}") & (F.col(f"n_{x}") >= least) & (F.col("height") - F.col(f"total_{x}") / F.greatest(F.col(f"n_{x}") - 1, F.lit(1)) >= gap * (F.col("height") - low))
         m = held(m.withColumn("_sa", alone("a") & (alone("b") | ~F.col("open_b"))).withColumn("_sb", alone("b") & (alone("a") | ~F.col("open_a"))), "meetings")
-        if not m.limit(1).count():
-            continue
-        # members of a branch that stands for itself, or that falls onto a closed one, leave with their module or without
-        left = m.select(F.explode(F.array(*[F.struct(F.col(x).alias("c"), F.when(F.col(f"_s{x}"), F.col(x)).alias("module"), (F.col(f"_s{x}") | F.col(f"open_{x}") & ~F.col(f"open_{y}")).alias("_leaves")) for x, y in (("a", "b"), ("b", "a"))])).alias("e")).select("e.*").where("_leaves").drop("_leaves")
-        gone = of.join(left, "c").select("member", "module")
-        closed = gone if closed is None else closed.unionByName(gone)
-        closed = held(closed, "modules")
-        ends = m.select(F.col("a").alias("new"), F.explode(F.array("a", "b")).alias("c"))
-        of = held(of.join(left.select("c"), "c", "left_anti").join(ends, "c", "left").select("member", F.coalesce("new", "c").alias("c")), "module-of")
+        # members of a branch that stands for itself leave with its module, those of one that falls onto a closed one without
+        ends = m.select(F.col("a").alias("new"), F.explode(F.array(*[F.struct(F.col(x).alias("c"), F.when(F.col(f"_s{x}"), F.col(x)).alias("own"), (F.col(f"_s{x}") | F.col(f"open_{x}") & ~F.col(f"open_{y}")).alias("leaves")) for x, y in (("a", "b"), ("b", "a"))])).alias("e")).select("new", "e.*")
+        goes = ~F.col("left") & F.coalesce("leaves", F.lit(False))
+        of = held(of.join(ends, "c", "left").select("member", F.coalesce("new", "c").alias("c"), F.when(goes, F.col("own")).otherwise(F.col("module")).alias("module"), (F.col("left") | goes).alias("left")), "module-of")
         one = F.col("open_a") & F.col("open_b") & ~F.col("_sa") & ~F.col("_sb")
         grown = m.select(F.col("a").alias("c"), (F.col("n_a") + F.col("n_b")).alias("n"), one.alias("open"), (F.col("total_a") + F.col("total_b") + F.col("height")).alias("total"))
         state = held(state.join(ends.select("c"), "c", "left_anti").unionByName(grown), "branches")
-    rest = of.join(state, "c").select("member", F.when(F.col("open") & (F.col("n") >= least), F.col("c")).alias("module"))
-    return rest if closed is None else closed.unionByName(rest)
+    stays = F.when(F.col("left"), F.col("module")).when(F.col("open") & (F.col("n") >= least), F.col("c"))
+    return of.join(state, "c").select("member", stays.alias("module"))

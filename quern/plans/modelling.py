@@ -46,14 +46,9 @@ def causal_skeleton_level1(t: Tables):
     return skeleton.skeleton(dimension_correlations(t), t.embeddings.count(), most=1)[0]
 
 
-@query()
-def causal_skeleton(t: Tables):
-    return skeleton.skeleton(dimension_correlations(t), t.embeddings.count())[0]
-
-
 @query()
 def rewired_null(t: Tables):
-    return nullgraph.against_rewired(edges(t), t.part.where("p_size >= 25").select(F.col("p_partkey").alias("node")))
+    return nullgraph.against_rewired(edges(t), t.part.where("p_size >= 25").select(F.col("p_partkey").alias("node")), rounds=5)
 
 
 def orders_of(t: Tables):
