@@ -120,9 +120,9 @@ def tissue_matches(t: Tables):
     return mr.tissue_matches(variants(t).withColumnsRenamed({"l_suppkey": "gene", "l_partkey": "snp"}), "gene", "snp", "l_returnflag", "p")
 
 
-@query("WITH v AS (SELECT l_suppkey AS g, l_orderkey, l_linenumber, (l_discount - 0.045) AS b, 0.01 + l_tax / 10 AS s, l_quantity / 100 AS f, 2000.0::DOUBLE AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 12), r AS (SELECT *, 2 * b * b * f * (1 - f) / (2 * b * b * f * (1 - f) + 2 * s * s * n * f * (1 - f)) AS r2 FROM v), k AS (SELECT *, sum(r2) OVER w AS r2_all, count(*) OVER w AS k FROM r WINDOW w AS (PARTITION BY g)) SELECT g, l_orderkey, l_linenumber, r2, r2_all, k, r2_all * (n - k - 1) / (k * (1 - r2_all)) AS f_all FROM k", "r2 r2_all f_all")
+@query("WITH v AS (SELECT l_suppkey AS g, l_orderkey, l_linenumber, (l_discount - 0.045) AS b, 0.01 + l_tax / 10 AS s, l_quantity / 100 AS f, 200000.0::DOUBLE AS n FROM lineitem), r AS (SELECT *, 2 * b * b * f * (1 - f) / (2 * b * b * f * (1 - f) + 2 * s * s * n * f * (1 - f)) AS r2 FROM v), k AS (SELECT *, sum(r2) OVER w AS r2_all, count(*) OVER w AS k FROM r WINDOW w AS (PARTITION BY g)) SELECT g, l_orderkey, l_linenumber, r2, r2_all, k, r2_all * (n - k - 1) / (k * (1 - r2_all)) AS f_all FROM k", "r2 r2_all f_all")
 def f_from_r2(t: Tables):
-    v = t.lineitem.where(F.col("l_quantity").between(10, 12)).select(F.col("l_suppkey").alias("g"), "l_orderkey", "l_linenumber", (F.col("l_discount") - 0.045).alias("b"), (0.01 + F.col("l_tax") / 10).alias("s"), (F.col("l_quantity") / 100).alias("f"), F.lit(2000.0).alias("n"))
+    v = t.lineitem.select(F.col("l_suppkey").alias("g"), "l_orderkey", "l_linenumber", (F.col("l_discount") - 0.045).alias("b"), (0.01 + F.col("l_tax") / 10).alias("s"), (F.col("l_quantity") / 100).alias("f"), F.lit(200000.0).alias("n"))
     return mr.f_from_r2(v, ["g"], "b", "s", "f", "n").drop("b", "s", "f", "n")
 
 
