@@ -23,7 +23,7 @@ from quern.llm.common import byte_slices, narrow_batches, written
 #: Bytes that stand in terms, lower-cased; others become a blank. UTF-8 of code points above 127 has only bytes above 127.
 TERM_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text that are cut into terms at once, and distinct (language, source, term) that a task holds before it hands them on.
-PIECE, HELD = 1 << 20, 200_000
+PIECE, HELD = 1 << 20, 600_000
 SCALE = 1_000_000_000
 #: Sources of a language that meet in one group; a larger number is dealt to blocks that meet pair by pair.
 SOURCE_BLOCK = 256
@@ -32,7 +32,7 @@ HELD_PAIRS, PAIRS_AT_ONCE = 1 << 20, 1 << 18
 #: Most groups whose few numbers are broadcast; more are joined by a salted shuffle.
 MAX_BROADCAST_GROUPS, SALTS = 20_000, 64
 #: Bits of a radix digit, the first one aside; bytes of a term taken as one digit.
-DIGIT, TERM_DIGIT = 12, 2
+DIGIT, TERM_DIGIT = 16, 3
 
 
 def _terms(text: bytes) -> Iterator[bytes]:
@@ -124,56 +124,51 @@ def _at_group(rows: DataFrame, groups: DataFrame, keys: list[str], salt: Column,
     return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
-def top_of_groups(rows: DataFrame, keys: list[str], value: str, term: str, k: int) -> DataFrame:
+def top_of_groups(rows: DataFrame, keys: list[str], value: str, term: str, k: int, small: bool) -> DataFrame:
     """The k rows of each group with the largest value (not negative), ties by the UTF-8 bytes of term, ascending.
 
     A digit at a time: the histogram of the undecided rows of each group tells the bucket where
     rank k falls. Rows before it are taken, rows behind it go, the others go on, so each turn reads
     only one bucket a group. The first digit is the number of bits and the ten bits behind the
-    leading one; then DIGIT bits a turn; then the term, TERM_DIGIT bytes a turn. It ends when every
-    group's last bucket is taken as a whole. Rows equal in value and term are equally good: a
-    group keeps as many of them as fit.
+    leading one; then DIGIT bits a turn; a group whose bucket holds one value alone goes on by
+    TERM_DIGIT bytes of the term a turn. It ends when every group's last bucket is taken as a
+    whole. Rows equal in value and term are equally good: a group keeps as many as fit. small
+    says that the groups are few enough for their borders to be broadcast.
     """
-    bits = F.when(F.col(value) > 0, F.length(F.bin(value))).otherwise(0)
-    low = rows.withColumn("_bits", bits)
-    shift = F.greatest(F.col("_bits") - 11, F.lit(0))
-    low = low.withColumn("_shift", shift).withColumn("_digit", F.col("_bits").cast("long") * 2048 + F.call_function("shiftright", F.col(value), F.col("_shift")))
-    undecided = low.withColumn("_left", F.lit(k).cast("long"))
+    v = F.col(value)
+    bits = F.when(v > 0, F.length(F.bin(v))).otherwise(0)
+    shifted = lambda n: F.call_function("shiftright", v, n)
+    byte = lambda i: F.when(F.octet_length(term) > F.col("_at") + i, 1 + F.conv(F.hex(F.substring(F.col(term).cast("binary"), F.col("_at") + i + 1, F.lit(1))), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    # _shift: bits of the value that are still open; _at: bytes of the term that are decided, -1 while bits are open
+    undecided = rows.withColumn("_shift", F.greatest(bits - 11, F.lit(0))).withColumn("_digit", bits.cast("long") * 2048 + shifted(F.col("_shift")))
+    undecided = undecided.withColumn("_at", F.lit(-1)).withColumn("_left", F.lit(k).cast("long"))
     taken: DataFrame | None = None
-    turn, longest = 0, None
-    small = None
     while True:
-        counts = undecided.groupBy(*keys, "_digit").agg(F.count("*").alias("_n"), F.max("_left").alias("_left"))
+        counts = undecided.groupBy(*keys, "_digit").agg(F.count("*").alias("_n"), F.max("_left").alias("_left"), (F.min(v) == F.max(v)).alias("_tied"), (F.min(term) == F.max(term)).alias("_same"))
         down = W.partitionBy(*keys).orderBy(F.desc("_digit")).rowsBetween(W.unboundedPreceding, 0)
         upto = counts.withColumn("_upto", F.sum("_n").over(down))
         # the first bucket that reaches rank k; a group with fewer rows has none and is taken as a whole
-        border = upto.groupBy(*keys).agg(F.max(F.when(F.col("_upto") >= F.col("_left"), F.struct("_digit", "_n", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_need")))).alias("_b"))
-        border = written(border.select(*keys, F.col("_b._digit").alias("_edge"), F.col("_b._n").alias("_in_edge"), F.col("_b._need").alias("_need")), "radix-border")
-        small = _small(border) if small is None else small  # later turns have no more groups
-        seen = _at_group(undecided.drop("_left"), border, keys, F.col(term), small)
+        border = upto.groupBy(*keys).agg(F.max(F.when(F.col("_upto") >= F.col("_left"), F.struct("_digit", "_n", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_need"), "_tied", "_same"))).alias("_b"))
+        border = border.select(*keys, F.col("_b._digit").alias("_edge"), F.col("_b._n").alias("_in_edge"), F.col("_b._need").alias("_need"), F.col("_b._tied").alias("_tied"), F.col("_b._same").alias("_same"))
+        seen = _at_group(undecided.drop("_left"), border if small else written(border, "radix-border"), keys, F.col(term), small)
         whole = F.col("_edge").isNull() | (F.col("_digit") > F.col("_edge")) | (F.col("_digit") == F.col("_edge")) & (F.col("_in_edge") == F.col("_need"))
         seen = written(seen.where(F.col("_edge").isNull() | (F.col("_digit") >= F.col("_edge"))).withColumn("_taken", whole), "radix-rows")
         got = seen.where("_taken").select(*rows.columns)
         taken = got if taken is None else taken.unionByName(got)
-        if not border.where("_in_edge > _need").limit(1).count():
+        rest = seen.where("not _taken").withColumnRenamed("_need", "_left")
+        alike, some = rest.agg(F.bool_and(F.col("_tied") & F.col("_same")), F.count("*")).first()
+        if not some:
             return taken
-        rest = seen.where(~F.col("_taken")).drop("_digit", "_edge", "_in_edge", "_taken").withColumnRenamed("_need", "_left")
-        turn += 1
-        bit_turns = -(-52 // DIGIT)
-        if turn <= bit_turns:
-            nxt = F.greatest(F.col("_shift") - DIGIT, F.lit(0))
-            wide = F.call_function("shiftright", F.col(value), nxt)
-            undecided = rest.withColumn("_digit", F.when(F.col("_shift") > 0, wide.bitwiseAND((1 << DIGIT) - 1)).otherwise(F.lit(0).cast("long"))).withColumn("_shift", nxt)
-        else:
-            # tied values: bytes of the term, smaller first and its end before all
-            place = (turn - bit_turns - 1) * TERM_DIGIT
-            if longest is None:
-                longest = rest.agg(F.max(F.octet_length(term))).first()[0]
-            if place >= longest:  # rows equal in value and term
-                number = F.row_number().over(W.partitionBy(*keys).orderBy(term))
-                return taken.unionByName(rest.withColumn("_number", number).where("_number <= _left").select(*rows.columns))
-            byte = lambda i: F.when(F.octet_length(term) > place + i, 1 + F.conv(F.hex(F.substring(F.col(term).cast("binary"), place + i + 1, 1)), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
-            undecided = rest.withColumn("_digit", -(byte(0) * 257 + byte(1)))
+        if alike:  # what is left in any group is equal in value and term
+            number = F.row_number().over(W.partitionBy(*keys).orderBy(term))
+            return taken.unionByName(rest.withColumn("_number", number).where("_number <= _left").select(*rows.columns))
+        rest = rest.withColumn("_at", F.when(F.col("_at") >= 0, F.col("_at") + TERM_DIGIT).when(F.col("_tied"), 0).otherwise(-1))
+        rest = rest.withColumn("_shift", F.greatest(F.col("_shift") - DIGIT, F.lit(0)))
+        by_term = F.lit(0).cast("long")
+        for i in range(TERM_DIGIT):
+            by_term = by_term * 257 + byte(i)
+        digit = F.when(F.col("_at") >= 0, -by_term).otherwise(shifted(F.col("_shift")))
+        undecided = rest.withColumn("_digit", digit).drop("_edge", "_in_edge", "_tied", "_same", "_taken")
 
 
 def _pair_sums(rows: DataFrame) -> DataFrame:
@@ -335,11 +330,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     numbers = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang")
     numbers = written(numbers.select("lang", "source", "v", "lang_n", "_blocks", (F.coalesce("group_n", F.lit(0)) + F.col("v")).alias("total")), "group-numbers")
-    at = _at_group(kept, numbers, ["lang", "source"], F.col("term"), _small(numbers)).withColumn("p", probability(F.col("n"), F.col("total"))).withColumn("p0", probability(F.lit(0).cast("long"), F.col("total")))
+    small = _small(numbers)
+    at = _at_group(kept, numbers, ["lang", "source"], F.col("term"), small).withColumn("p", probability(F.col("n"), F.col("total"))).withColumn("p0", probability(F.lit(0).cast("long"), F.col("total")))
     at = written(at.withColumn("q", probability(F.col("all_n"), F.col("lang_n") + F.col("v"))), "term-probabilities")
 
     leading = at.where("p > q").select("lang", "source", "term", gain(F.col("p"), F.col("q")).alias("value"))
-    chosen = top_of_groups(leading, ["lang", "source"], "value", "term", top).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    chosen = top_of_groups(leading, ["lang", "source"], "value", "term", top, small).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
 
     together = _pair_sums(_cells(at, ["lang", "term"], F.struct("source", "p", "p0")).select("lang", "left", "right"))
     histogram = at.groupBy("lang", "source", "p").agg(F.count("*").alias("times"))

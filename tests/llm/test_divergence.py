@@ -73,12 +73,12 @@ def test_radix_selection(spark, k):
     rng = np.random.default_rng(k)
     values = [0, 0, 0, 1, 2, 3, 2**11, 2**11 - 1, 2**11 + 1, 2**40, 2**40 + 1, 2**60 + 5, 10**18, 10**18 - 1] + [int(x) for x in rng.integers(0, 2**60, 200)] + [77] * 300
     rows = [(("a", "b", None)[i % 3], v, f"{'é' * (i % 4)}t{i:05d}"[: 3 + i % 9] + str(i)) for i, v in enumerate(values)]
-    got = divergence.top_of_groups(spark.createDataFrame(rows, "g string, v long, t string").where("g is not null"), ["g"], "v", "t", k).collect()
+    got = divergence.top_of_groups(spark.createDataFrame(rows, "g string, v long, t string").where("g is not null"), ["g"], "v", "t", k, bool(k % 2)).collect()
     for g in "ab":
         want = sorted(((-v, t.encode()) for x, v, t in rows if x == g))[:k]
         assert sorted((-r.v, r.t.encode()) for r in got if r.g == g) == want
     same = spark.createDataFrame([("g", 5, "t")] * 9 + [("g", 4, "u")], "g string, v long, t string")
-    assert [(r.v, r.t) for r in divergence.top_of_groups(same, ["g"], "v", "t", 4).collect()] == [(5, "t")] * 4
+    assert [(r.v, r.t) for r in divergence.top_of_groups(same, ["g"], "v", "t", 4, True).collect()] == [(5, "t")] * 4
 
 
 def test_long_text(spark):
