@@ -74,3 +74,94 @@ def test_hostile_pages_are_linear():
         html.main_text(piece * (300_000 // len(piece)))
         html.main_text("<span>" + piece * (300_000 // len(piece)) + ">")
         assert time.process_time() - start < 3, piece
+
+
+def test_a_name_never_drops_the_whole_text():
+    b = LONG + "More of it."
+    names = "layout-with-sidebar,two-columns-sidebar,page-right-sidebar,content content--sidebar,entry ad,story-promo,layout-menu,article-sharing,single-post-sponsored,page-newsletter,wide-footer,ad,sidebar,comments".split(",")
+    for name in names:
+        assert html.main_text(f"<div class='{name}'><p>{LONG}</p><p>{b}</p></div>") == f"{LONG.strip()}\n{b}", name
+        # a real side part inside goes, and so does the name where the text stands elsewhere
+        assert html.main_text(f"<div class='{name}'><p>{LONG}</p><p>{b}</p><div class=cookie-notice><p>{LONG} cookies</p></div></div>") == f"{LONG.strip()}\n{b}", name
+        assert html.main_text(f"<p>{LONG}</p><p>{b}</p><div class='{name}'><p>{LONG} aside</p></div>") == f"{LONG.strip()}\n{b}", name
+    for tag in ("form", "fieldset", "dialog", "aside", "footer"):
+        assert html.main_text(f"<{tag}><h1>Head</h1><p>{LONG}</p><p>{b}</p></{tag}>") == f"Head\n{LONG.strip()}\n{b}", tag
+    assert html.main_text("<form action='.'>" + f"<div><p>{LONG}</p><p>{b}</p></div><div class=login><p>Your name please and your password here, or you will not get in.</p></div></form>") == f"{LONG.strip()}\n{b}"
+    deep = "<div class=ad>" * 3000
+    assert html.main_text(f"{deep}<p>{LONG}</p>") == LONG.strip()
+
+
+FINNISH = "Kissa asui talossa joen rannalla, ja joka aamu se meni puutarhaan katsomaan lintuja, jotka lensivät metsästä. Koira seurasi sitä aina hiljaa perässä, vaikka se ei koskaan saanut lintua kiinni, mutta molemmat palasivat iloisina kotiin."
+
+
+def test_stray_stop_words_of_another_language():
+    assert html.main_text(f"<p>{FINNISH}</p><p>{FINNISH} se se.</p>") == f"{FINNISH}\n{FINNISH} se se."
+
+
+def test_dense_blocks_between_good_ones():
+    code = "<pre>" + "\n".join(f"value{i} = function{i}(argument{i}, other{i})" for i in range(40)) + "</pre>"
+    dense = "Kernel scheduler latency histogram buckets, cgroup throttling counters, NUMA balancing migrations, hugepage compaction stalls, interrupt coalescing thresholds, PCIe bandwidth saturation, cache eviction rates, branch misprediction percentages."
+    got = html.main_text(f"<div><p>{LONG}</p>{code}<p>{LONG}</p><p>{dense}</p></div>").split("\n")
+    assert len(got) == 4 and got[1].startswith("value0 = ") and got[1].endswith("other39)") and got[3] == dense
+    # the same beside a list of links isn't the text
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i} of the whole site, with all that is in it and more</a></li>" for i in range(9)) + "</ul>"
+    assert dense not in html.main_text(f"<div><p>{LONG}</p><p>{LONG}</p>{menu}<p>{dense}</p></div>")
+
+
+def test_remarks_as_articles():
+    nested = f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><section><article><p>{LONG} says one</p></article><article><p>I agree.</p></article></section></article>"
+    assert html.main_text(nested) == "\n".join(["Head", LONG.strip(), LONG.strip()])
+    after = f"<main><article><h1>Head</h1><p>{LONG}</p></article><section><h2>2 Comments</h2><article><p>{LONG} says one</p></article><article><h4>Bob</h4><p>I agree.</p></article></section></main>"
+    assert html.main_text(after) == f"Head\n{LONG.strip()}"
+    # two articles without such a heading are two articles, and an article around the only article is none
+    assert html.main_text(f"<article><p>{LONG}</p></article><article><p>{LONG} too</p></article>") == f"{LONG.strip()}\n{LONG.strip()} too"
+    assert html.main_text(f"<article><article><p>{LONG}</p></article></article>") == LONG.strip()
+
+
+def naive_two_passes(blocks):
+    """The rules of both passes on blocks outside articles, told once more, by looking at every neighbour."""
+    en = set(html.STOP_WORDS["en"])
+    labels = []
+    for text, linked in blocks:
+        words, dense = re.findall(r"[^\W\d_]+", text.lower()), len("".join(text.split()))
+        share, links = sum(w in en for w in words) / max(1, len(words)), linked / max(1, dense)
+        if links > 0.5 or len(text) < 70 and linked:
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("short")
+        elif links <= 0.25 and len(text) > 200:
+            labels.append("good" if share >= 0.25 else "near" if share >= 0.12 else "long")
+        else:
+            labels.append("near" if share >= 0.12 else "bad")
+    kept = []
+    for i, (text, _) in enumerate(blocks):
+        before = next((labels[j] for j in range(i - 1, -1, -1) if labels[j] in ("good", "bad")), None)
+        after = next((labels[j] for j in range(i + 1, len(blocks)) if labels[j] in ("good", "bad")), None)
+        near = [x for x in (before, after) if x]
+        keep = labels[i] == "good" or labels[i] != "bad" and (not near or ("good" in near if labels[i] == "near" else "bad" not in near))
+        kept += [text] if keep else []
+    return "\n".join(kept)
+
+
+def test_passes_against_naive_ones():
+    import random
+
+    rng = random.Random(4)
+    stops, names = html.STOP_WORDS["en"], [f"{a}{b}word" for a in "bcdfgklm" for b in "aeiou"]
+    for _ in range(300):
+        blocks, page = [], ""
+        for _ in range(rng.randint(1, 14)):
+            share, n = rng.choice([0.0, 0.05, 0.2, 0.5]), rng.choice([2, 8, 20, 60])
+            words = [rng.choice(stops) if rng.random() < share else rng.choice(names) for _ in range(n)]
+            cut = rng.choice([0, 0, n // 5, n // 2, n])
+            blocks.append((" ".join(words), len("".join(words[:cut]))))
+            page += f"<p><a href=x>{' '.join(words[:cut])}</a> {' '.join(words[cut:])}</p>" if cut else f"<p>{' '.join(words)}</p>"
+        blocks.append((LONG.strip(), 0))
+        blocks.append((LONG.strip(), 0))
+        page += f"<p>{LONG}</p><p>{LONG}</p>"
+        if html.language_list(html.blocks_of(page)[0]) == frozenset(stops):
+            assert html.main_text(page) == naive_two_passes(blocks)
+
+
+def test_empty_table(spark):
+    assert html.extract(spark.createDataFrame([], "id int, html string")).collect() == []
