@@ -411,30 +411,61 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(x)) if len(x) else starts
 
 
+def _parts(open_nodes: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """key and part of the nodes (key, root) that may be similar to one of another class; similar ones are in the same part.
+
+    Similar sequences differ by at most a limit in labelled elements, so whatever order elements
+    have, the first limit + 1 of both hold a common one. Here those that only one class holds
+    come first, then the rarer ones: texts that share a frequent passage and nothing else have
+    no common element among them and leave. Nodes with a common one are connected, its classes
+    being two; a part is a connected component. Elements of a hot passage are counted map-side.
+    """
+
+    def setup():
+        return lambda seqs: [_labelled([np.frombuffer(s, np.uint32)])[0].view(np.int64) for s in seqs]
+
+    size = (F.length("seq") / 4).cast("long")
+    need = F.floor(F.lit(1 - similarity) * size + 1e-9) + 1 - size
+    elements = open_nodes.join(sequences, "key").select("key", F.xxhash64("root").alias("h"), F.xxhash64(F.lit(1), "root").alias("g"), need.alias("need"), F.explode(per_text(setup, pa.list_(pa.int64()), "seq")).alias("e"))
+    apart = (F.min("h") != F.max("h")) | (F.min("g") != F.max("g"))
+    common = elements.groupBy("e").agg(F.count("*").alias("m"), apart.alias("apart")).where("apart").select("e", "m")
+    of_key = W.partitionBy("key")
+    firsts = elements.join(common, "e").withColumn("need", F.col("need") + F.count("*").over(of_key)).where("need > 0")
+    firsts = firsts.withColumn("at", F.row_number().over(of_key.orderBy("m", "e"))).where("at <= need")
+    firsts = written(firsts.select("key", "h", "g", "e"), "firsts")
+    stars = firsts.groupBy("e").agg(F.min("key").alias("hub"), apart.alias("apart")).where("apart").select("e", "hub")
+    return components(firsts.join(stars, "e").select(F.col("key").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("key"), F.col("root").alias("part"))
+
+
 def _across(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join all classes with a similar pair that shares a crowded bucket and agrees in AGREE samples.
 
-    A bucket of one class has none. The others are cut into blocks of about BLOCK nodes and
+    A bucket of one class has none. The nodes of the others go by the parts that can hold similar
+    pairs (_parts). What a bucket has of a part is cut into blocks of about BLOCK nodes and
     BLOCK_ITEMS shingles, the largest class apart from the rest, and each block meets each but
     those of the same class in a task of its own, which passes on links alone. crowd: bucket, key.
     """
-    held = crowd.groupBy("key").agg(F.collect_set("bucket").alias("held"))
-    held = held.join(nodes.select("key", "sketch"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(sequences, "key")
-    held = written(held.select("key", F.coalesce("root", "key").alias("root"), "sketch", "held", "seq"), "held")
-    sizes = held.select("root", (F.length("seq") / 4).alias("items"), F.explode("held").alias("bucket")).groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("items").alias("items"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by(F.struct("root", "m", "items"), F.struct("m", "root")).alias("top"), F.sum("m").alias("m"), F.sum("items").alias("items")).where("classes > 1")
+    crowd = crowd.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = crowd.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("bucket")
+    crowd = written(crowd.join(several, "bucket").select("bucket", "key", "root"), "crowd")
+    parts = _parts(crowd.select("key", "root").distinct(), sequences, similarity)
+    held = crowd.groupBy("key").agg(F.first("root").alias("root"), F.collect_set("bucket").alias("held")).join(parts, "key")
+    held = held.join(nodes.select("key", "sketch"), "key").join(sequences, "key")
+    held = written(held.select("key", "part", "root", "sketch", "held", "seq"), "held")
+    sizes = held.select("part", "root", (F.length("seq") / 4).alias("items"), F.explode("held").alias("bucket")).groupBy("bucket", "part", "root").agg(F.count("*").alias("m"), F.sum("items").alias("items"))
+    mixed = sizes.groupBy("bucket", "part").agg(F.count("*").alias("classes"), F.max_by(F.struct("root", "m", "items"), F.struct("m", "root")).alias("top"), F.sum("m").alias("m"), F.sum("items").alias("items")).where("classes > 1")
     cut = lambda m, items: F.ceil(F.greatest(m / F.lit(BLOCK), items / F.lit(BLOCK_ITEMS))).cast("int")
     whole = F.greatest(F.col("m") / BLOCK, F.col("items") / BLOCK_ITEMS) <= 1
-    mixed = mixed.select("bucket", F.when(~whole, F.col("top.root")).alias("top"), F.when(whole, 0).otherwise(cut(F.col("top.m"), F.col("top.items"))).alias("tops"), F.when(whole, 1).otherwise(cut(F.col("m") - F.col("top.m"), F.col("items") - F.col("top.items"))).alias("others"))
+    mixed = mixed.select("bucket", "part", F.when(~whole, F.col("top.root")).alias("top"), F.when(whole, 0).otherwise(cut(F.col("top.m"), F.col("top.items"))).alias("tops"), F.when(whole, 1).otherwise(cut(F.col("m") - F.col("top.m"), F.col("items") - F.col("top.items"))).alias("others"))
     # blocks 0 .. others - 1 hold the rest, others .. others + tops - 1 the largest class
     deal = lambda n: F.pmod(F.hash("key", F.lit(3)), n)
     on_top = F.coalesce(F.col("root") == F.col("top"), F.lit(False))
-    placed = held.select("key", "root", F.explode("held").alias("bucket")).join(mixed, "bucket")
+    placed = held.select("key", "part", "root", F.explode("held").alias("bucket")).join(mixed, ["bucket", "part"])
     placed = placed.withColumn("own", F.when(on_top, F.col("others") + deal(F.greatest("tops", F.lit(1)))).otherwise(deal(F.col("others"))))
     meets = F.when(on_top, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
     placed = placed.select("key", "bucket", "own", F.explode(meets).alias("meets"))
     node = F.struct((F.col("own") > F.col("meets")).alias("second"), "key", "root", "sketch", F.transform("sketch", lambda x: F.array_contains("held", x)).alias("crowded"), "seq")
-    sides = placed.join(held, "key").groupBy("bucket", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y")).agg(F.collect_list(node).alias("nodes"))
+    sides = placed.join(held, "key").groupBy("bucket", "part", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y")).agg(F.collect_list(node).alias("nodes"))
 
     def compare(batches):
         for batch in batches:

@@ -113,6 +113,45 @@ def test_many_classes_in_crowded_buckets(spark):
     assert [got[i] for i in range(len(rows))] == classes(rows) == [i - i % 2 for i in range(len(rows))]
 
 
+def test_texts_of_a_common_head_leave_crowded_buckets(spark):
+    head = [f"p{i}" for i in range(30)]
+    unlike = [" ".join([*head, *[f"t{i}x{k}" for k in range(30)]]) for i in range(150)]
+    # a chain of twelve texts that differ from the next in four words, behind the same head
+    tail, chain = [f"c{k}" for k in range(30)], []
+    for i in range(12):
+        tail = [f"n{i}x{k}" if 2 * i <= k < 2 * i + 2 else w for k, w in enumerate(tail)]
+        chain.append(" ".join([*head, *tail]))
+    rows = [*unlike, *chain]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == classes(rows)
+    items, begin = neardup.shingles([t.encode() for t in rows])
+    low = (items >> np.uint64(32)).astype(np.uint32)
+    keys = [i.to_bytes(16, "big") for i in range(len(rows))]
+    sequences = spark.createDataFrame([(bytearray(k), bytearray(low[a:b].tobytes())) for k, a, b in zip(keys, begin[:-1], begin[1:], strict=True)], "key binary, seq binary")
+    parts = neardup._parts(spark.createDataFrame([(bytearray(k), bytearray(k)) for k in keys], "key binary, root binary"), sequences, neardup.SIMILARITY).collect()
+    assert {bytes(r.key) for r in parts} == set(keys[150:]) and len({bytes(r.part) for r in parts}) == 1
+
+
+def test_parts_keep_similar_nodes_together(spark):
+    rng = np.random.default_rng(8)
+    seqs = []
+    for _ in range(25):
+        a = rng.integers(0, rng.integers(20, 400), rng.integers(1, 60)).tolist()
+        seqs.append(a)
+        for _ in range(3):
+            b = list(a)
+            for _ in range(rng.integers(0, 1 + len(a) // 4)):
+                b[rng.integers(len(b))] = int(rng.integers(0, 400))
+            seqs.append(b[: max(1, len(b) - int(rng.integers(0, 4)))])
+    keys = [i.to_bytes(16, "big") for i in range(len(seqs))]
+    sequences = spark.createDataFrame([(bytearray(k), bytearray(np.array(s, np.uint32).tobytes())) for k, s in zip(keys, seqs, strict=True)], "key binary, seq binary")
+    nodes = spark.createDataFrame([(bytearray(k), bytearray(k)) for k in keys], "key binary, root binary")
+    part = {bytes(r.key): bytes(r.part) for r in neardup._parts(nodes, sequences, neardup.SIMILARITY).collect()}
+    like = [(i, j) for i, j in itertools.combinations(range(len(seqs)), 2) if distance(seqs[i], seqs[j]) <= 0.2 * max(len(seqs[i]), len(seqs[j])) + 1e-9]
+    assert len(like) > 20 and all(part[keys[i]] == part[keys[j]] for i, j in like)
+
+
 def test_blocks_find_all_pairs_across():
     rng = np.random.default_rng(4)
     roots = rng.integers(0, 5, (200, 1)).repeat(2, 1).astype(np.uint64)
