@@ -1,4 +1,4 @@
-"""Queries of communities, causal skeletons, null graphs, negative samples, mutual information and count models."""
+"""Queries of communities, causal skeletons, nearest neighbours, variable features, null graphs, negative samples, mutual information and count models."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from quern.operators import communities, countmodels, graph, information, modules, nullgraph, sampling, skeleton
+from quern.operators import communities, countmodels, graph, information, modules, neighbours, nullgraph, sampling, skeleton
 from quern.plans.analytics import CLOSURE, edges
 from quern.plans.registry import Tables, query
 
@@ -136,3 +136,25 @@ def coexpression_modules(t: Tables):
     d = modules.topological_overlap(dimension_correlations(t), 2).select("a", "b", (1 - F.col("overlap")).alias("d"))
     members = t.embeddings.select(F.posexplode("embedding").alias("member", "_x")).select((F.col("member") + 1).alias("member")).distinct()
     return modules.cut_modules(modules.average_linkage(d), members, least=3)
+
+
+VARIABLE = """
+WITH c AS (SELECT l_partkey AS feature, l_suppkey AS s, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY 1, 2),
+t AS (SELECT s, sum(x) AS t FROM c GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM supplier),
+y AS (SELECT feature, coalesce(x * 10000 / nullif(t, 0), 0) AS y FROM c JOIN t USING (s)),
+m AS (SELECT feature, sum(y) / any_value(n) AS m, sum(y) AS sy, sum(y * y) AS sq, any_value(n) AS n FROM y, n GROUP BY 1),
+d AS MATERIALIZED (SELECT feature, ln(1 + m) AS mean, CASE WHEN m > 0 AND sq - sy * m > 0 THEN ln((sq - sy * m) / (n - 1) / m) END AS dispersion FROM m),
+b AS MATERIALIZED (SELECT d.*, CASE WHEN high > low THEN greatest(1, least(20, ceil((mean - low) * 20 / (high - low)))) ELSE 1 END AS b FROM d, (SELECT min(mean) AS low, max(mean) AS high FROM d)),
+g AS (SELECT b, avg(dispersion) AS a, stddev_samp(dispersion) AS sd, count(dispersion) AS k FROM b GROUP BY 1),
+z AS (SELECT feature, mean, dispersion, CASE WHEN k = 1 THEN CASE WHEN dispersion IS NOT NULL THEN 1.0 END ELSE (dispersion - a) / nullif(sd, 0) END AS normalised FROM b JOIN g USING (b))
+SELECT feature, mean, dispersion, normalised, row_number() OVER (ORDER BY round(normalised, 9) DESC NULLS LAST, feature) AS rank FROM z"""
+
+
+@query(VARIABLE, "mean dispersion normalised")
+def variable_features(t: Tables):
+    return neighbours.variable_features(t.lineitem, "l_partkey", "l_suppkey", "l_quantity", t.supplier.count())
+
+
+@query()
+def neighbour_graph(t: Tables):
+    return neighbours.neighbour_graph(t.embeddings, "vec_id", "embedding")[0]
