@@ -5,6 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from quern.operators import ranks
+from quern.plans import analytics
+from quern.plans.registry import Tables
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_adjusted_values_that_change_when_computed_again(spark):
@@ -14,3 +18,12 @@ def test_adjusted_values_that_change_when_computed_again(spark):
     q = ranks.benjamini_hochberg(df, "p").collect()
     assert len(q) == 50 and all(r.q is not None and r.q >= r.p * (1 - 1e-9) for r in q)
     assert sorted(r["rank"] for r in ranks.rank(df, "p", method="min").collect()) == list(range(1, 51))
+
+
+def test_pairs_of_parts_are_counted_once_by_enough_tasks(spark, monkeypatch):
+    t = Tables(spark, DATA)
+    assert analytics.edges(t) is analytics.edges(t)
+    monkeypatch.setattr(analytics, "LINES_A_TASK", 500)
+    tasks = 1 + t.lineitem.count() // 500
+    assert tasks > 4 and analytics.together(t).rdd.getNumPartitions() == tasks
+    assert sorted(analytics.together(t).collect()) == sorted(analytics.edges(t).collect())
