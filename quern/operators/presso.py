@@ -1,18 +1,29 @@
 """Pleiotropy residual sum and outliers: simulated residuals of instruments for many exposures at once.
 
 Draws are hashes of seed, group, variant and replicate, so every pass and every rerun sees the same
-ones and nothing that is drawn is stored. A replicate costs two sums a group, added map-side; no
-task holds a group.
+ones and nothing that is drawn is stored. Tasks draw whole blocks of variants and replicates in
+numpy. A group of up to WHOLE variants is one piece; larger ones are dealt to pieces, whose sums
+are added between two passes, so no task holds more than one piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.session import held
+from quern.session import held, reach_package
+
+#: Variants of a group that one task simulates.
+WHOLE = 32_768
+#: Variants a task takes in all; replicates make each of them a thousand rows' work.
+VARIANTS_A_TASK = 20_000
+#: Draws at a time, and draws kept instead of being drawn again in a piece's second pass.
+BLOCK, KEPT = 16_384, 4_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -48,29 +59,161 @@ def residual_sums(df: DataFrame, groups: Sequence[str], snp: Sequence[str], leas
     return o.groupBy(*groups).agg(F.first("n_snp").alias("n_snp"), F.first("beta").alias("beta"), F.sum(F.col("w") * F.col("gap2")).alias("rss"))
 
 
-def _drawn(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (with r) with the drawn exposure and outcome effects dx and dy."""
-    zx, zy = _normals(seed, F.col("key"), F.col("r"))
-    return rows.withColumn("dx", F.col("x") + F.col("sx") * zx).withColumn("dy", F.col("rest") * F.col("x") + F.col("sy") * zy)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _hash_int(v: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return _mix(_turn((seed + (_P5 + np.uint64(4))) ^ (v.astype(np.uint32).astype(np.uint64) * _P1), 23) * _P2 + _P3)
+
+
+def _hash_long(v: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return _mix(_turn((seed + (_P5 + np.uint64(8))) ^ (_turn(v.astype(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4)
+
+
+def uniforms(seed: int, k: int, key: np.ndarray, replicates: int) -> np.ndarray:
+    """uniform(seed, k, key, r) of each key (rows) and r from 1 to replicates (columns): Spark's xxhash64 in numpy."""
+    with np.errstate(over="ignore"):
+        start = _hash_int(np.array([k]), _hash_int(np.array([seed]), np.array([42], np.uint64)))
+        h = _hash_int(np.arange(1, replicates + 1)[None, :], _hash_long(key, start)[:, None])
+    return ((h & np.uint64((1 << 53) - 1)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _blocks(n: int, replicates: int) -> list[slice]:
+    step = max(1, BLOCK // replicates)
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
+class _Piece:
+    """Variants of one group as arrays, with their draws."""
+
+    def __init__(self, table: pa.Table, replicates: int, seed: int):
+        self.key = table["key"].to_numpy()
+        self.x, self.sx, self.sy, self.w, self.rest, self.gap2 = (table[c].to_numpy().astype(float) for c in ("x", "sx", "sy", "w", "rest", "gap2"))
+        self.replicates, self.seed = replicates, seed
+        self.blocks = _blocks(len(self.key), replicates)
+        self.kept = [self._draw(b) for b in self.blocks] if len(self.key) * replicates <= KEPT else None
+
+    def _draw(self, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Exposure and outcome effects, by the polar form of Box and Muller."""
+        u, v = (uniforms(self.seed, k, self.key[b], self.replicates) for k in (1, 2))
+        r, v = np.sqrt(-2 * np.log(u)), v * 6.283185307179586
+        return self.x[b, None] + self.sx[b, None] * (r * np.cos(v)), (self.rest[b] * self.x[b])[:, None] + self.sy[b, None] * (r * np.sin(v))
+
+    def _each(self):
+        for i, b in enumerate(self.blocks):
+            dx, dy = self.kept[i] if self.kept else self._draw(b)
+            yield b, dx, dy, self.w[b, None] * dx
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of w dx dx and w dx dy of each replicate."""
+        xx, xy = np.zeros(self.replicates), np.zeros(self.replicates)
+        for _, dx, dy, wx in self._each():
+            xx += (wx * dx).sum(0)
+            xy += (wx * dy).sum(0)
+        return xx, xy
+
+    def beyond(self, xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The residual sum of each replicate, and how often each variant's squared residual is above the observed one."""
+        rss, above = np.zeros(self.replicates), np.zeros(len(self.key), np.int64)
+        for b, dx, dy, wx in self._each():
+            below = xx - wx * dx
+            below[below == 0] = np.nan
+            gap2 = (dy - (xy - wx * dy) / below * dx) ** 2
+            rss += np.nansum(self.w[b, None] * gap2, 0)
+            above[b] = (gap2 > self.gap2[b, None]).sum(1)
+        return rss, above
+
+
+def _added(c: str) -> Column:
+    """The arrays of a group's pieces, added up place by place."""
+    arrays = F.collect_list(c)
+    return F.aggregate(F.slice(arrays, 2, F.greatest(F.size(arrays) - 1, F.lit(0))), F.element_at(arrays, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+
+
+def _firsts(table: pa.Table, names: Sequence[str]) -> dict:
+    return {c: table[c].slice(0, 1) for c in names}
+
+
+def _dealt(o: DataFrame, by: Sequence[str]) -> DataFrame:
+    return o.repartition(int(max(o.sparkSession.sparkContext.defaultParallelism, 1 + o.count() // VARIANTS_A_TASK)), *by)
 
 
 def _simulated(o: DataFrame, groups: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """o's rows for each replicate r, with gap2_r, the squared residual from the replicate's slope without the variant."""
-    w, dx, dy = F.col("w"), F.col("dx"), F.col("dy")
-    each = _drawn(o.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))), seed)
-    sums = each.groupBy(*groups, "r").agg(F.sum(w * dx * dx).alias("xx"), F.sum(w * dx * dy).alias("xy"))
-    # a group's sums are one row of as many numbers as there are replicates
-    packed = held(sums.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("r", "xx", "xy"))).alias("_sums")), "presso-sums")
-    again = _drawn(o.join(packed, list(groups)).withColumn("_s", F.explode("_sums")).withColumn("r", F.col("_s.r")).drop("_sums"), seed)
-    slope = F.try_divide(F.col("_s.xy") - w * dx * dy, F.col("_s.xx") - w * dx * dx)
-    return again.withColumn("gap2_r", F.pow(dy - slope * dx, F.lit(2.0)))
+    """o with above (how many simulated squared residuals of a variant are above the observed one) and wins (how many residual sums of its group are)."""
+    reach_package(o.sparkSession)
+    keys, pieces = list(groups), F.ceil(F.col("n_snp") / WHOLE)
+    schema = T.StructType([*o.schema.fields, T.StructField("above", T.LongType())])
+    whole_schema = T.StructType([*schema.fields, T.StructField("wins", T.LongType())])
+    doubles, longs = pa.list_(pa.float64()), pa.int64()
+
+    def whole(table: pa.Table) -> pa.Table:
+        piece = _Piece(table, replicates, seed)
+        rss, above = piece.beyond(*piece.sums())
+        wins = int((rss > (piece.w * piece.gap2).sum()).sum())
+        return table.append_column("above", pa.array(above, longs)).append_column("wins", pa.array([wins] * len(above), longs))
+
+    small = _dealt(o.where(pieces == 1), keys).groupBy(*keys).applyInArrow(whole, whole_schema)
+    big = o.where(pieces > 1)
+    if not big.limit(1).count():
+        return small
+
+    def sums(table: pa.Table) -> pa.Table:
+        xx, xy = _Piece(table, replicates, seed).sums()
+        return pa.table(_firsts(table, [*keys, "piece"]) | {"xx": pa.array([xx], doubles), "xy": pa.array([xy], doubles)})
+
+    def second(table: pa.Table, totals: pa.Table) -> pa.Table:
+        xx, xy = (np.array(totals[c][0].as_py()) for c in ("xx", "xy"))
+        rss, above = _Piece(table, replicates, seed).beyond(xx, xy)
+        return table.append_column("above", pa.array(above, longs)).append_column("rss", pa.array([rss, *[None] * (len(above) - 1)], doubles))
+
+    of_keys = [o.schema[k] for k in keys]
+    arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("xx", "xy")]
+    parts = _dealt(big.withColumn("piece", F.pmod("key", pieces)), [*keys, "piece"])
+    totals = held(parts.groupBy(*keys, "piece").applyInArrow(sums, T.StructType([*of_keys, T.StructField("piece", T.LongType()), *arrays])).groupBy(*keys).agg(F.collect_list("piece").alias("pieces"), _added("xx").alias("xx"), _added("xy").alias("xy")), "presso-sums")
+    spread = totals.select(*keys, F.explode("pieces").alias("piece"), "xx", "xy")
+    tagged = T.StructType([*o.schema.fields, T.StructField("piece", T.LongType()), T.StructField("above", T.LongType()), T.StructField("rss", T.ArrayType(T.DoubleType()))])
+    both = held(parts.groupBy(*keys, "piece").cogroup(spread.groupBy(*keys, "piece")).applyInArrow(second, tagged), "presso-pieces")
+    null = both.where("rss is not null").groupBy(*keys).agg(_added("rss").alias("rss")).join(o.groupBy(*keys).agg(F.sum(F.col("w") * F.col("gap2")).alias("own")), keys)
+    wins = null.select(*keys, F.size(F.filter("rss", lambda v: v > F.col("own"))).cast("long").alias("wins"))
+    return small.unionByName(both.drop("piece", "rss").join(wins, keys))
+
+
+def _redrawn(marked: DataFrame, groups: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """groups, estimates: of each replicate, with outliers once and every other variant a Poisson number of times with the mean rate."""
+    reach_package(marked.sparkSession)
+    keys = list(groups)
 
+    def sums(table: pa.Table) -> pa.Table:
+        key, out, rate = table["key"].to_numpy(), table["outlier"].to_numpy(), table["rate"][0].as_py()
+        x, y, w = (table[c].to_numpy().astype(float) for c in "xyw")
+        chance = [np.exp(-rate)]
+        for k in range(1, 16):
+            chance.append(chance[-1] * rate / k)
+        within = np.cumsum(chance)
+        xx, xy = np.zeros(replicates), np.zeros(replicates)
+        for b in _blocks(len(key), replicates):
+            times = np.where(out[b, None], 1, np.searchsorted(within, uniforms(seed, 3, key[b], replicates)))
+            xx += (w[b] * x[b] * x[b]) @ times
+            xy += (w[b] * x[b] * y[b]) @ times
+        return pa.table(_firsts(table, keys) | {"xx": pa.array([xx], pa.list_(pa.float64())), "xy": pa.array([xy], pa.list_(pa.float64()))})
 
-def _poisson(u: Column, rate: Column, most: int = 16) -> Column:
-    """The Poisson quantile of u for rates up to 1: how many of the cumulative chances lie below u."""
-    step = lambda a, k: F.struct((a["p"] * rate / k).alias("p"), (a["c"] + a["p"] * rate / k).alias("c"), (a["n"] + (u > a["c"]).cast("int")).alias("n"))
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["n"]
+    schema = T.StructType([*[marked.schema[k] for k in keys], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("xx", "xy")]])
+    parts = _dealt(held(marked.withColumn("piece", F.pmod("key", F.ceil(F.col("n_snp") / WHOLE))), "presso-marked"), [*keys, "piece"])
+    total = parts.groupBy(*keys, "piece").applyInArrow(sums, schema).groupBy(*keys).agg(_added("xx").alias("xx"), _added("xy").alias("xy"))
+    return total.select(*keys, F.zip_with("xy", "xx", lambda a, c: F.try_divide(a, c)).alias("estimates"))
 
 
 def presso(df: DataFrame, groups: Sequence[str], snp: Sequence[str], replicates: int = 1000, level: float = 0.05, seed: int = 42, least: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -90,29 +233,25 @@ def presso(df: DataFrame, groups: Sequence[str], snp: Sequence[str], replicates:
     """
     keys = list(groups)
     o = held(observed(df, groups, snp, least), "presso-variants")
-    rss = o.groupBy(*keys).agg(F.first("n_snp").alias("n_snp"), F.first("beta").alias("beta"), F.sum(F.col("w") * F.col("gap2")).alias("rss"))
-    sim = _simulated(o, groups, replicates, seed)
-    null = sim.groupBy(*keys, "r").agg(F.sum(F.col("w") * F.col("gap2_r")).alias("_rss"))
-    globally = held(null.join(rss, keys).groupBy(*keys, "n_snp", "beta", "rss").agg((F.count_if(F.col("_rss") > F.col("rss")) / F.lit(float(replicates))).alias("p")), "presso-global")
+    share = lambda c: F.col(c) / F.lit(float(replicates))
+    tested = held(_simulated(o, groups, replicates, seed), "presso-tested")
+    globally = held(tested.groupBy(*keys).agg(F.first("n_snp").alias("n_snp"), F.first("beta").alias("beta"), F.sum(F.col("w") * F.col("gap2")).alias("rss"), F.first("wins").alias("wins")).withColumn("p", share("wins")).drop("wins"), "presso-global")
 
-    some = o.join(globally.where(F.col("p") < level).select(*keys), keys, "left_semi")
-    counts = _simulated(some, groups, replicates, seed).groupBy(*keys, *snp, "key", "n_snp", "gap2").agg(F.count_if(F.col("gap2_r") > F.col("gap2")).alias("_above"))
-    share = F.least(F.lit(1.0), F.col("_above") / F.lit(float(replicates)) * F.col("n_snp"))
-    variants = held(counts.withColumn("p", share).withColumn("outlier", F.col("p") <= level).select(*keys, *snp, "key", "gap2", "p", "outlier"), "presso-outliers")
+    some = tested.join(globally.where(F.col("p") < level).select(*keys), keys, "left_semi")
+    some = some.withColumn("p", F.least(F.lit(1.0), share("above") * F.col("n_snp"))).withColumn("outlier", F.col("p") <= level)
 
     x, y, w = F.col("x"), F.col("y"), F.col("w")
-    marked = some.join(variants.select(*keys, *snp, "key", "outlier"), [*keys, *snp, "key"])
     xx, xy = w * x * x, w * x * y
-    sums = marked.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("outlier").alias("n_outliers"), F.sum(F.when(~F.col("outlier"), xx)).alias("_xx"), F.sum(F.when(~F.col("outlier"), xy)).alias("_xy"), F.sum(xx).alias("_axx"), F.sum(xy).alias("_axy"))
+    sums = some.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("outlier").alias("n_outliers"), F.sum(F.when(~F.col("outlier"), xx)).alias("_xx"), F.sum(F.when(~F.col("outlier"), xy)).alias("_xy"), F.sum(xx).alias("_axx"), F.sum(xy).alias("_axy"))
     kept = F.when((F.col("n_outliers") > 0) & (F.col("n_outliers") < F.col("_n")), F.try_divide("_xy", "_xx"))
     sums = held(sums.withColumn("beta_corrected", kept).withColumn("_all", F.try_divide("_axy", "_axx")), "presso-corrected")
 
-    torn = marked.join(sums.where("beta_corrected is not null").select(*keys, "_n", "n_outliers"), keys)
     rate = F.greatest(F.lit(0.0), (F.col("_n") - 2 * F.col("n_outliers")) / (F.col("_n") - F.col("n_outliers")))
-    torn = torn.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", uniform(F.lit(seed), F.lit(3), F.col("key"), F.col("r")))
-    times = F.when(F.col("outlier"), 1).otherwise(_poisson(F.col("_u"), rate))
-    drawn = torn.withColumn("_t", times).groupBy(*keys, "r").agg(F.try_divide(F.sum(F.col("_t") * xy), F.sum(F.col("_t") * xx)).alias("_b"))
-    bias = lambda b: F.try_divide(F.col("_all") - F.col(b), F.abs(b))
-    beyond = drawn.join(sums.where("beta_corrected is not null"), keys).groupBy(*keys).agg((F.count_if(F.abs(bias("_b")) > F.abs(bias("beta_corrected"))) / F.lit(float(replicates))).alias("distortion_p"))
-    out = globally.join(sums.select(*keys, "n_outliers", "beta_corrected", bias("beta_corrected").alias("distortion")), keys, "left").join(beyond, keys, "left")
-    return out.select(*keys, "n_snp", "beta", "rss", "p", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"), "beta_corrected", "distortion", "distortion_p"), variants.drop("key")
+    torn = sums.where("beta_corrected is not null")
+    drawn = _redrawn(some.join(torn.select(*keys, rate.alias("rate")), keys), groups, replicates, seed)
+    bias = lambda b: F.try_divide(F.col("_all") - b, F.abs(b))
+    corrected = bias(F.col("beta_corrected"))
+    more = F.filter("estimates", lambda b: F.abs(bias(b)) > F.abs(corrected))
+    beyond = drawn.join(torn, keys).select(*keys, (F.size(more) / F.lit(float(replicates))).alias("distortion_p"))
+    out = globally.join(sums.select(*keys, "n_outliers", "beta_corrected", corrected.alias("distortion")), keys, "left").join(beyond, keys, "left")
+    return out.select(*keys, "n_snp", "beta", "rss", "p", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"), "beta_corrected", "distortion", "distortion_p"), some.select(*keys, *snp, "gap2", "p", "outlier")

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import ranks
+from quern.operators import presso, ranks
 from quern.plans import analytics
 from quern.plans.registry import Tables
+from tests.test_inference import SCHEMA, rows_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +29,17 @@ def test_pairs_of_parts_are_counted_once_by_enough_tasks(spark, monkeypatch):
     tasks = 1 + t.lineitem.count() // 500
     assert tasks > 4 and analytics.together(t).rdd.getNumPartitions() == tasks
     assert sorted(analytics.together(t).collect()) == sorted(analytics.edges(t).collect())
+
+
+def test_presso_in_pieces(spark, monkeypatch):
+    """Draws in numpy are those of the column expressions; a group in pieces gives what it gives as a whole."""
+    key = spark.range(7).select("id", F.xxhash64("id").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("r"))
+    want = np.array([r.u for r in key.select("id", "r", presso.uniform(F.lit(42), F.lit(3), F.col("key"), F.col("r")).alias("u")).orderBy("id", "r").collect()])
+    keys = np.array([r[0] for r in key.select("key", "id").distinct().orderBy("id").collect()])
+    assert (presso.uniforms(42, 3, keys, 9).ravel() == want).all()
+    df = spark.createDataFrame(rows_of(), SCHEMA)
+    tables = []
+    for size in (1000, 5):
+        monkeypatch.setattr(presso, "WHOLE", size)
+        tables.append([sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()) for d in presso.presso(df, ["gene"], ["snp"], replicates=100, level=0.1)])
+    assert tables[0] == tables[1] and tables[0][0] and tables[0][1]
