@@ -52,7 +52,9 @@ def name_list(spark: SparkSession, path: str, column: str = "gene", headers: Seq
 def gmt(spark: SparkSession, path: str, source: str = "") -> DataFrame:
     """set, description, source, gene: a row a member of ragged gene-set lines."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(f) > 2).select(F.trim(f[0]).alias("set"), F.trim(f[1]).alias("description"), F.lit(source).alias("source"), F.explode(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0)))).alias("gene"))
+    # heads and genes are cut from a line before its genes become rows, or the line would be split again for each
+    lines = spark.read.text(path).where(F.size(f) > 2).select(F.trim(f[0]).alias("set"), F.trim(f[1]).alias("description"), F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0))).alias("genes"))
+    rows = lines.select("set", "description", F.lit(source).alias("source"), F.explode("genes").alias("gene"))
     return rows.withColumn("gene", F.upper(F.trim("gene"))).where("gene <> ''").distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import presso, ranks
 from quern.plans import analytics
 from quern.plans.registry import Tables
+from quern.sources import readers
 from tests.test_inference import SCHEMA, rows_of
 
 DATA = "/root/testdata/sf0.001"
@@ -43,3 +44,11 @@ def test_presso_in_pieces(spark, monkeypatch):
         monkeypatch.setattr(presso, "WHOLE", size)
         tables.append([sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()) for d in presso.presso(df, ["gene"], ["snp"], replicates=100, level=0.1)])
     assert tables[0] == tables[1] and tables[0][0] and tables[0][1]
+
+
+def test_gene_set_lines_are_split_once(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    spark.createDataFrame([("a\td\t" + "\t".join(f" g{i}" for i in range(40)),)], "value string").write.text(path)
+    df = readers.gmt(spark, path, "X")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan.split("Generate explode")[0] and df.count() == 40
