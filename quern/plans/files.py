@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +15,40 @@ from quern.sources import readers, sinks
 from quern.streaming import windows
 
 
-def text_file(t: Tables, name: str, *parts: DataFrame, compression: str = "none") -> str:
-    """A text file of the parts one after another, each (place, line) in the order of place."""
+#: Lines of a text file; a longer text is written as several files, each with the head and the tail.
+LINES_A_FILE = 500_000
+
+
+def text_file(t: Tables, name: str, *parts: DataFrame | list[str], compression: str = "none", size: int | None = None) -> str:
+    """A folder of text files of the parts one after another, each (place, line) in the order of place.
+
+    Lists of lines before the first table are the head of every file, those after it the tail.
+    Lines go to files by ranges, so no task writes more than one file; size is the number of
+    lines, if it is known.
+    """
     path, rows = scratch(t.spark, name), None
-    for i, p in enumerate(parts):
+    tables = [p for p in parts if not isinstance(p, list)]
+    first = next(i for i, p in enumerate(parts) if not isinstance(p, list))
+    head, tail = ([x for p in some if isinstance(p, list) for x in p] for some in (parts[:first], parts[first:]))
+    for i, p in enumerate(tables):
         part = p.select(F.lit(i).alias("part"), F.col("place").cast("long").alias("place"), F.col("line").cast("string").alias("line"))
         rows = part if rows is None else rows.union(part)
-    rows.orderBy("part", "place").select("line").coalesce(1).write.text(path, compression=compression)
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        framing = lambda x: pa.record_batch({"line": x if isinstance(x, pa.Array) else pa.array(x, pa.string())})
+        yield framing(head)
+        for b in batches:
+            yield framing(b.column(0))
+        yield framing(tail)
+
+    files = 1 + (sum(p.count() for p in tables) if size is None else size) // LINES_A_FILE
+    dealt = rows.repartitionByRange(int(files), "part", "place").sortWithinPartitions("part", "place").select("line")
+    (dealt.mapInArrow(framed, "line string") if head or tail else dealt).write.text(path, compression=compression)
     return path
 
 
-def lines(t: Tables, *texts: str) -> DataFrame:
-    return t.spark.createDataFrame(list(enumerate(texts)), "place long, line string")
+def lines(*texts: str) -> list[str]:
+    return list(texts)
 
 
 def body(df: DataFrame, place: str, *columns: Column | str, sep: str = "\t") -> DataFrame:
@@ -47,7 +72,7 @@ def sniffed_table(t: Tables):
 
 @query("SELECT p_partkey::VARCHAR AS gene, 'size' AS sample, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 'price', p_retailprice FROM part")
 def gzip_counts(t: Tables):
-    path = text_file(t, "counts", lines(t, "gene\tsize\tprice"), body(t.part, "p_partkey", "p_partkey", "p_size", "p_retailprice"), compression="gzip")
+    path = text_file(t, "counts", lines("gene\tsize\tprice"), body(t.part, "p_partkey", "p_partkey", "p_size", "p_retailprice"), compression="gzip")
     return readers.expression_long(readers.delimited(t.spark, path, sep="\t"), "gene")
 
 
@@ -61,7 +86,7 @@ def united_files(t: Tables):
 
 @query("SELECT DISTINCT p_name AS gene FROM part")
 def gene_list(t: Tables):
-    path = text_file(t, "genes", lines(t, "gene_symbol", ""), t.part.select(F.col("p_partkey").alias("place"), F.concat(F.lit("  "), "p_name").alias("line")))
+    path = text_file(t, "genes", lines("gene_symbol", ""), t.part.select(F.col("p_partkey").alias("place"), F.concat(F.lit("  "), "p_name").alias("line")))
     return readers.name_list(t.spark, readers.first_existing(t.spark, [path + "-absent", path]))
 
 
@@ -73,10 +98,10 @@ def gene_sets(t: Tables):
 
 
 def series(t: Tables) -> str:
-    head = lines(t, '!Series_title\t"a series"', '!Sample_title\t"size"\t"price"', "!series_matrix_table_begin", '"ID_REF"\t"size"\t"price"')
+    head = lines('!Series_title\t"a series"', '!Sample_title\t"size"\t"price"', "!series_matrix_table_begin", '"ID_REF"\t"size"\t"price"')
     price = F.when(F.col("p_size") % 7 == 0, "null").otherwise(F.col("p_retailprice").cast("string"))
     rows = body(t.part, "p_partkey", F.concat(F.lit('"P'), "p_partkey", F.lit('"')), "p_size", price)
-    return text_file(t, "series", head, rows, lines(t, "!series_matrix_table_end"))
+    return text_file(t, "series", head, rows, lines("!series_matrix_table_end"))
 
 
 @query("SELECT 'P' || p_partkey AS probe, 'size' AS sample, p_size::DOUBLE AS value FROM part UNION ALL SELECT 'P' || p_partkey, 'price', CASE WHEN p_size % 7 <> 0 THEN p_retailprice END FROM part")
@@ -87,16 +112,16 @@ def series_values(t: Tables):
 @query("SELECT 'Series_title' AS key, count(*)::VARCHAR || ' parts' AS fields FROM part UNION ALL SELECT 'Sample_title', string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) FROM part UNION ALL SELECT 'series_matrix_table_begin', '' UNION ALL SELECT 'series_matrix_table_end', ''")
 def series_fields(t: Tables):
     told = t.part.agg(F.concat(F.lit('!Series_title\t"'), F.count("*"), F.lit(' parts"')).alias("a"), F.concat(F.lit('!Sample_title\t"'), F.array_join(F.sort_array(F.collect_set("p_brand")), '"\t"'), F.lit('"')).alias("b"))
-    head = told.select(F.posexplode(F.array("a", "b", F.lit("!series_matrix_table_begin"))).alias("place", "line"))
+    head = lines(*told.first(), "!series_matrix_table_begin")
     rows = body(t.part, "p_partkey", "p_partkey", "p_size")
-    path = text_file(t, "described", head, lines(t, "ID_REF\tsize"), rows, lines(t, "!series_matrix_table_end"))
+    path = text_file(t, "described", head, lines("ID_REF\tsize"), rows, lines("!series_matrix_table_end"))
     return readers.series_metadata(t.spark, path).select("key", F.array_join("values", "|").alias("fields"))
 
 
 @query("SELECT 'P' || p_partkey AS probe, upper(p_name) AS gene FROM part WHERE p_size % 5 <> 0")
 def probe_annotation(t: Tables):
     name = F.when(F.col("p_size") % 5 == 0, F.lit("---")).when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" /// other"))).otherwise(F.col("p_name"))
-    path = text_file(t, "platform", lines(t, "#platform", "ID\tGene Symbol"), body(t.part, "p_partkey", F.concat(F.lit("P"), "p_partkey"), name))
+    path = text_file(t, "platform", lines("#platform", "ID\tGene Symbol"), body(t.part, "p_partkey", F.concat(F.lit("P"), "p_partkey"), name))
     return readers.annotation(t.spark, path, ["ID"], ["Symbol", "Gene Symbol"])
 
 
@@ -106,9 +131,9 @@ def sparse_matrix(t: Tables):
     least = t.part.agg((F.min("p_partkey") - 1).alias("low")).crossJoin(t.supplier.agg((F.min("s_suppkey") - 1).alias("lows")))
     entries = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("n")).crossJoin(F.broadcast(least))
     size = t.part.agg(F.count("*").alias("a")).crossJoin(t.supplier.agg(F.count("*").alias("b"))).crossJoin(entries.agg(F.count("*").alias("n")))
-    head = lines(t, "%%MatrixMarket matrix coordinate integer general")
-    sizes = size.select(F.lit(0).alias("place"), F.concat_ws(" ", "a", "b", "n").alias("line"))
-    matrix = text_file(t, "matrix", head, sizes, body(entries, "l_partkey", F.col("l_partkey") - F.col("low"), F.col("l_suppkey") - F.col("lows"), "n", sep=" "))
+    head = lines("%%MatrixMarket matrix coordinate integer general")
+    sizes = lines(size.select(F.concat_ws(" ", "a", "b", "n")).first()[0])
+    matrix = text_file(t, "matrix", head, sizes, body(entries, "l_partkey", F.col("l_partkey") - F.col("low"), F.col("l_suppkey") - F.col("lows"), "n", sep=" "), size=t.lineitem.count())
     genes = text_file(t, "features", body(t.part, "p_partkey", F.concat(F.lit("E"), "p_partkey"), "p_name"))
     cells = text_file(t, "barcodes", body(t.supplier, "s_suppkey", F.concat(F.lit("c"), "s_suppkey")))
     return readers.market_matrix(t.spark, matrix, genes, cells)
@@ -119,7 +144,7 @@ def association_vcf(t: Tables):
     even = F.col("p_size") % 2 == 0
     form, values = F.when(even, "ES:SE:LP:AF").otherwise("SE:AF:ES"), F.when(even, F.concat_ws(":", F.col("p_retailprice").cast("string"), "p_size", F.lit("2"), F.lit("0.25"))).otherwise(F.concat_ws(":", "p_size", F.lit("0.25"), F.col("p_retailprice").cast("string")))
     rows = body(t.part, "p_partkey", F.lit("1"), "p_size", F.concat(F.lit("rs"), "p_partkey"), F.lit("a"), F.lit("g"), F.lit("."), F.lit("PASS"), F.lit("."), form, values)
-    return readers.gwas_vcf(t.spark, text_file(t, "vcf", lines(t, "##fileformat=VCFv4.2", "#CHROM\tPOS"), rows))
+    return readers.gwas_vcf(t.spark, text_file(t, "vcf", lines("##fileformat=VCFv4.2", "#CHROM\tPOS"), rows))
 
 
 @query("SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, l_discount * 10 AS w FROM lineitem WHERE l_discount * 10 >= 0.4", "w")
@@ -160,7 +185,7 @@ def methylation_links(t: Tables):
 
 @query("SELECT 'G' || p_size AS gene, 'cg' || p_partkey AS cpg, (p_size / 50.0::DOUBLE + 0.9) / 2 AS beta, CASE WHEN (p_size / 50.0::DOUBLE + 0.9) / 2 > 0.7 THEN 'hyper' ELSE 'hypo' END AS status FROM part WHERE (p_size / 50.0::DOUBLE + 0.9) / 2 < 0.5 OR (p_size / 50.0::DOUBLE + 0.9) / 2 > 0.7", "beta")
 def methylation_extremes(t: Tables):
-    path = text_file(t, "beta", lines(t, '"cpg"\t"a"\t"b"\t"c"\t"d"'), body(t.part, "p_partkey", F.concat(F.lit('"cg'), "p_partkey", F.lit('"')), F.col("p_size") / 50, F.lit("0.9"), F.lit("7"), F.lit("NA")))
+    path = text_file(t, "beta", lines('"cpg"\t"a"\t"b"\t"c"\t"d"'), body(t.part, "p_partkey", F.concat(F.lit('"cg'), "p_partkey", F.lit('"')), F.col("p_size") / 50, F.lit("0.9"), F.lit("7"), F.lit("NA")))
     genes = t.part.select(F.concat(F.lit("cg"), "p_partkey").alias("cpg"), F.concat(F.lit("G"), "p_size").alias("gene"))
     return readers.methylation_extremes(t.spark, path, genes, 0.5, 0.7)
 
@@ -169,14 +194,14 @@ def methylation_extremes(t: Tables):
 def chemical_actions(t: Tables):
     blank = [F.lit("")] * 5
     rows = body(t.lineitem, "l_orderkey", F.concat(F.lit("c"), "l_suppkey"), F.lit("D1"), F.lit(""), F.concat(F.lit("g"), "l_partkey"), *blank, F.lit("increases^expression|affects^binding"), "l_orderkey")
-    return readers.interactions(t.spark, text_file(t, "ctd", lines(t, "# comment"), rows))
+    return readers.interactions(t.spark, text_file(t, "ctd", lines("# comment"), rows, size=t.lineitem.count()))
 
 
 @query("SELECT p_partkey::DOUBLE AS epoch, p_retailprice AS loss FROM part UNION ALL SELECT NULL, p_size FROM part WHERE p_size > 40", "epoch loss")
 def log_values(t: Tables):
     a = t.part.select(F.col("p_partkey").alias("place"), F.concat(F.lit("epoch "), "p_partkey", F.lit(" loss="), F.col("p_retailprice").cast("string")).alias("line"))
     b = t.part.where("p_size > 40").select(F.col("p_partkey").alias("place"), F.concat(F.lit("best loss="), "p_size").alias("line"))
-    return readers.log_metrics(t.spark, text_file(t, "log", lines(t, "start", "warming up"), a, b), {"epoch": r"epoch (\d+)", "loss": r"loss=([\d.]+)"})
+    return readers.log_metrics(t.spark, text_file(t, "log", lines("start", "warming up"), a, b), {"epoch": r"epoch (\d+)", "loss": r"loss=([\d.]+)"})
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.operators import presso, ranks, sets
-from quern.plans import analytics
+from quern.functions import scalar
+from quern.operators import intervals, mr, order, presso, ranks, sets
+from quern.plans import analytics, files
 from quern.plans.registry import Tables
 from quern.sources import readers
 from tests.test_inference import SCHEMA, rows_of
@@ -67,3 +68,16 @@ def test_gene_set_lines_are_split_once(spark, tmp_path):
     df = readers.gmt(spark, path, "X")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in plan.split("Generate explode")[0] and df.count() == 40
+
+
+def test_text_files_in_pieces(spark, monkeypatch):
+    """Each file has the head and the tail, and readers find the same rows in many files as in one."""
+    t = Tables(spark, DATA)
+    whole = [sorted(map(str, q(t).collect())) for q in (files.series_values, files.sparse_matrix, files.gzip_counts, files.chemical_actions)]
+    monkeypatch.setattr(files, "LINES_A_FILE", 60)
+    path = files.series(t)
+    texts = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    n = texts.select("file").distinct().count()
+    assert n > 2 and texts.where("value = '!series_matrix_table_begin'").select("file").distinct().count() == n
+    monkeypatch.setattr(files, "LINES_A_FILE", 700)
+    assert [sorted(map(str, q(t).collect())) for q in (files.series_values, files.sparse_matrix, files.gzip_counts, files.chemical_actions)] == whole
