@@ -81,3 +81,9 @@ def test_text_files_in_pieces(spark, monkeypatch):
     assert n > 2 and texts.where("value = '!series_matrix_table_begin'").select("file").distinct().count() == n
     monkeypatch.setattr(files, "LINES_A_FILE", 700)
     assert [sorted(map(str, q(t).collect())) for q in (files.series_values, files.sparse_matrix, files.gzip_counts, files.chemical_actions)] == whole
+
+
+def test_exact_quantiles_by_ranges(spark):
+    df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 9, 2, 2, 2, 7, 30, 4]] + [(None,)], "v double")
+    want = df.agg(*[F.percentile("v", x) for x in (0.01, 0.5, 0.77, 1.0)]).first()
+    assert np.allclose(list(order.quantiles(df, "v", a=0.01, b=0.5, c=0.77, d=1.0).first()), list(want), rtol=1e-15)
