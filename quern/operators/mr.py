@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import dist
 from quern.functions.scalar import complement, flags
 from quern.operators.topk import top_per_group
+from quern.session import held
 
 
 def parse_variant(df: DataFrame, column: str) -> DataFrame:
@@ -233,12 +234,16 @@ def all_methods(df: DataFrame, groups: Sequence[str], ties: Sequence[str]) -> Da
 
 def graded_clump(df: DataFrame, groups: Sequence[str], position: str, p: str, windows: Sequence[float], least: int) -> DataFrame:
     """df's rows after clumping with the widest window that leaves the group least rows, else with none; grade is its number from 0, -1 for none."""
-    from functools import reduce
-
     from quern.operators.intervals import clump
 
-    graded = [clump(df, groups, position, p, w).withColumn("grade", F.lit(i)) for i, w in enumerate(windows)] + [df.withColumn("grade", F.lit(-1))]
-    rows = reduce(lambda a, b: a.unionByName(b), graded)
-    enough = rows.groupBy(*groups, "grade").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) | (F.col("grade") == -1))
-    pick = enough.groupBy(*groups).agg(F.coalesce(F.min(F.when(F.col("grade") >= 0, F.col("grade"))), F.lit(-1)).alias("grade"))
-    return rows.join(pick, [*groups, "grade"])
+    keys, rest, out = list(groups), df.na.drop(subset=list(groups)), None
+    for i, w in enumerate(windows):
+        # only groups that no wider window settled are clumped again
+        kept = held(clump(rest, keys, position, p, w).withColumn("grade", F.lit(i)), "clumped")
+        enough = kept.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
+        settled = kept.join(enough, keys, "left_semi")
+        out = settled if out is None else out.unionByName(settled)
+        rest = rest.join(enough, keys, "left_anti")
+    rest = rest.withColumn("grade", F.lit(-1))
+    rows = rest if out is None else out.unionByName(rest)
+    return rows.select(*keys, "grade", *[c for c in df.columns if c not in keys])

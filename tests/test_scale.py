@@ -87,3 +87,12 @@ def test_exact_quantiles_by_ranges(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 9, 2, 2, 2, 7, 30, 4]] + [(None,)], "v double")
     want = df.agg(*[F.percentile("v", x) for x in (0.01, 0.5, 0.77, 1.0)]).first()
     assert np.allclose(list(order.quantiles(df, "v", a=0.01, b=0.5, c=0.77, d=1.0).first()), list(want), rtol=1e-15)
+
+
+def test_settled_groups_are_not_clumped_again(spark, monkeypatch):
+    seen, plain = [], intervals.clump
+    monkeypatch.setattr(intervals, "clump", lambda d, *a: seen.append(d.select("g").distinct().count()) or plain(d, *a))
+    rows = [("a", 100 * i, 0.1 * i) for i in range(5)] + [("b", 10 * i, 0.1 * i) for i in range(5)] + [("c", 0, 0.5), (None, 1, 0.1)]
+    got = mr.graded_clump(spark.createDataFrame(rows, "g string, pos int, p double"), ["g"], "pos", "p", (50.0, 5.0), 3)
+    assert got.columns == ["g", "grade", "pos", "p"] and seen == [3, 2]
+    assert sorted({(r.g, r.grade) for r in got.collect()}) == [("a", 0), ("b", 1), ("c", -1)] and got.count() == 11
