@@ -128,16 +128,19 @@ def protein_profile(sequence: str) -> list[Column]:
     counts = {r: n - F.length(F.translate(s, r, "")) for r in RESIDUE_MASS}
     ten = lambda x: F.pow(F.lit(10.0), x)
 
-    def charge(ph: Column) -> Column:
-        positive = sum((counts[r] / (1 + ten(ph - pk)) for r, pk in BASE_PK.items()), F.lit(0.0))
-        return positive - sum((counts[r] / (1 + ten(F.lit(pk) - ph)) for r, pk in ACID_PK.items()), F.lit(0.0))
+    # the counts go along with the span: as expressions of the text they would be counted anew in every step
+    charged = [*BASE_PK, *ACID_PK]
+
+    def charge(span: Column, ph: Column) -> Column:
+        positive = sum((span[r] / (1 + ten(ph - pk)) for r, pk in BASE_PK.items()), F.lit(0.0))
+        return positive - sum((span[r] / (1 + ten(F.lit(pk) - ph)) for r, pk in ACID_PK.items()), F.lit(0.0))
 
     def halve(span: Column, _: Column) -> Column:
         middle = (span["low"] + span["high"]) / 2
-        up = charge(middle) > 0
-        return F.struct(F.when(up, middle).otherwise(span["low"]).alias("low"), F.when(up, span["high"]).otherwise(middle).alias("high"))
+        up = charge(span, middle) > 0
+        return F.struct(F.when(up, middle).otherwise(span["low"]).alias("low"), F.when(up, span["high"]).otherwise(middle).alias("high"), *[span[r].alias(r) for r in charged])
 
-    point = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high")), halve, lambda span: (span["low"] + span["high"]) / 2)
+    point = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"), *[counts[r].alias(r) for r in charged]), halve, lambda span: (span["low"] + span["high"]) / 2)
     some = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
     share = lambda letters: some(sum((counts[r] for r in letters), F.lit(0)) / n)
     mass = sum((counts[r] * w for r, w in RESIDUE_MASS.items()), F.lit(0.0)) - (n - 1) * WATER

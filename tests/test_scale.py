@@ -96,3 +96,9 @@ def test_settled_groups_are_not_clumped_again(spark, monkeypatch):
     got = mr.graded_clump(spark.createDataFrame(rows, "g string, pos int, p double"), ["g"], "pos", "p", (50.0, 5.0), 3)
     assert got.columns == ["g", "grade", "pos", "p"] and seen == [3, 2]
     assert sorted({(r.g, r.grade) for r in got.collect()}) == [("a", 0), ("b", 1), ("c", -1)] and got.count() == 11
+
+
+def test_isoelectric_counts_go_along(spark):
+    df = spark.createDataFrame([("acdk",)], "s string").select(*scalar.protein_profile("s"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and not any("translate" in x for x in plan.split("lambdafunction(")[1:2])
