@@ -84,11 +84,12 @@ def kernel_density(df: DataFrame, sample: str, member: str, value: str, block: i
     reach_package(df.sparkSession)
     v = df.where(F.col(value).isNotNull()).select(F.col(member).alias("member"), F.col(sample).alias("sample"), F.col(value).cast("double").alias("x"))
     widths = v.groupBy("member").agg((F.stddev_samp("x") / 4).alias("_h"), F.count("*").alias("_n")).where("_h > 0").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    at = v.join(widths, "member").withColumn("_mine", F.pmod(F.xxhash64("sample"), F.col("_blocks")).cast("int"))
+    # written, as a width computed a second time differs in its last bits
+    at = held(v.join(widths, "member").withColumn("_mine", F.pmod(F.xxhash64("sample"), F.col("_blocks")).cast("int")), "kernel-values")
     others = F.sequence(F.lit(0), F.col("_blocks") - 1)
     left = at.withColumn("_side", F.lit(True)).withColumn("_j", F.explode(others)).withColumnRenamed("_mine", "_i")
     right = at.withColumn("_side", F.lit(False)).withColumn("_i", F.explode(others)).withColumnRenamed("_mine", "_j")
-    cells = left.unionByName(right).groupBy("member", "_i", "_j", "_h", "_n").agg(F.collect_list(F.when(F.col("_side"), F.struct("sample", "x"))).alias("_l"), F.collect_list(F.when(~F.col("_side"), F.col("x"))).alias("_r"))
+    cells = left.unionByName(right).groupBy("member", "_i", "_j").agg(F.max("_h").alias("_h"), F.max("_n").alias("_n"), F.collect_list(F.when(F.col("_side"), F.struct("sample", "x"))).alias("_l"), F.collect_list(F.when(~F.col("_side"), F.col("x"))).alias("_r"))
 
     def sums(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ls, rs, hs in batches:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quern.functions import scalar
-from quern.operators import intervals, mr, order, presso, ranks, sets
+from quern.operators import intervals, mr, order, presso, ranks, sets, setnull
 from quern.plans import analytics, files
 from quern.plans.registry import Tables
 from quern.sources import readers
@@ -102,3 +102,15 @@ def test_isoelectric_counts_go_along(spark):
     df = spark.createDataFrame([("acdk",)], "s string").select(*scalar.protein_profile("s"))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert "aggregate(" in plan and not any("translate" in x for x in plan.split("lambdafunction(")[1:2])
+
+
+def test_kernel_widths_that_change_when_computed_again(spark):
+    """A width that differs between the two sides of a cell must not part them (on a cluster its last bits depend on which rows come first)."""
+    again = F.udf(lambda i: i + 1e-9 * random.random(), "double").asNondeterministic()
+    df = spark.range(60).select((F.col("id") % 5).alias("m"), "id", again("id").alias("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = setnull.kernel_density(df, "id", "m", "v", 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == 60 and all(r.density > 0.03 for r in got)
