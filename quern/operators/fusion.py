@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators.norm import max_share
 from quern.operators.ranks import benjamini_hochberg, percentile_of_score, rank
+from quern.session import held, reach_package
+
+#: Left rows of a group that meet in one cell of pair_scores; on the right four times as many.
+PAIR_ROWS = 4096
 
 
 def reciprocal_ranks(scores: DataFrame, model: str, member: str, score: str, k: float = 60.0, weights: DataFrame | None = None, average_ties: bool = False) -> DataFrame:
@@ -152,10 +160,95 @@ def bootstrap_ranks(scores: DataFrame, model: str, member: str, score: str, k: f
     return whole.join(sums.groupBy(member).agg(F.percentile("_s", edge).alias("low"), F.percentile("_s", 1 - edge).alias("high")), member)
 
 
+def best_pairs(left: np.ndarray, right: np.ndarray, top: int, rows: int = 512, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left, rows of right and scores of all pairs up to the left row's top-th distinct score.
+
+    A matrix product finds candidates, those within its rounding error of the best so far; their
+    scores are then summed in order, as functions.scalar.dot does.
+    """
+    left, right = left.astype(float), right.astype(float)
+    error = 4 * left.shape[1] * np.finfo(float).eps * np.sqrt((left**2).sum(1)) * np.sqrt((right**2).sum(1).max()) + np.finfo(float).tiny
+    out = []
+    for a in range(0, len(left), rows):
+        x = left[a : a + rows]
+        least, none = np.full(len(x), -np.inf), np.zeros(0, int)
+        kept = (none, none, np.zeros(0))
+
+        def best(i, j, kept):
+            """kept and the pairs (i, j) up to the top-th distinct score; least follows."""
+            product, score = x[i] * right[j], np.zeros(len(i))
+            for t in range(product.shape[1]):
+                score += product[:, t]
+            i, j, score = (np.concatenate(c) for c in zip(kept, (i, j, score)))
+            order = np.lexsort((-score, i))
+            i, j, score = i[order], j[order], score[order]
+            first = np.r_[True, i[1:] != i[:-1]][: len(i)]
+            place = np.cumsum(first | np.r_[True, score[1:] != score[:-1]][: len(i)])
+            place -= np.maximum.accumulate(np.where(first, place - 1, 0))
+            least[i[place == top]] = score[place == top]
+            return tuple(c[place <= top] for c in (i, j, score))
+
+        for b in range(0, len(right), columns):
+            product = x @ right[b : b + columns].T
+            n = min(2 * top + 2, product.shape[1])
+            if not b:
+                some = np.argpartition(product, product.shape[1] - n, axis=1)[:, -n:]
+                best(np.repeat(np.arange(len(x)), n), some.ravel(), kept)
+            i, j = np.divmod(np.flatnonzero(product >= (least - error[a : a + rows])[:, None]), product.shape[1])
+            kept = best(i, j + b, kept)
+        out.append((kept[0] + a, *kept[1:]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def pair_scores(left: DataFrame, right: DataFrame, groups: list[str], vector: str, left_id: str, right_id: str, top: int) -> DataFrame:
-    """left_id, right_id, score, rank: the top partners of each left row by dot product, within equal groups (an equi join)."""
+    """left_id, right_id, score, rank: the top partners of each left row by dot product, within equal groups.
+
+    All pairs are scored, which is quadratic in the rows of a group; equal vectors on the right
+    are one. A group's rows are dealt to blocks, any two of which meet in a cell; only pairs up to
+    the top-th distinct score of a left row leave it. Vectors that are null, empty, of another
+    length or with null or huge elements are joined row by row.
+    """
     from quern.functions.scalar import dot
 
-    r = right.select(*groups, right_id, F.col(vector).alias("_w"))
-    both = left.select(*groups, left_id, F.col(vector).alias("_v")).join(r, groups).select(left_id, right_id, dot("_v", "_w").alias("score"))
-    return both.withColumn("rank", F.dense_rank().over(W.partitionBy(left_id).orderBy(F.desc("score")))).where(F.col("rank") <= top)
+    reach_package(left.sparkSession)
+
+    def sided(df: DataFrame, name: str, new: str) -> DataFrame:
+        usual = (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x) < 1e100, F.lit(False)))
+        return df.dropna(subset=groups).select(*groups, name, F.col(vector).alias(new), F.when(usual, F.size(vector)).otherwise(-1).alias("_d"))
+
+    l, r = sided(left, left_id, "_v"), sided(right, right_id, "_w").withColumn("_c", F.sha2(F.col("_w").cast("string"), 256))
+    key = [*groups, "_d"]
+    contents = held(r.where("_d > 0").groupBy(*key, "_c").agg(F.first("_w").alias("_v")), "pair-contents")
+
+    def most(df: DataFrame) -> int:
+        return df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+
+    n_left, n_right = 1 + most(l.where("_d > 0")) // PAIR_ROWS, 1 + most(contents) // (4 * PAIR_ROWS)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ls = l.where("_d > 0").withColumn("_i", block(left_id, n_left)).withColumn("_j", every(n_right)).withColumn("_left", F.lit(True))
+    rs = contents.withColumn("_j", block("_c", n_right)).withColumn("_i", every(n_left)).withColumn("_left", F.lit(False))
+    both = ls.unionByName(rs, allowMissingColumns=True)
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in l.select(*groups, left_id).schema] + [T.StructField("_c", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def cell(table: pa.Table) -> pa.Table:
+        from quern.operators.fusion import best_pairs
+
+        sides = [table.filter(side) for side in (table["_left"], pc.invert(table["_left"]))]
+        if not all(map(len, sides)):
+            return table.slice(0, 0).select([*groups, left_id, "_c"]).append_column("score", pa.array([], pa.float64()))
+        a, b = (pc.list_flatten(s["_v"]).to_numpy().reshape(len(s), -1) for s in sides)
+        i, j, score = best_pairs(a, b, top)
+        return sides[0].select([*groups, left_id]).take(i).append_column("_c", sides[1]["_c"].take(j)).append_column("score", pa.array(score))
+
+    found = both.groupBy(*key, "_i", "_j").applyInArrow(cell, kinds).withColumn(right_id, F.lit(None).cast(r.schema[right_id].dataType))
+    usual = [x.agg(F.min("_d"), F.max("_d")).first() for x in (l, r)]
+    ends = {d for x in usual for d in x if d is not None}
+    if len(ends) > 1 or -1 in ends:
+        others = r.select(*groups, F.col("_d").alias("_e")).distinct()
+        odd = l.join(others, groups).where("_d <> _e OR _d = -1").join(r.withColumnRenamed("_d", "_e").drop("_c"), [*groups, "_e"])
+        found = found.unionByName(odd.select(*groups, left_id, right_id, dot("_v", "_w").alias("score")), allowMissingColumns=True)
+    ranked = found.withColumn("rank", F.dense_rank().over(W.partitionBy(left_id).orderBy(F.desc("score")))).where(F.col("rank") <= top)
+    ranked = held(ranked, "pair-ranks")
+    members = ranked.where("_c IS NOT NULL").drop(right_id).join(r.select(*groups, "_c", right_id), [*groups, "_c"])
+    return members.unionByName(ranked.where("_c IS NULL").drop("_c"), allowMissingColumns=True).select(left_id, right_id, "score", "rank")

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import scalar
-from quern.operators import intervals, mr, order, presso, ranks, sets, setnull
+from quern.operators import fusion, intervals, mr, order, presso, ranks, sets, setnull
 from quern.plans import analytics, files
 from quern.plans.registry import Tables
 from quern.sources import readers
@@ -114,3 +115,22 @@ def test_kernel_widths_that_change_when_computed_again(spark):
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
     assert len(got) == 60 and all(r.density > 0.03 for r in got)
+
+
+def test_pair_scores_in_cells(spark, monkeypatch):
+    """Cells of any size find what a join of all rows finds: ties, copies, vectors of one direction, odd vectors."""
+    rng, nan = random.Random(3), float("nan")
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(60)] + [[1.0, 1.0, 1.0]] * 20 + [[0.1, 0.2, 0.3]] * 5 + [[0.0] * 3, None, [], [1.0], [1.0, None, 2.0], [nan, 1.0, 0.0], [1e200] * 3]
+    rows = [(i, "ab"[i % 2] if i % 17 else None, v) for i, v in enumerate(vectors)] + [(1, "b", [2.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>")
+    l, r = df.withColumnRenamed("id", "l"), df.withColumnRenamed("id", "r")
+    both = l.join(r.withColumnRenamed("v", "w"), "g").select("l", "r", scalar.dot("v", "w").alias("score"))
+    want = both.withColumn("rank", F.dense_rank().over(W.partitionBy("l").orderBy(F.desc("score")))).where("rank <= 3").collect()
+    for size in (4096, 4):
+        monkeypatch.setattr(fusion, "PAIR_ROWS", size)
+        got = fusion.pair_scores(l, r, ["g"], "v", "l", "r", 3)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    x = np.random.default_rng(1).integers(-3, 4, (70, 5)) / 10
+    i, j, score = fusion.best_pairs(x[:30], x, 3, 7, 11)
+    exact = sum(x[:30, t][:, None] * x[:, t][None] for t in range(5))
+    assert {*zip(i.tolist(), j.tolist(), score.tolist())} == {(a, b, s) for a in range(30) for b, s in enumerate(exact[a].tolist()) if s in sorted({*exact[a].tolist()})[-3:]}
