@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import scalar
-from quern.operators import fusion, intervals, mr, order, presso, ranks, sets, setnull
+from quern.operators import fusion, graph, intervals, mr, order, presso, ranks, sets, setnull
 from quern.plans import analytics, files
 from quern.plans.registry import Tables
 from quern.sources import readers
@@ -134,3 +134,14 @@ def test_pair_scores_in_cells(spark, monkeypatch):
     i, j, score = fusion.best_pairs(x[:30], x, 3, 7, 11)
     exact = sum(x[:30, t][:, None] * x[:, t][None] for t in range(5))
     assert {*zip(i.tolist(), j.tolist(), score.tolist())} == {(a, b, s) for a in range(30) for b, s in enumerate(exact[a].tolist()) if s in sorted({*exact[a].tolist()})[-3:]}
+
+
+def test_random_non_edges_number_nodes_by_ranges(spark, monkeypatch):
+    """Not all nodes in one task, and the same draws as by one window."""
+    nodes = spark.range(50).select((F.col("id") * 7).alias("node"))
+    edges = spark.createDataFrame([(0, 7), (7, 14)], "src long, dst long")
+    seen, plain = [], graph.place
+    monkeypatch.setattr(graph, "place", lambda *a, **k: seen.append(1) or plain(*a, **k))
+    got = graph.negative_edges(edges, nodes, 40, 1).collect()
+    monkeypatch.setattr(graph, "place", lambda df, by, name: df.withColumn(name, F.row_number().over(W.orderBy(*by))))
+    assert seen == [1] and len(got) == 40 and sorted(got) == sorted(graph.negative_edges(edges, nodes, 40, 1).collect())
