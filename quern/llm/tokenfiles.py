@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +21,11 @@ from quern.llm.common import narrow_batches, shared_dir
 #: Ids of a segment, unless one document alone has more.
 SEGMENT_IDS = 3_000_000
 #: Runs that a worker keeps encoded, and the longest run kept.
-CACHE_ENTRIES, CACHE_BYTES = 500_000, 48
+CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 48
+#: Bytes of text that are looked up at once, and unknown runs that the library gets as one text.
+LOOKUP_BYTES, RUNS_A_TEXT = 16 << 20, 2_000
+#: Marks that may end a word, and different endings that are kept.
+MARKS, MOST_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 10_000
 #: Shards whose totals are broadcast: one number for each partition of the shuffle.
 MAX_SHARDS = 100_000
 
@@ -30,11 +37,14 @@ class RunEncoder:
 
     A text is cut before each blank. That is safe where no other white space stands on both
     sides of the blank: the pre-tokenizer then starts a token at the blank too. Texts in which
-    it isn't, or with a special string, go to the library whole. Runs are encoded once and
-    kept, as bytes of little-endian 16-bit ids.
+    it isn't, or with a special string, go to the library whole. Arrow numbers the different
+    runs of many texts, the library encodes those that are new, joined by blanks again (a token
+    that starts with a blank starts a run), and the ids are put together by number.
     """
 
     UNSAFE = re.compile(rb"[\t-\r \x80-\xbf] (?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|\Z)")
+    #: How a run starts that can't follow another one's end for sure: nothing, or perhaps white space.
+    APART = re.compile(rb"\Z|[\t-\r\x80-\xbf]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
     _shared: dict[str, RunEncoder] = {}
 
     def __init__(self, path: str):
@@ -47,7 +57,12 @@ class RunEncoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids above 65535 don't fit the file format")
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, bytes] = {}
+        self.starts = np.zeros(1 << 16, bool)
+        self.starts[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
+        # known runs by number; the ids of run k are pool[begin[k] : begin[k] + length[k]]
+        self.known: dict[bytes, int] = {}
+        self.pool, self.begin, self.length = np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.marks = {b"": 0}
 
     @classmethod
     def of_worker(cls, path: str) -> RunEncoder:
@@ -56,29 +71,117 @@ class RunEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def whole(self, texts: list[bytes]) -> list[bytes]:
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+        return [np.array(e.ids, "<u2") for e in found]
+
+    def runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of runs, each after a blank, and how many each has."""
+        apart = [bool(self.APART.match(r)) for r in runs]
+        joined = [r for r, a in zip(runs, apart, strict=True) if not a]
+        texts = [b" " + b" ".join(joined[i : i + RUNS_A_TEXT]) for i in range(0, len(joined), RUNS_A_TEXT)]
+        ids = np.concatenate([np.zeros(0, "<u2"), *self.whole(texts)])
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(joined) or any(s in t for s in self.special for t in texts) or any(apart):
+            if len(at) == len(joined) and not any(s in t for s in self.special for t in texts):
+                own = iter(np.split(ids, at[1:]) if joined else [])
+            else:
+                own = iter(self.whole([b" " + r for r in joined]))
+            alone = iter(self.whole([b" " + r for r, a in zip(runs, apart, strict=True) if a]))
+            parts = [next(alone) if a else next(own) for a in apart]
+            return np.concatenate([np.zeros(0, "<u2"), *parts]), np.array([len(x) for x in parts], np.int64)
+        return ids, np.diff(at, append=len(ids))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as 16-bit integers."""
-        cut: list[list[bytes] | None] = []
-        for t in texts:
-            cut.append(None if self.UNSAFE.search(t) or any(s in t for s in self.special) else t.split(b" "))
-        if len(self.kept) > CACHE_ENTRIES:
-            self.kept.clear()
-        need = set().union(*(c[1:] for c in cut if c)) - self.kept.keys()
-        runs = list(need)
-        known = self.kept
-        if runs:
-            fresh = dict(zip(runs, self.whole([b" " + r for r in runs]), strict=True))
-            long = {r: v for r, v in fresh.items() if len(r) > CACHE_BYTES}
-            known.update((r, v) for r, v in fresh.items() if len(r) <= CACHE_BYTES)
-            if long:
-                known = known | long
-        firsts = iter(self.whole([c[0] for c in cut if c]))
-        rest = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(rest) if c is None else next(firsts) + b"".join(map(known.__getitem__, c[1:])) for c in cut]
+        ids, sizes = self.encode_all(pa.array(texts, pa.binary()))
+        ends = np.cumsum(sizes).tolist()
+        return [ids[e - k : e].tobytes() for e, k in zip(ends, sizes.tolist(), strict=True)]
+
+    def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array of 16-bit integers, each text's followed by end if there is one, and how many each text has."""
+        n, values = len(texts), texts.to_pylist()
+        if not n:
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        unsafe = {i: t for i, t in enumerate(values) if self.UNSAFE.search(t) or any(s in t for s in self.special)}
+        if unsafe:
+            texts = pa.array([b"" if i in unsafe else t for i, t in enumerate(values)], pa.binary())
+        cut = pc.split_pattern(texts, b" ")
+        coded = cut.flatten().dictionary_encode()
+        runs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = np.cumsum(counts := pc.list_value_length(cut).to_numpy().astype(np.int64)) - counts
+        ids, sizes = self._different(runs)
+        # what a text starts with has no blank before it; unsafe texts are one such start; the end id of the text before comes first
+        own = self.whole([unsafe[i] if i in unsafe else runs[k] for i, k in enumerate(codes[heads].tolist())])
+        ends = [] if end is None else [np.array([end], "<u2")]
+        own = [own[0], *(np.concatenate([*ends, x]) for x in own[1:])]
+        own_sizes = np.array([len(x) for x in own], np.int64)
+        places = codes.astype(np.int32)
+        places[heads] = len(runs) + np.arange(n)
+        pool, sizes = np.concatenate([ids, *own]), np.concatenate([sizes, own_sizes])
+        out, sizes = _gather(pool, np.cumsum(sizes) - sizes, sizes, places)
+        sizes = np.add.reduceat(sizes, heads, dtype=np.int64)
+        if end is not None:
+            out, sizes[0] = np.concatenate([out, *ends]), sizes[0] + 1
+        return out, sizes
+
+    def _different(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different runs, one run's after the other's, and how many each has: the marks at the end of a word are looked up apart from it."""
+        stems, marks = [r.rstrip(MARKS) for r in runs], np.zeros(len(runs), np.int64)
+        for k, (r, stem) in enumerate(zip(runs, stems, strict=True)):
+            if len(r) != len(stem):
+                # after a letter or digit marks are a token of their own; what else is cut off goes back
+                if stem[-1:].isalnum():
+                    marks[k] = self.marks.setdefault(r[len(stem) :], len(self.marks))
+                else:
+                    stems[k] = r
+        number = np.fromiter(map(self.known.get, stems, itertools.repeat(-1)), np.int64, len(runs))
+        unknown, new = np.flatnonzero(number < 0), {}
+        number[unknown] = [len(self.begin) + new.setdefault(stems[k], len(new)) for k in unknown.tolist()]
+        fresh, fresh_sizes = self.runs(list(new))
+        own = self.whole(list(self.marks))
+        own_sizes = np.array([len(x) for x in own], np.int64)
+        pool, sizes = np.concatenate([self.pool, fresh, *own]), np.concatenate([self.length, fresh_sizes, own_sizes])
+        begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes[len(self.begin) :]) - sizes[len(self.begin) :]])
+        places = np.stack([number, len(self.begin) + len(new) + marks], 1).reshape(-1)
+        ids, both = _gather(pool, begin, sizes, places)
+        self._keep(new, fresh, fresh_sizes)
+        if len(self.marks) > MOST_MARKS:
+            self.marks = {b"": 0}
+        return ids, both.reshape(-1, 2).sum(1)
+
+    def _keep(self, new: dict[bytes, int], fresh: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep new runs while there is room; those that come first are the frequent ones."""
+        took = np.fromiter((len(r) <= CACHE_BYTES for r in new), bool, len(new))
+        took &= np.cumsum(took) <= CACHE_ENTRIES - len(self.known)
+        if took.any():
+            self.known.update(zip(itertools.compress(new, took.tolist()), itertools.count(len(self.begin))))
+            ids, sizes = fresh[np.repeat(took, sizes)], sizes[took]
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.pool, self.length = np.concatenate([self.pool, ids]), np.concatenate([self.length, sizes])
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of pool (from begin, so many items) at places, one after the other, and their sizes."""
+    sizes = sizes.astype(np.int32).take(places)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    shift = begin.take(places) - ends + sizes
+    at = np.repeat(shift, sizes)
+    at += np.arange(len(at))
+    return pool.take(at), sizes
+
+
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches put together until their texts (second column) have LOOKUP_BYTES: the more texts at once, the fewer runs come again."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= LOOKUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> str:
@@ -98,7 +201,6 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     kind = T.LongType() if whole else kind
     ordered = docs.select(F.col(f"`{doc_id}`").cast(kind).alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     ordered = ordered.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    end = np.array([end_id], "<u2").tobytes()
     schema = T.StructType([T.StructField(c, t) for c, t in (*_COLUMNS, *([] if whole else [("names", T.ArrayType(kind))]))])
 
     def segments(batches):
@@ -111,8 +213,8 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
 
         def flush():
             nonlocal before, number
-            values = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-            data = pack(before, names if whole else list(range(len(names))), np.array([len(x) // 2 for x in ids]), values)
+            values = np.concatenate(ids)
+            data = pack(before, names if whole else list(range(len(names))), np.array([len(x) for x in ids]), values)
             columns = [pa.array([v], t) for v, t in ((shard, pa.int32()), (number, pa.int32()), (len(names), pa.int64()), (len(values), pa.int64()), (data, pa.binary()))]
             if not whole:
                 columns.append(pa.array([names], pa.list_(id_type)))
@@ -123,16 +225,17 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             return row
 
         held = 0
-        for batch in batches:
+        for batch in _grouped(batches):
             id_type = batch.column(0).type
-            found = encoder.encode(batch.column(1).to_pylist())
-            for name, x in zip(batch.column(0).to_pylist(), found, strict=True):
-                if ids and held + len(x) > 2 * SEGMENT_IDS:
+            found, sizes = encoder.encode_all(batch.column(1), end_id)
+            ends = np.cumsum(sizes).tolist()
+            for name, size, to in zip(batch.column(0).to_pylist(), sizes.tolist(), ends, strict=True):
+                if ids and held + size - 1 > SEGMENT_IDS:
                     yield flush()
                     held = 0
-                ids.append(x + end)
+                ids.append(found[to - size : to])
                 names.append(name)
-                held += len(x) + 2
+                held += size
         if ids:
             yield flush()
 

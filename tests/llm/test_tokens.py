@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,3 +103,30 @@ def test_files_of_named_documents(spark):
     docs = spark.createDataFrame([("b", "two words"), ("a", None), (None, "x")], "doc_id string, text string")
     got = tokenfiles.read_ids(spark, tokenfiles.write_ids(docs, BYTES)).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, "a", "b"] and [r.start for r in got] == [0, got[0].n_tokens, got[0].n_tokens + 1]
+
+
+def test_words_are_encoded_once_and_ids_coded_in_one_step(monkeypatch):
+    """The library gets a word once, whatever marks follow it, and the range coder narrows once an id."""
+    encoder, library = tokenfiles.RunEncoder(BYTES), Tokenizer.from_file(BYTES)
+    asked, plain = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: asked.extend(texts) or plain(texts))
+    values = ["x word, word. word! word", "x word; word?!"]
+    got = encoder.encode([t.encode() for t in values])
+    assert sum(b"word" in w for w in b" ".join(asked).split()) == 1
+    assert got == [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(values, add_special_tokens=False)]
+    puts, put = [], rangecoder._Writer.put
+    monkeypatch.setattr(rangecoder._Writer, "put", lambda *a: puts.append(1) or put(*a))
+    assert rangecoder.encode_blocks(np.arange(500)) and len(puts) == 500
+
+
+@pytest.mark.parametrize(("entries", "runs"), [(1_000_000, 2_000), (50, 3), (0, 3)])
+def test_odd_marks_and_blanks(monkeypatch, entries, runs):
+    monkeypatch.setattr(tokenfiles, "CACHE_ENTRIES", entries)
+    monkeypatch.setattr(tokenfiles, "RUNS_A_TEXT", runs)
+    encoder, library, rnd = tokenfiles.RunEncoder(BYTES), Tokenizer.from_file(BYTES), random.Random(5)
+    parts = ["a", "the", "\u00e9", "\u00df", "\u2026", "\u00bb", ".", ",", "!", "'", "'s", "n't", "1", "\u0663", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "<|endoftext|>", "_", "\U0001f600", "\u0301", "\u00b2", "\u2167", "\u6f22", "\x00", "\u200b"]
+    for _ in range(3):
+        values = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(700)]
+        want = [[*e.ids, 7] for e in library.encode_batch(values, add_special_tokens=False)]
+        ids, sizes = encoder.encode_all(pa.array([t.encode() for t in values]), 7)
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
