@@ -93,7 +93,7 @@ class _Model:
         low = left * flat.take(at) >> CLASS_BITS
         high = left * np.where(c == 15, 1 << CLASS_BITS, flat.take(at + 1, mode="clip")) >> CLASS_BITS
         rows += _GOAL.take(c, axis=0) - rows >> 5
-        self.classes[which] = rows
+        self.classes.view("V32").reshape(-1)[which] = rows.view("V32").reshape(-1)
         return end1 + low, high - low
 
 
@@ -107,12 +107,8 @@ class _Writer:
     def put(self, start: np.ndarray, size: np.ndarray) -> None:
         """Narrow every lane's interval to [start, start + size) of 1 << BITS."""
         r = self.range >> BITS
-        self.low += r * start
+        self.low += r * start  # a carry stays above the 32 bits and leaves with the next digit
         self.range = r * size
-        over = np.flatnonzero(self.low > 0xFFFFFFFF)
-        if len(over):
-            self.flat[self.at.take(over) - 1] += np.uint32(1)
-            self.low[over] &= 0xFFFFFFFF
         small = np.flatnonzero(self.range < 1 << 16)
         if len(small):
             low, at = self.low.take(small), self.at.take(small)
@@ -122,8 +118,8 @@ class _Writer:
             self.range[small] <<= 16
 
     def end(self) -> list[bytes]:
-        for shift in (16, 0):
-            self.flat[self.at] = (self.low >> shift) & 0xFFFF
+        for digit in (self.low >> 16, self.low & 0xFFFF):
+            self.flat[self.at] = digit
             self.at += 1
         while (carry := self.digits >> np.uint32(16)).any():
             self.digits &= np.uint32(0xFFFF)
@@ -163,17 +159,23 @@ def _low_words(literal: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> list[
     """For each block (row) the low bits of its literal ids as 16-bit words, highest bit first."""
     at = np.flatnonzero(literal)
     counts = np.count_nonzero(literal, axis=1)
-    bits = np.maximum(sizes.reshape(-1).take(at), 1).astype(np.int64)
+    bits = np.maximum(sizes.reshape(-1).take(at), 1).astype(np.int32)
     values = ids.reshape(-1).take(at) & ((1 << bits) - 1)
-    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+    sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(bits, dtype=np.int32)])
     upto = sums[np.cumsum(counts)]
-    before = np.concatenate([np.zeros(1, np.int64), upto[:-1]])
+    before = np.concatenate([np.zeros(1, np.int32), upto[:-1]])
     words = upto - before + 15 >> 4
-    ends = np.cumsum(words)
+    ends = np.cumsum(words, dtype=np.int32)
     place = sums[:-1] + np.repeat((ends - words << 4) - before, counts)
-    word, pair = place >> 4, values << (32 - (place & 15) - bits)
-    n = int(ends[-1]) + 2
-    flat = (np.bincount(word, pair >> 16, n) + np.bincount(word + 1, pair & 0xFFFF, n)).astype("<u2")
+    word, pair = place >> 4, values.astype(np.uint32) << (32 - (place & 15) - bits).astype(np.uint32)
+    flat = np.zeros(int(ends[-1]) + 2, np.uint32)
+    if len(at):
+        # the bits that start in a word stand in it and the next one
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        word, pair = word.take(first), np.add.reduceat(pair, first, dtype=np.uint32)
+        flat[word] = pair >> np.uint32(16)
+        flat[word + 1] += pair & np.uint32(0xFFFF)
+    flat = flat.astype("<u2")
     return [flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), words.tolist(), strict=True)]
 
 
@@ -201,7 +203,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         start[which], size[which] = m.literal(which, m.classes.take(which, axis=0), classes[t].take(which).astype(np.int64))
         w.put(start, size)
         m.learn(x, right2, right1)
-    low = _low_words(np.ascontiguousarray(literal.T), grid, sizes)
+    # some blocks at a time, for the arrays to stay in the processor's cache
+    some = (slice(i, i + 64) for i in range(0, lanes, 64))
+    low = [v for rows in some for v in _low_words(np.ascontiguousarray(literal[:, rows].T), grid[rows], sizes[rows])]
     return [struct.pack("<H", len(d) // 2) + d + v for d, v in zip(w.end(), low, strict=True)]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import uuid
@@ -19,13 +18,16 @@ from pyspark.sql import types as T
 from quern.llm.common import narrow_batches, shared_dir
 
 #: Ids of a segment, unless one document alone has more.
-SEGMENT_IDS = 3_000_000
-#: Runs that a worker keeps encoded, and the longest run kept.
-CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 48
+SEGMENT_IDS = 8_000_000
+#: Runs that a worker keeps encoded, and the longest run kept (a key has room for so many bytes).
+CACHE_ENTRIES, CACHE_BYTES = 2_000_000, 31
 #: Bytes of text that are looked up at once, and unknown runs that the library gets as one text.
 LOOKUP_BYTES, RUNS_A_TEXT = 16 << 20, 2_000
-#: Marks that may end a word, and different endings that are kept.
-MARKS, MOST_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 10_000
+#: Kinds of bytes: 1 blank, 2 marks, 3 letters and digits, 4 what ends a letter from U+00C0 to U+00FF after the byte C3, 5 line feed.
+_KINDS = bytes(
+    1 if c == 0x20 else 2 if c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 3 if c < 0x80 and chr(c).isalnum() else 4 if 0x80 <= c < 0xC0 and c not in b"\x97\xb7" else 5 if c == 0x0A else 0
+    for c in range(256)
+)
 #: Shards whose totals are broadcast: one number for each partition of the shuffle.
 MAX_SHARDS = 100_000
 
@@ -35,16 +37,17 @@ _COLUMNS = (("shard", T.IntegerType()), ("segment", T.IntegerType()), ("n_docs",
 class RunEncoder:
     """ids of texts by a byte-level tokenizer file, run by run.
 
-    A text is cut before each blank. That is safe where no other white space stands on both
-    sides of the blank: the pre-tokenizer then starts a token at the blank too. Texts in which
-    it isn't, or with a special string, go to the library whole. Arrow numbers the different
-    runs of many texts, the library encodes those that are new, joined by blanks again (a token
-    that starts with a blank starts a run), and the ids are put together by number.
+    A text is cut before each blank, each mark that follows a letter or digit and each line feed
+    that follows one of the three. The pre-tokenizer starts a token there too, before a blank
+    unless other white space stands on both sides: texts with such blanks, or with a special
+    string, go to the library whole. Arrow numbers the different runs of many texts, the library
+    encodes those that are new, joined again (a token that starts with a blank or line feed starts
+    a run), and the ids are put together by number.
     """
 
-    UNSAFE = re.compile(rb"[\t-\r \x80-\xbf] (?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|\Z)")
-    #: How a run starts that can't follow another one's end for sure: nothing, or perhaps white space.
-    APART = re.compile(rb"\Z|[\t-\r\x80-\xbf]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
+    UNSAFE = r"[\t-\r \x80-\xbf] (?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|\z)"
+    #: Runs that can't be joined: they start with neither blank nor line feed, or with more that may be white space, or have another line feed.
+    APART = re.compile(rb"\Z|[^ \n]|.(?:\Z|[\t-\r \x80-\xbf]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|[^\n]*\n)", re.DOTALL)
     _shared: dict[str, RunEncoder] = {}
 
     def __init__(self, path: str):
@@ -58,11 +61,9 @@ class RunEncoder:
             raise ValueError("ids above 65535 don't fit the file format")
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.starts = np.zeros(1 << 16, bool)
-        self.starts[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
-        # known runs by number; the ids of run k are pool[begin[k] : begin[k] + length[k]]
-        self.known: dict[bytes, int] = {}
-        self.pool, self.begin, self.length = np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.marks = {b"": 0}
+        self.starts[[i for token, i in self.library.get_vocab().items() if token[:1] in ("\u0120", "\u010a")]] = True
+        # known runs by number: their keys, and their ids as binary values
+        self.known, self.ids = _Keys(CACHE_ENTRIES), pa.array([], pa.binary())
 
     @classmethod
     def of_worker(cls, path: str) -> RunEncoder:
@@ -75,22 +76,21 @@ class RunEncoder:
         found = self.library.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u2") for e in found]
 
-    def runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of runs, each after a blank, and how many each has."""
+    def runs(self, runs: list[bytes]) -> pa.Array:
+        """The ids of each run, as binary values."""
         apart = [bool(self.APART.match(r)) for r in runs]
         joined = [r for r, a in zip(runs, apart, strict=True) if not a]
-        texts = [b" " + b" ".join(joined[i : i + RUNS_A_TEXT]) for i in range(0, len(joined), RUNS_A_TEXT)]
+        texts = [b"".join(joined[i : i + RUNS_A_TEXT]) for i in range(0, len(joined), RUNS_A_TEXT)]
         ids = np.concatenate([np.zeros(0, "<u2"), *self.whole(texts)])
         at = np.flatnonzero(self.starts[ids])
-        if len(at) != len(joined) or any(s in t for s in self.special for t in texts) or any(apart):
-            if len(at) == len(joined) and not any(s in t for s in self.special for t in texts):
-                own = iter(np.split(ids, at[1:]) if joined else [])
-            else:
-                own = iter(self.whole([b" " + r for r in joined]))
-            alone = iter(self.whole([b" " + r for r, a in zip(runs, apart, strict=True) if a]))
-            parts = [next(alone) if a else next(own) for a in apart]
-            return np.concatenate([np.zeros(0, "<u2"), *parts]), np.array([len(x) for x in parts], np.int64)
-        return ids, np.diff(at, append=len(ids))
+        if len(at) == len(joined) and not any(s in t for s in self.special for t in texts):
+            found = _binaries(ids, np.append(at, len(ids)))
+        else:
+            found = _joined(self.whole(joined))
+        alone = _joined(self.whole([r for r, a in zip(runs, apart, strict=True) if a]))
+        order, apart = np.empty(len(runs), np.int64), np.array(apart, bool)
+        order[~apart], order[apart] = np.arange(len(joined)), np.arange(len(joined), len(runs))
+        return pa.concat_arrays([found, alone]).take(pa.array(order))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as 16-bit integers."""
@@ -100,75 +100,131 @@ class RunEncoder:
 
     def encode_all(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array of 16-bit integers, each text's followed by end if there is one, and how many each text has."""
-        n, values = len(texts), texts.to_pylist()
-        if not n:
+        if not len(texts):
             return np.zeros(0, "<u2"), np.zeros(0, np.int64)
-        unsafe = {i: t for i, t in enumerate(values) if self.UNSAFE.search(t) or any(s in t for s in self.special)}
-        if unsafe:
-            texts = pa.array([b"" if i in unsafe else t for i, t in enumerate(values)], pa.binary())
-        cut = pc.split_pattern(texts, b" ")
-        coded = cut.flatten().dictionary_encode()
-        runs, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        heads = np.cumsum(counts := pc.list_value_length(cut).to_numpy().astype(np.int64)) - counts
-        ids, sizes = self._different(runs)
-        # what a text starts with has no blank before it; unsafe texts are one such start; the end id of the text before comes first
-        own = self.whole([unsafe[i] if i in unsafe else runs[k] for i, k in enumerate(codes[heads].tolist())])
-        ends = [] if end is None else [np.array([end], "<u2")]
-        own = [own[0], *(np.concatenate([*ends, x]) for x in own[1:])]
-        own_sizes = np.array([len(x) for x in own], np.int64)
-        places = codes.astype(np.int32)
-        places[heads] = len(runs) + np.arange(n)
-        pool, sizes = np.concatenate([ids, *own]), np.concatenate([sizes, own_sizes])
-        out, sizes = _gather(pool, np.cumsum(sizes) - sizes, sizes, places)
-        sizes = np.add.reduceat(sizes, heads, dtype=np.int64)
+        unsafe = pc.match_substring_regex(texts, self.UNSAFE)
+        for s in self.special:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, s))
+        apart = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+        own = self.whole(texts.take(pa.array(apart)).to_pylist())
+        if len(apart):
+            texts = pc.if_else(unsafe, pa.scalar(b"", pa.binary()), texts)
+        pieces, first = _cut(texts)
+        coded = pieces.dictionary_encode()
+        number, pool = self._different(coded.dictionary)
+        # unsafe texts and the end id are binary values behind those of the runs
+        places, n = number.take(coded.indices.to_numpy()), len(pool)
+        pool = pa.concat_arrays([pool, _joined([*own, *([] if end is None else [np.array([end], "<u2")])])])
+        more, at = np.arange(n, n + len(apart), dtype=np.int32), apart
         if end is not None:
-            out, sizes[0] = np.concatenate([out, *ends]), sizes[0] + 1
-        return out, sizes
-
-    def _different(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different runs, one run's after the other's, and how many each has: the marks at the end of a word are looked up apart from it."""
-        stems, marks = [r.rstrip(MARKS) for r in runs], np.zeros(len(runs), np.int64)
-        for k, (r, stem) in enumerate(zip(runs, stems, strict=True)):
-            if len(r) != len(stem):
-                # after a letter or digit marks are a token of their own; what else is cut off goes back
-                if stem[-1:].isalnum():
-                    marks[k] = self.marks.setdefault(r[len(stem) :], len(self.marks))
-                else:
-                    stems[k] = r
-        number = np.fromiter(map(self.known.get, stems, itertools.repeat(-1)), np.int64, len(runs))
-        unknown, new = np.flatnonzero(number < 0), {}
-        number[unknown] = [len(self.begin) + new.setdefault(stems[k], len(new)) for k in unknown.tolist()]
-        fresh, fresh_sizes = self.runs(list(new))
-        own = self.whole(list(self.marks))
-        own_sizes = np.array([len(x) for x in own], np.int64)
-        pool, sizes = np.concatenate([self.pool, fresh, *own]), np.concatenate([self.length, fresh_sizes, own_sizes])
-        begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes[len(self.begin) :]) - sizes[len(self.begin) :]])
-        places = np.stack([number, len(self.begin) + len(new) + marks], 1).reshape(-1)
-        ids, both = _gather(pool, begin, sizes, places)
-        self._keep(new, fresh, fresh_sizes)
-        if len(self.marks) > MOST_MARKS:
-            self.marks = {b"": 0}
-        return ids, both.reshape(-1, 2).sum(1)
-
-    def _keep(self, new: dict[bytes, int], fresh: np.ndarray, sizes: np.ndarray) -> None:
-        """Keep new runs while there is room; those that come first are the frequent ones."""
-        took = np.fromiter((len(r) <= CACHE_BYTES for r in new), bool, len(new))
-        took &= np.cumsum(took) <= CACHE_ENTRIES - len(self.known)
+            more, at = np.concatenate([more, np.full(len(texts), len(pool) - 1, np.int32)]), np.concatenate([at, np.arange(len(texts))])
+        order = np.argsort(at, kind="stable")
+        out = pool.take(pa.array(np.insert(places, first[1:].take(at.take(order)), more.take(order))))
+        ends = first + np.append(0, np.cumsum(np.bincount(at, minlength=len(texts))))
+        offsets = _offsets(out).take(ends)
+        return np.frombuffer(out.buffers()[2] or b"", "<u2")[: offsets[-1] // 2], np.diff(offsets).astype(np.int64) // 2
+
+    def _different(self, runs: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each of different runs, and the binary values (ids) that are numbered."""
+        keys, short = _keys(runs)
+        number = self.known.find(keys)
+        number[~short] = -1
+        unknown = np.flatnonzero(number < 0)
+        fresh = self.runs(runs.take(pa.array(unknown)).to_pylist())
+        # those that are kept come first; the ones that a worker meets first are the frequent ones
+        took = short.take(unknown)
+        took &= np.cumsum(took) <= self.known.room - self.known.n
+        order = np.concatenate([np.flatnonzero(took), np.flatnonzero(~took)])
+        number[unknown.take(order)] = np.arange(len(self.ids), len(self.ids) + len(order))
+        pool = pa.concat_arrays([self.ids, fresh.take(pa.array(order))])
         if took.any():
-            self.known.update(zip(itertools.compress(new, took.tolist()), itertools.count(len(self.begin))))
-            ids, sizes = fresh[np.repeat(took, sizes)], sizes[took]
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.pool, self.length = np.concatenate([self.pool, ids]), np.concatenate([self.length, sizes])
-
-
-def _gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of pool (from begin, so many items) at places, one after the other, and their sizes."""
-    sizes = sizes.astype(np.int32).take(places)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    shift = begin.take(places) - ends + sizes
-    at = np.repeat(shift, sizes)
-    at += np.arange(len(at))
-    return pool.take(at), sizes
+            self.known.add(keys[unknown[took]])
+            self.ids = pool[: len(self.ids) + int(took.sum())]
+        return number, pool
+
+
+class _Keys:
+    """Numbers of different keys (rows of four 64-bit integers) in the order of arrival, found by open addressing."""
+
+    def __init__(self, room: int):
+        self.room, self.bits = room, max(room, 8).bit_length() + 1  # less than half full
+        self.table, self.keys, self.n = np.full(1 << self.bits, -1, np.int32), np.zeros((1024, 4), np.uint64), 0
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys @ np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, -1 for others."""
+        found, at, left = np.full(len(keys), -1, np.int32), self._first(keys), np.arange(len(keys))
+        while len(left):
+            number = self.table.take(at)
+            taken = np.flatnonzero(number >= 0)
+            left, at, number = left.take(taken), at.take(taken), number.take(taken)
+            same = (self.keys.take(number, axis=0) == keys.take(left, axis=0)).all(1)
+            found[left[same]] = number[same]
+            left, at = left[~same], at[~same] + 1 & len(self.table) - 1
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number keys that differ from each other and from all before."""
+        number, at = np.arange(self.n, self.n + len(keys), dtype=np.int32), self._first(keys)
+        if self.n + len(keys) > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros((max(len(self.keys), len(keys)), 4), np.uint64)])
+        self.keys[self.n : self.n + len(keys)] = keys
+        self.n += len(keys)
+        while len(number):
+            free = np.flatnonzero(self.table.take(at) < 0)
+            self.table[at.take(free)] = number.take(free)
+            left = np.flatnonzero(self.table.take(at) != number)
+            number, at = number.take(left), at.take(left) + 1 & len(self.table) - 1
+
+
+def _keys(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each run, which tells all runs of at most CACHE_BYTES (31) apart, and whether it has at most so many: its bytes, then its length."""
+    offsets = _offsets(runs)
+    data = np.frombuffer(b"".join([runs.buffers()[2] or b"", bytes(32)]), np.uint8)
+    sizes = np.diff(offsets)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    keys, masks = np.zeros((len(sizes), 4), np.uint64), np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    for k in range(4):
+        some = np.flatnonzero(sizes > 8 * k)
+        keys[some, k] = words[offsets.take(some) + 8 * k] & masks.take(np.minimum(sizes.take(some) - 8 * k, 8))
+    short = sizes <= CACHE_BYTES
+    keys[:, 3] |= np.where(short, sizes, 0).astype(np.uint64) << np.uint64(56)
+    return keys, short
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of all texts, and each text's first run, with the number of all runs at the end."""
+    offsets = _offsets(texts)
+    start, stop = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[start:stop]
+    kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    cut = kinds == 1
+    # what stands before a mark or line feed: an ASCII letter or digit, a letter from U+00C0 to U+00FF, before a line feed also a mark
+    at = np.flatnonzero((kinds[1:] == 2) | (kinds[1:] == 5)) + 1
+    before, lead = kinds.take(at - 1), data.take(np.maximum(at - 2, 0))
+    cut[at[(before == 3) | (before == 4) & (lead == 0xC3) | (before == 2) & (kinds.take(at) == 5)]] = True
+    heads = offsets[:-1][np.diff(offsets) > 0] - start
+    cut[heads] = True
+    cuts = np.flatnonzero(cut).astype(np.int32)
+    ends = pa.py_buffer(np.append(cuts, np.int32(stop - start)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, ends, pa.py_buffer(data)]), np.searchsorted(cuts, offsets - start)
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1] or bytes(4), np.int32)[values.offset : values.offset + len(values) + 1]
+
+
+def _binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of ids between neighbouring ends as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+
+
+def _joined(parts: list[np.ndarray]) -> pa.Array:
+    return _binaries(np.concatenate([np.zeros(0, "<u2"), *parts]), np.cumsum([0, *map(len, parts)]))
 
 
 def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

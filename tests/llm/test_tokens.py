@@ -130,3 +130,56 @@ def test_odd_marks_and_blanks(monkeypatch, entries, runs):
         want = [[*e.ids, 7] for e in library.encode_batch(values, add_special_tokens=False)]
         ids, sizes = encoder.encode_all(pa.array([t.encode() for t in values]), 7)
         assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_lines_and_letters_end_words(monkeypatch):
+    """A word goes to the library apart from the line after it and from marks after a letter with an accent, and only once."""
+    encoder, library = tokenfiles.RunEncoder(BYTES), Tokenizer.from_file(BYTES)
+    asked, plain = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: asked.extend(texts) or plain(texts))
+    values = ["x word caf\u00e9.\nThen word caf\u00e9", "x word.\nThen caf\u00e9!\nThen", "\u65e5\u672c\n\u65e5 word\n\n\nThen\n"]
+    got = encoder.encode([t.encode() for t in values])
+    assert got == [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(values, add_special_tokens=False)]
+    joined = b"".join(asked)
+    assert [joined.count(w) for w in (b" word", " caf\u00e9".encode(), b"\nThen", b"\n\n\nThen")] == [1, 1, 2, 1]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_runs_are_told_apart(monkeypatch, collide):
+    """Runs with equal beginnings, zero bytes at the end or one place in the table keep numbers of their own."""
+    if collide:
+        monkeypatch.setattr(tokenfiles._Keys, "_first", lambda self, keys: np.full(len(keys), len(self.table) - 2))
+    rnd = random.Random(7)
+    runs = list(dict.fromkeys([b"", b"a", b"a\0", b"a\0\0", b"\0", *(bytes(rnd.choices(b"\0ab\x1f", k=rnd.randint(0, 40))) for _ in range(300)), b"x" * 31, b"x" * 32]))
+    keys, short = tokenfiles._keys(pa.array(runs, pa.binary())[3:])
+    runs = runs[3:]
+    assert short.tolist() == [len(r) <= 31 for r in runs]
+    keys = keys[short]
+    table = tokenfiles._Keys(len(keys))
+    table.add(keys[:50])
+    table.add(keys[50:-9])
+    assert table.find(keys).tolist() == [*range(len(keys) - 9), *[-1] * 9]
+
+
+def test_parts_of_arrays_and_empty_texts():
+    encoder, library = tokenfiles.RunEncoder(BYTES), Tokenizer.from_file(BYTES)
+    values = ["left out", "", "a  \n b", "", "the end.", "<|endoftext|>", "", "left out"]
+    some = pa.array([t.encode() for t in values], pa.binary())[1:-1]
+    want = [library.encode(t, add_special_tokens=False).ids for t in values[1:-1]]
+    for end in (None, 0):
+        ids, sizes = encoder.encode_all(some, end)
+        whole = [w + [0] * (end is not None) for w in want]
+        assert ids.tolist() == [x for w in whole for x in w] and sizes.tolist() == [len(w) for w in whole]
+    ids, sizes = encoder.encode_all(pa.array([b"", b""], pa.binary()))
+    assert len(ids) == 0 and sizes.tolist() == [0, 0]
+    ids, sizes = encoder.encode_all(pa.array([b"", b""], pa.binary()), 9)
+    assert ids.tolist() == [9, 9] and sizes.tolist() == [1, 1]
+
+
+def test_carries_and_low_bits_of_many_blocks():
+    """More blocks than are put together at once; long runs of one id, then literals only, force carries."""
+    rng = np.random.default_rng(8)
+    ids = np.where(rng.random(150_000) < 0.02, rng.integers(0, 65536, 150_000), 7)
+    ids[70_000:80_000] = rng.integers(32768, 65536, 10_000)
+    parts = rangecoder.encode_blocks(ids)
+    assert len(parts) > 2 * 64 and (rangecoder.decode_blocks(parts, len(ids)) == ids).all()
