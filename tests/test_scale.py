@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +49,33 @@ def test_presso_in_pieces(spark, monkeypatch):
     assert tables[0] == tables[1] and tables[0][0] and tables[0][1]
 
 
+def test_presso_draws_once(spark, monkeypatch):
+    """Two hashes for two normal draws, in blocks that nothing outlives; a group in one piece is redrawn in the same task."""
+    n, replicates, hashed, plain = 40, 300, [], presso._bits
+    rng = np.random.default_rng(5)
+    se = rng.uniform(0.02, 0.05, n)
+    table = pa.table({"key": rng.integers(-(2**62), 2**62, n), "x": rng.uniform(0.1, 0.5, n), "sx": rng.uniform(0.01, 0.02, n), "sy": se, "w": se**-2.0, "rest": rng.uniform(0.3, 0.5, n), "gap2": rng.uniform(0, 0.004, n)})
+    monkeypatch.setattr(presso, "_bits", lambda begun, rounds, h, spare: hashed.append(h.size) or plain(begun, rounds, h, spare))
+    got = []
+    for block in (1 << 15, 64, 7):
+        monkeypatch.setattr(presso, "BLOCK", block)
+        piece = presso._Piece(table, replicates, 42)
+        got += [piece.beyond(), piece.beyond(*piece.sums())]
+        assert sum(hashed) == 6 * n * replicates and max(hashed) <= max(block, n)
+        hashed.clear()
+    for rss, above in got[1:]:
+        assert np.allclose(rss, got[0][0], rtol=1e-12) and (above == got[0][1]).all()
+    keyed = spark.createDataFrame([(i, int(k)) for i, k in enumerate(table["key"].to_pylist())], "id int, key long").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    want = keyed.select("id", "r", *presso._normals(42, F.col("key"), F.col("r"))).orderBy("id", "r").toPandas().to_numpy()
+    for b, dx, dy, _ in presso._Piece(table, replicates, 42)._draws():
+        for d, z, scale, middle in ((dx, want[:, 2], piece.sx, piece.x), (dy, want[:, 3], np.ones(n), piece.y)):
+            assert np.allclose(d, z.reshape(n, replicates)[:, b] * scale[:, None] + middle[:, None], atol=1e-11)
+    monkeypatch.undo()
+    monkeypatch.setattr(presso, "_redrawn", None)
+    results = presso.presso(spark.createDataFrame(rows_of(), SCHEMA), ["gene"], ["snp"], replicates=100, level=0.1)[0].collect()
+    assert any(r.distortion_p is not None for r in results)
+
+
 def test_mean_jaccard_without_common_members(spark):
     """SQL's sum over no pair is null."""
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 2, 1.0)], "s string, m int, v double")
