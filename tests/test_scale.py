@@ -35,6 +35,14 @@ def test_pairs_of_parts_are_counted_once_by_enough_tasks(spark, monkeypatch):
     assert sorted(analytics.together(t).collect()) == sorted(analytics.edges(t).collect())
 
 
+def test_closeness_where_nothing_is_reached(spark):
+    """Without a first step all hops are the literal 0, and 1 / hops must not be folded into an error."""
+    edges, nodes = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), spark.createDataFrame([(1,), (9,)], "node long")
+    for e, sources in ((edges, nodes.where("node > 9")), (edges, nodes.where("node = 9")), (edges.where("src > 9"), nodes)):
+        assert graph.closeness(e, sources, 3).collect() == [] and graph.reach(e, sources, 3).collect()[0].pairs == 0
+    assert [tuple(r) for r in graph.closeness(edges, nodes, 3).collect()] == [(1, 2, 2 / 3, 1.5)]
+
+
 def test_presso_in_pieces(spark, monkeypatch):
     """Draws in numpy are those of the column expressions; a group in pieces gives what it gives as a whole."""
     key = spark.range(7).select("id", F.xxhash64("id").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("r"))
